@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "mixing",
     "secrets",
+    "quality",
 )
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
