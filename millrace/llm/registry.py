@@ -7,6 +7,8 @@ import importlib
 MODULES = (
     "mixing",
     "secrets",
+    "archives",
+    "packing",
     "quality",
 )
 QUERIES: dict = {}
