@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "mixing",
     "secrets",
+    "htmltext",
     "archives",
     "packing",
     "quality",
