@@ -8,6 +8,7 @@ MODULES = (
     "mixing",
     "secrets",
     "htmltext",
+    "editsketch",
     "archives",
     "packing",
     "quality",
