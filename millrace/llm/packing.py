@@ -32,7 +32,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 PIECES_PER_SHARD = 8192
 #: Words kept encoded between batches of a worker; beyond that the table starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -48,20 +48,88 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# Bytes of ASCII letters; ASCII bytes that are neither alphanumeric, white space, nor part of contractions or special tokens.
+_LETTER = np.zeros(256, bool)
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<"]] = True
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of the letters U+00C0 to U+00FF, which the tokenizer never splits or composes."""
+    out = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    nxt = data[lead + 1]
+    lead = lead[(nxt >= 0x80) & (nxt <= 0xBF) & (nxt != 0x97) & (nxt != 0xB7)]
+    out[lead] = True
+    out[lead + 1] = True
+    return out
+
+
 class WordIds:
-    """The ids of words by the words' hashes."""
+    """The ids of words by the words' hashes. A word of letters that ends in marks is two spans, as it is for the tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known, self.start, self.count, self.ids = np.zeros(0, tk.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def spans(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, which spans are letters alone, and where each row's spans begin."""
+        is_letter = letters(w.data)
+        other = np.flatnonzero(~is_letter)
+        turn = np.concatenate([other, [len(w.data)]])[np.searchsorted(other, w.start)]
+        turn = np.minimum(turn, w.end)
+        marks = np.zeros(len(w.data) + 1, np.int64)
+        np.cumsum(_MARK[w.data], out=marks[1:])
+        two = (turn > w.start) & (turn < w.end) & (marks[w.end] - marks[turn] == w.end - turn)
+        at = np.zeros(len(two) + 1, np.int64)
+        np.cumsum(1 + two, out=at[1:])
+        start, end, alone = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64), np.zeros(at[-1], bool)
+        first, second = at[:-1], at[:-1][two] + 1
+        start[first], end[first], alone[first] = w.start, np.where(two, turn, w.end), two | (turn == w.end)
+        start[second], end[second] = turn[two], w.end[two]
+        return start, end, alone, at[w.at]
+
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray, hashes: np.ndarray) -> None:
+        raw = data.tobytes()
+        ids, count = [], np.zeros(len(start), np.int64)
+        own = np.flatnonzero(alone)
+        # Each span of letters ends in exactly one closing token, so many of them can be encoded as one text.
+        groups = [own[a : a + 2000] for a in range(0, len(own), 2000)]
+        texts = [b" ".join([raw[s:e] for s, e in zip(start[g].tolist(), end[g].tolist(), strict=True)]).decode() for g in groups]
+        order = []
+        for g, x in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            got = np.array(x.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[got]) + 1
+            if len(ends) != len(g):
+                raise ValueError("a run of letters did not give one closing token")
+            count[g] = np.diff(ends, prepend=0)
+            ids.append(got)
+            order.append(g)
+        rest = np.flatnonzero(~alone)
+        words = [raw[s:e].decode() for s, e in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        count[rest] = [len(x) for x in lists]
+        ids.append(np.array([i for x in lists for i in x], np.uint32))
+        order = np.concatenate([*order, rest])
+        place = np.empty(len(start), np.int64)
+        place[order] = len(self.ids) + np.cumsum(count[order]) - count[order]
+        self.ids = np.concatenate([self.ids, *ids])
+        known = np.concatenate([self.known, hashes])
+        by = np.argsort(known)
+        self.known, self.start, self.count = known[by], np.concatenate([self.start, place])[by], np.concatenate([self.count, count])[by]
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of those rows without end ids, ids of each row)."""
         for a, b, w in tk.each_chunk(texts, 4 << 20):
-            unique, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            start, end, alone, rows = self.spans(w)
+            unique, at, back = np.unique(tk.span_hashes(w.data, start, end), return_index=True, return_inverse=True)
             place = np.searchsorted(self.known, unique)
             new = np.ones(len(unique), bool)
             inside = place < len(self.known)
@@ -70,17 +138,11 @@ class WordIds:
                 if len(self.known) + int(new.sum()) > WORDS_KEPT:
                     self.clear()
                     new[:] = True
-                words = [w.data[s:e].tobytes().decode() for s, e in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist(), strict=True)]
-                got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-                count = np.array([len(x) for x in got], np.int64)
-                start = len(self.ids) + np.cumsum(count) - count
-                self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))])
-                known = np.concatenate([self.known, unique[new]])
-                order = np.argsort(known)
-                self.known, self.start, self.count = known[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+                n = at[new]
+                self.learn(w.data, start[n], end[n], alone[n], unique[new])
                 place = np.searchsorted(self.known, unique)
             count = self.count[place][back]
-            yield a, b, self.ids[tk.ragged(self.start[place][back], count)], tk.sums_by_row(count, w.at)
+            yield a, b, self.ids[tk.ragged(self.start[place][back], count)], tk.sums_by_row(count, rows)
 
 
 def cut(path: str, capacity: int, end_id: int):
