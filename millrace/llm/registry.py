@@ -8,6 +8,7 @@ MODULES = (
     "mixing",
     "secrets",
     "htmltext",
+    "toxicity",
     "editsketch",
     "archives",
     "packing",
