@@ -8,6 +8,7 @@ MODULES = (
     "mixing",
     "secrets",
     "htmltext",
+    "substrings",
     "toxicity",
     "editsketch",
     "archives",
