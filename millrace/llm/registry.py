@@ -8,6 +8,7 @@ MODULES = (
     "mixing",
     "secrets",
     "htmltext",
+    "jaccardjoin",
     "substrings",
     "toxicity",
     "editsketch",
