@@ -33,6 +33,8 @@ LEAST_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "token")
 
 SALTS = 64
+#: Marked rows that are broadcast at most (about 150 bytes each); more are joined by shuffling.
+MOST_BROADCAST = 200_000
 MAX_OWNERS = 2
 MAX_REPOSITORIES = 50
 
@@ -120,7 +122,7 @@ def scan_secrets(
 
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
-    """``documents`` with every reported span replaced by ``mask``; n_chars follows. Rows are kept, other columns unchanged.
+    """``documents`` (doc_id, text, source, n_chars and any others) with every reported span replaced by ``mask``; n_chars follows. Rows are kept, other columns unchanged.
 
     The verdicts are joined by distinct (doc_id, text), so repeated rows stay as many as they were.
     """
@@ -135,7 +137,9 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
         return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("out"))
 
     masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_h", F.sha2(text, 256)).join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left")
+    marks = materialize(marks, "secret-marks")
+    side = F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks
+    joined = docs.withColumn("_h", F.sha2(text, 256)).join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left")
     joined = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text")))
     cols = {"text": F.col("_new"), "n_chars": F.when(F.col("_spans").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))}
     return joined.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
