@@ -35,6 +35,7 @@ PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4)
 K = 16
 BLOCK = 64
+FIRST_BLOCKS = 6
 PRIOR_VOTES = 0.25
 
 _LETTER = np.zeros(256, bool)
@@ -145,24 +146,38 @@ class BlockMaxIndex:
         w = (1 + np.log(np.array(tf, np.float64))) * self.idf[t]
         return t, w / max(np.linalg.norm(w), 1e-12)
 
+    def scores(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of these blocks that share a term, and their cosines."""
+        key = (t[:, None] * self.blocks + blocks[None, :]).ravel()
+        begin, count = self.start[key], self.start[key + 1] - self.start[key]
+        posting = tk.ragged(begin, count)
+        slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(t)), count) + self.number[posting] % BLOCK
+        score = np.bincount(slot, np.repeat(np.repeat(w, len(blocks)), count) * self.weight[posting], len(blocks) * BLOCK)
+        hit = np.flatnonzero(score > 0)
+        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
+
     def nearest(self, terms: list[int], tf: list[int], k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine (ties: the smaller number), with the cosines."""
+        """The k examples of largest positive cosine (ties: the smaller number), with the cosines.
+
+        The blocks of largest bound are scored first; then, at once, all whose bound reaches the k-th best cosine found.
+        """
         t, w = self.vector(terms, tf)
         bound = w @ self.largest[t]
-        best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) == k and bound[b] < best_s[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for x, q in zip(t, w, strict=True):
-                s, e = self.start[x * self.blocks + b], self.start[x * self.blocks + b + 1]
-                if e > s:
-                    score[self.number[s:e] - b * BLOCK] += q * self.weight[s:e]
-            hit = np.flatnonzero(score > 0)
-            best_n, best_s = np.concatenate([best_n, hit + b * BLOCK]), np.concatenate([best_s, score[hit]])
-            top = np.lexsort((best_n, -np.round(best_s, 12)))[:k]
-            best_n, best_s = best_n[top], best_s[top]
-        return best_n, best_s
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        number, score = self.scores(t, w, order[:FIRST_BLOCKS])
+        if len(order) > FIRST_BLOCKS:
+            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else 0.0
+            rest = order[FIRST_BLOCKS:]
+            rest = rest[bound[rest] >= least - 1e-9]
+            if len(rest):
+                more = self.scores(t, w, rest)
+                number, score = np.concatenate([number, more[0]]), np.concatenate([score, more[1]])
+        if len(score) > k:
+            near = score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-9
+            number, score = number[near], score[near]
+        top = np.lexsort((number, -np.round(score, 9)))[:k]
+        return number[top], score[top]
 
 
 class Voter:
