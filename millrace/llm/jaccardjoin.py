@@ -44,7 +44,7 @@ GROUPED_BELOW = 48
 BLOCK = 1024
 #: Ids that are broadcast at most (16 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
-PIVOT_ROWS = 256
+PIVOT_ROWS = 64
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
