@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import jaccardjoin, mixing, packing, quality, secrets
-from millrace.llm.common import materialize
+from millrace.llm.common import bounded_batches, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return quality.keep_good(docs)
 
 

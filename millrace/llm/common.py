@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 _own_dir: list[str] = []
 
 
+#: Rows that go to a Python worker at once, where the session sets no number itself: texts can be long, and two batches are in flight a task.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

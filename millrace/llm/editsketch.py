@@ -32,7 +32,7 @@ PERIOD = 1 << 12
 END = 0xFFFFFFFC
 #: Rows that a cell of ids aims to hold, and the most cells, which bounds what is broadcast (16 bytes a cell).
 ROWS_PER_CELL, MOST_CELLS = 1000, 1_000_000
-CHARS_AT_ONCE = 40_000_000
+CHARS_AT_ONCE = 24_000_000
 
 
 @functools.lru_cache(1)

@@ -196,16 +196,18 @@ def set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, text) as (sig, node); of equal sets in a batch only the least id signs."""
+    """Rows of (id, text) as (sig, node); of a task's equal sets only the first signs."""
+    seen: dict[int, int] = {}
+    done = 0
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        seen: dict[int, int] = {}
         for a, b, at, s in shingle_sets(batch.column(1)):
             key = tk.mix(reduced(tk.mix(s), at))
             rows, sigs = signatures(at, s)
-            mine = np.array([seen.setdefault(k, a + i) == a + i for i, k in enumerate(key.tolist())], bool)
+            mine = np.array([seen.setdefault(k, done + a + i) == done + a + i for i, k in enumerate(key.tolist())], bool)
             keep = mine[rows]
             yield pa.RecordBatch.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(ids[a + rows[keep]], pa.int64())], names=["sig", "node"])
+        done += batch.num_rows
 
 
 def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

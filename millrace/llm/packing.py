@@ -32,7 +32,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 PIECES_PER_SHARD = 8192
 #: Words kept encoded between batches of a worker; beyond that the table starts anew.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 300_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -127,7 +127,7 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of those rows without end ids, ids of each row)."""
-        for a, b, w in tk.each_chunk(texts):
+        for a, b, w in tk.each_chunk(texts, 1 << 20):
             start, end, alone, rows = self.spans(w)
             unique, at, back = np.unique(tk.span_hashes(w.data, start, end), return_index=True, return_inverse=True)
             place = np.searchsorted(self.known, unique)

@@ -33,6 +33,7 @@ QUERY = "op7_window_index"
 WINDOW, ANCHOR = 20, 6
 ROWS_PER_CELL = 1500
 FANOUT = 4
+FLUSH = 1_000_000
 BATCHES = 2
 LEAST = -(1 << 63)
 
@@ -62,22 +63,31 @@ def per_window(column: pa.Array, anchors: bool = True) -> Iterator[tuple[int, tk
 
 
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (cell, text) as distinct (fp, cell)."""
+    """Rows of (cell, text) as (fp, cell), distinct within every FLUSH of them."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        fp, cell = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        order = np.lexsort((cell, fp))
+        fp, cell = fp[order], cell[order]
+        new = np.ones(len(fp), bool)
+        new[1:] = (fp[1:] != fp[:-1]) | (cell[1:] != cell[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(cell[new])], names=["fp", "cell"])
+
     for batch in batches:
         cells = batch.column(0).to_numpy()
-        found = []
         for a, _, row, _, _, fp in per_window(batch.column(1)):
             change = np.ones(len(fp), bool)
             change[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
             found.append((fp[change], cells[a + row[change]]))
-        if not found:
-            continue
-        fp, cell = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((cell, fp))
-        fp, cell = fp[order], cell[order]
-        new = np.ones(len(fp), bool)
-        new[1:] = (fp[1:] != fp[:-1]) | (cell[1:] != cell[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(cell[new])], names=["fp", "cell"])
+            held += int(change.sum())
+            if held > FLUSH:
+                yield flush()
+                held = 0
+    if found:
+        yield flush()
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
