@@ -111,8 +111,9 @@ def unit(a: Column | str) -> Column:
 
 
 def level_score(level: Column | str) -> Column:
-    """A judged level on 0..1, clamped."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(level).cast("double") / TOP_LEVEL))
+    """A judged level on 0..1, clamped; null for null, which least and greatest alone would pass over."""
+    score = col(level).cast("double") / TOP_LEVEL
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 def judge_aggregate(response: Column | str) -> Column:
@@ -122,7 +123,8 @@ def judge_aggregate(response: Column | str) -> Column:
 
 
 def entailment_score(forward: Column | str, backward: Column | str) -> Column:
-    return F.least(col(forward), col(backward))
+    f, b = col(forward), col(backward)
+    return F.when(f.isNotNull() & b.isNotNull(), F.least(f, b))
 
 
 def epsilon(adaptations: Column | str, start: float = EPSILON_START, decay: float = EPSILON_DECAY, floor: float = EPSILON_FLOOR) -> Column:
