@@ -59,6 +59,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def whole_rows(df: DataFrame, **columns) -> DataFrame:
+    """``row``, a struct of all columns, beside the columns that an operator needs: whatever else a table has, its names can't clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unwrapped(df: DataFrame, names: list[str], **changed) -> DataFrame:
+    """The columns of ``row`` again, some of them changed."""
+    return df.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in names])
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns: others, whatever their names, can't clash with the operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import materialize, only, table
+from millrace.llm.common import materialize, only, table, unwrapped, whole_rows
 
 QUERY = "op6_partenum_join"
 
@@ -184,6 +184,7 @@ def signatures(at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
+@tk.released
 def set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (id, text) as (id, n, ka, kb): size and two hashes of the set."""
     for batch in batches:
@@ -195,6 +196,7 @@ def set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ka.view(np.int64)), pa.array(kb.view(np.int64))], names=["id", "n", "ka", "kb"])
 
 
+@tk.released
 def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (id, text) as (sig, node); of a task's equal sets only the first signs."""
     seen: dict[int, int] = {}
@@ -210,6 +212,7 @@ def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         done += batch.num_rows
 
 
+@tk.released
 def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition's (sig, node) rows: kind 0 has pairs (a < b), kind 1 the rows (a: sig, b: node) of large buckets."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -251,6 +254,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([a[new], sig[big]])), pa.array(np.concatenate([b[new], node[big]]))], names=["kind", "a", "b"])
 
 
+@tk.released
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (id, text) as (id, n, odd): of a set whose size has w binary digits, 2**(w + 2) bits of parity (64 at least)."""
     for batch in batches:
@@ -290,6 +294,7 @@ def sketches_pass(na: pa.Array, a: pa.Array, nb: pa.Array, b: pa.Array) -> pa.Ar
     return pa.array(out, pa.bool_())
 
 
+@tk.released
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (pivot, part, id, text) with the set in place of the text."""
     for batch in batches:
@@ -423,9 +428,8 @@ def join_components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``documents`` with one row of each component, the one of least doc_id; rows without shingles all stay."""
     found = join_components(only(docs, "doc_id", "text"))
-    drop = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_id")).distinct()
-    drop = materialize(drop, "join-dropped")
-    return docs.join(small_side(drop, drop.count()), F.col("doc_id") == F.col("_id"), "left_anti")
+    drop = materialize(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("k")).distinct(), "join-dropped")
+    return unwrapped(whole_rows(docs, k=F.col("doc_id")).join(small_side(drop, drop.count()), "k", "left_anti"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

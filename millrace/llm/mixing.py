@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import materialize, only, table
+from millrace.llm.common import materialize, only, table, unwrapped
 
 QUERY = "op2_hypergeometric_mix"
 
@@ -143,10 +143,9 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     cut, text = F.col("d.words") < F.col("size"), F.col("row.text")
     taken = taken.withColumn("text", F.when(cut, first_words(text, F.when(cut, F.col("d.words")))).otherwise(text))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("d.shard").cast("string"), F.col("d.pass").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    taken = taken.withColumn("_shard", F.col("d.shard")).withColumn("_key", key)
-    cols = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
-    spread = taken.select(*[cols.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], "_shard", "_key").repartition("_shard", F.substring("_key", 1, 1))
-    return spread.sortWithinPartitions("_shard", "_key").drop("_shard", "_key")
+    spread = taken.select("row", "text", cut.alias("cut"), F.col("d.shard").alias("shard"), key.alias("key")).repartition("shard", F.substring("key", 1, 1))
+    n_chars = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return unwrapped(spread.sortWithinPartitions("shard", "key"), docs.columns, text=F.col("text"), n_chars=n_chars)
 
 
 @F.arrow_udf(T.StringType())

@@ -33,6 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES_PER_SHARD = 8192
 #: Words kept encoded between batches of a worker; beyond that the table starts anew.
 WORDS_KEPT = 300_000
+RECENT_WORDS = 30_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -77,7 +78,24 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.start, self.count, self.ids = np.zeros(0, tk.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        none = np.zeros(0, tk.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.levels = [none, none]  # (hashes in order, starts, counts): the many, and those learnt since they were last merged
+        self.ids = np.zeros(0, np.uint32)
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and counts of these hashes' ids; start -1 where a hash isn't known."""
+        start, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for known, starts, counts in self.levels:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[place] == hashes
+                start[hit], count[hit] = starts[place[hit]], counts[place[hit]]
+        return start, count
+
+    @staticmethod
+    def merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
 
     def spans(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends, which spans are letters alone, and where each row's spans begin."""
@@ -121,33 +139,32 @@ class WordIds:
         place = np.empty(len(start), np.int64)
         place[order] = len(self.ids) + np.cumsum(count[order]) - count[order]
         self.ids = np.concatenate([self.ids, *ids])
-        known = np.concatenate([self.known, hashes])
-        by = np.argsort(known)
-        self.known, self.start, self.count = known[by], np.concatenate([self.start, place])[by], np.concatenate([self.count, count])[by]
+        self.levels[1] = self.merged(self.levels[1], (hashes, place, count))
+        if len(self.levels[1][0]) > RECENT_WORDS:
+            self.levels = [self.merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of those rows without end ids, ids of each row)."""
-        for a, b, w in tk.each_chunk(texts, 1 << 20):
+        for a, b, w in tk.each_chunk(texts, 1 << 19):
             start, end, alone, rows = self.spans(w)
             unique, at, back = np.unique(tk.span_hashes(w.data, start, end), return_index=True, return_inverse=True)
-            place = np.searchsorted(self.known, unique)
-            new = np.ones(len(unique), bool)
-            inside = place < len(self.known)
-            new[inside] = self.known[place[inside]] != unique[inside]
+            starts, counts = self.look_up(unique)
+            new = starts < 0
             if new.any():
-                if len(self.known) + int(new.sum()) > WORDS_KEPT:
+                if sum(len(x[0]) for x in self.levels) + int(new.sum()) > WORDS_KEPT:
                     self.clear()
                     new[:] = True
                 n = at[new]
                 self.learn(w.data, start[n], end[n], alone[n], unique[new])
-                place = np.searchsorted(self.known, unique)
-            count = self.count[place][back]
-            yield a, b, self.ids[tk.ragged(self.start[place][back], count)], tk.sums_by_row(count, rows)
+                starts, counts = self.look_up(unique)
+            count = counts[back]
+            yield a, b, self.ids[tk.ragged(starts[back], count)], tk.sums_by_row(count, rows)
 
 
 def cut(path: str, capacity: int, end_id: int):
     """A function for mapInArrow: rows of (id, text) become rows of pieces."""
 
+    @tk.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
         for batch in batches:

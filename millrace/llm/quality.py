@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import materialize, only, table
+from millrace.llm.common import materialize, only, table, unwrapped, whole_rows
 
 QUERY = "op10_robust_outliers"
 
@@ -230,9 +230,9 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``documents`` without those that the rules reject; the rows that stay are unchanged."""
-    stats = materialize(statistics(docs), "quality")
-    params = fit(stats)
-    return judge(docs.withColumn("c", count_udf("text")), params=params).where("kept").select(*docs.columns)
+    params = fit(materialize(statistics(docs), "quality"))
+    rows = whole_rows(docs, lang=F.col("lang"), source=F.col("source"), c=count_udf("text"))
+    return unwrapped(judge(rows, params=params).where("kept"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, only, table
+from millrace.llm.common import materialize, only, table, unwrapped, whole_rows
 
 QUERY = "op9_secret_ownership"
 
@@ -128,21 +128,22 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """
     spans = scan_secrets(only(docs, "doc_id", "text", "source").withColumn("key", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))), "key")
     marks = spans.where(F.size("spans") > 0).groupBy("id").agg(F.first("spans").alias("spans"))
-    marks = marks.select(F.col("id.doc_id").alias("_id"), F.col("id.t").alias("_t"), F.transform(F.array_sort("spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"))
-    text = F.coalesce("text", F.lit(""))
+    cut = F.transform(F.array_sort("spans"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    marks = materialize(marks.select(F.col("id.doc_id").alias("_id"), F.col("id.t").alias("_t"), cut.alias("cuts")), "secret-marks")
+    side = F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks
+    rows = whole_rows(docs, id=F.col("doc_id"), text=F.coalesce("text", F.lit("")), hash=F.sha2(F.coalesce("text", F.lit("")), 256))
+    text = F.col("text")
 
     def step(done: Column, x: Column) -> Column:
         new = x["start"] >= done["at"]
         out = F.concat(done["out"], F.substring(text, done["at"] + 1, F.greatest(x["start"] - done["at"], F.lit(0))), F.when(new, F.lit(mask)).otherwise(F.lit("")))
         return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("out"))
 
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    marks = materialize(marks, "secret-marks")
-    side = F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks
-    joined = docs.withColumn("_h", F.sha2(text, 256)).join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left")
-    joined = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text")))
-    cols = {"text": F.col("_new"), "n_chars": F.when(F.col("_spans").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
+    masked = F.aggregate("cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    joined = rows.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_t")), "left")
+    joined = joined.withColumn("new", F.when(F.col("cuts").isNotNull(), masked))
+    changed = {"text": F.coalesce("new", F.col("row")["text"]), "n_chars": F.coalesce(F.length("new").cast("long"), F.col("row")["n_chars"])}
+    return unwrapped(joined, docs.columns, **changed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,7 @@ def per_window(column: pa.Array, anchors: bool = True) -> Iterator[tuple[int, tk
         yield a, w, row, first, wh, fp
 
 
+@tk.released
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (cell, text) as (fp, cell), distinct within every FLUSH of them."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -95,6 +96,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
 
 
+@tk.released
 def shared_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges (fp, cell, new) rows of one partition by fp: (cell, fp) where several cells have fp and a new one is among them."""
     got = gathered(batches)
@@ -149,6 +151,7 @@ def verify_cell(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
     return pa.table([pa.array(h.view(np.int64)), pa.array(np.full(len(h), texts.column("cell")[0].as_py(), np.int64)), pa.array(d)], schema=schema)
 
 
+@tk.released
 def lost_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges (h, cell, low, new) rows of one partition by h: (cell, h) of new cells where a smaller doc_id elsewhere has the window."""
     got = gathered(batches)

@@ -7,7 +7,10 @@ code points. Hashes are 64 bits wide: a polynomial prefix hash taken modulo 2**6
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,30 @@ CHUNK_BYTES = 1 << 18
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Gives free memory back: Python workers are kept for later tasks, and what they hold counts against the executor."""
+    _tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable) -> Callable:
+    """A function for mapInArrow that calls ``release`` when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n."""
     have = _tables.get(base)
