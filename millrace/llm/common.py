@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
@@ -42,17 +42,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.materialized_at = at
+    return out
 
 
 def forget(df: DataFrame) -> None:
-    """Deletes what ``materialize`` wrote for ``df``, once nothing reads it any more."""
+    """Deletes what ``materialize`` wrote for ``df``, once nothing reads it any more. What results still read stays in the shared folder."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        with contextlib.suppress(Exception):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.materialized_at)
+    with contextlib.suppress(Exception):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quantile_ranges(df: DataFrame, name: str, ranges: int) -> list[int]:
+    """Where ranges of about equal rows begin (at most ``ranges``, of distinct values): few numbers, whatever the size or the gaps of ids."""
+    qs = [k / ranges for k in range(ranges)]
+    found = df.agg(F.percentile_approx(name, qs, 20 * ranges)).first()[0] or []
+    return sorted(set(found))
+
+
+def range_of(c: Column, starts: list[int]) -> Column:
+    """The number of the range that a value is in; values below all ranges are in the first."""
+    held = F.array(*[F.lit(x).cast("long") for x in starts[1:]]) if len(starts) > 1 else F.array().cast("array<bigint>")
+    return F.size(F.filter(held, lambda x: x <= c)).cast("long")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, only, table
+from millrace.llm.common import materialize, only, quantile_ranges, range_of, table
 
 QUERY = "op8_edit_embedding"
 
@@ -31,7 +31,7 @@ SEED = 20240229
 PERIOD = 1 << 12
 END = 0xFFFFFFFC
 #: Rows that a cell of ids aims to hold, and the most cells, which bounds what is broadcast (16 bytes a cell).
-ROWS_PER_CELL, MOST_CELLS = 1000, 1_000_000
+ROWS_PER_CELL, MOST_CELLS, RANGES = 500, 1_000_000, 128
 CHARS_AT_ONCE = 24_000_000
 
 
@@ -174,11 +174,16 @@ def with_next(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi, n = d.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
+    n, hi = d.agg(F.count("*"), F.max("id")).first()
     cells = max(1, min(MOST_CELLS, n // rows_per_cell))
-    width = max(1, -(-(hi - lo + 1) // cells))
-    cell = F.coalesce(F.expr(f"(id - {lo}L) div {width}L"), F.lit(-1).cast("long"))
+    starts = quantile_ranges(d, "id", min(RANGES, cells)) or [0]
+    parts = -(-cells // len(starts))
+    # Within a range, parts of equal width: ids that cluster fill a part with a range's rows at most.
+    ends = [*starts[1:], (0 if hi is None else hi) + 1]
+    number = range_of(F.col("id"), starts)
+    begin, width = (F.element_at(F.array(*[F.lit(float(x)) for x in xs]), number.cast("int") + 1) for xs in (starts, [max(1, -(-(e - s) // parts)) for s, e in zip(starts, ends, strict=True)]))
+    inside = F.least(F.greatest(F.floor((F.col("id").cast("double") - begin) / width), F.lit(0)), F.lit(parts - 1))
+    cell = F.coalesce(number * parts + inside, F.lit(-1).cast("long"))
     # A cell's first row is the one of the largest (id, text); ids tell it unless they repeat.
     tops = d.select(cell.alias("cell"), "id").groupBy("cell").agg(F.max("id").alias("top"), F.count("*").alias("n"))
     w = Window.orderBy("cell")

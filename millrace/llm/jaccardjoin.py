@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import materialize, only, table, unwrapped, whole_rows
+from millrace.llm.common import forget, materialize, only, table, unwrapped, whole_rows
 
 QUERY = "op6_partenum_join"
 
@@ -375,15 +375,18 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the least label among neighbours and then the label's own label, so chains shorten by halves.
     """
     edges = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).toDF("a", "b").distinct(), "join-edges")
-    labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "id"), "join-labels")
+    held = labels = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "id"), "join-labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("l").alias("m"))
         nxt = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("l", "m").alias("l"), F.col("l").alias("before"))
-        nxt = materialize(nxt, "join-labels")
-        jump = nxt.select(F.col("id").alias("j"), F.col("l").alias("jl"))
-        nxt = materialize(nxt.join(jump, F.col("l") == F.col("j")).select("id", F.least("l", "jl").alias("l"), "before"), "join-labels")
-        labels = nxt.select("id", "l")
+        step = materialize(nxt, "join-labels")
+        jump = step.select(F.col("id").alias("j"), F.col("l").alias("jl"))
+        nxt = materialize(step.join(jump, F.col("l") == F.col("j")).select("id", F.least("l", "jl").alias("l"), "before"), "join-labels")
+        forget(step)
+        forget(held)
+        held, labels = nxt, nxt.select("id", "l")
         if nxt.where(F.col("l") < F.col("before")).limit(1).count() == 0:
+            forget(edges)
             return labels.withColumnRenamed("l", "component")
 
 

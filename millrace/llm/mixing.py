@@ -19,11 +19,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from millrace.llm import textkernel as tk
 from millrace.llm.common import materialize, only, table, unwrapped
 
 QUERY = "op2_hypergeometric_mix"
@@ -38,9 +36,24 @@ SEED = 7
 MOST_BROADCAST = 20_000
 
 
-@F.arrow_udf(T.LongType())
-def count_words(texts: pa.Array) -> pa.Array:
-    return pa.array(tk.word_counts(texts))
+# Words, and the places where words end.
+WORD = r"[^\x20\x09-\x0D]+"
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
+
+
+def count_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its first n words."""
+    n = n.cast("int")
+    return F.array_join(F.slice(F.split(text, WORD_END, n + 1), F.lit(1), n), "")
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A small table from the driver, by Arrow: no Python worker takes part."""
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema))
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -99,13 +112,13 @@ def plan_mix(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
     for r, size, t in zip(totals, sizes, goal, strict=True):
         whole, rest = divmod(math.floor(t + 0.5), size) if size else (0, 0)
         plans.append((r["sk"], size, t, whole, rest, int(r["blocks"])))
-    schema = "sk string, source_size long, target double, passes long, rest long, blocks long"
+    schema = pa.schema([("sk", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("passes", pa.int64()), ("rest", pa.int64()), ("blocks", pa.int64())])
     hint = F.broadcast if len(plans) <= MOST_BROADCAST else (lambda x: x)
     # The last pass takes the blocks that start before its rest: counted, so that quotas are exact.
-    last = laid.join(hint(spark.createDataFrame(plans, schema)), "sk").groupBy("sk").agg(F.count_if(F.col("block_start") < F.col("rest")).alias("k"))
+    last = laid.join(hint(local_table(spark, plans, schema)), "sk").groupBy("sk").agg(F.count_if(F.col("block_start") < F.col("rest")).alias("k"))
     partial = {r["sk"]: int(r["k"]) for r in last.collect()}
     ends = np.cumsum(split_tree([p[3] * p[5] + partial[p[0]] for p in plans], shards, seed), axis=0)
-    known = spark.createDataFrame([(*p, [int(x) for x in ends[:, i]]) for i, p in enumerate(plans)], schema + ", ends array<long>")
+    known = local_table(spark, [(*p, ends[:, i].tolist()) for i, p in enumerate(plans)], schema.append(pa.field("ends", pa.list_(pa.int64()))))
     blocks = laid.drop("words", "source").join(hint(known), "sk")
     before = Window.partitionBy("sk", "block").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = sized.join(blocks, ["sk", "block"]).withColumn("start", F.col("block_start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
@@ -141,24 +154,13 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     plan = plan_mix(sized_rows(docs, seed=seed, keep="row"), seed=seed, **options)
     taken = plan.select("id", "size", "row", F.explode("draws").alias("d"))
     cut, text = F.col("d.words") < F.col("size"), F.col("row.text")
-    taken = taken.withColumn("text", F.when(cut, first_words(text, F.when(cut, F.col("d.words")))).otherwise(text))
+    taken = taken.withColumn("text", F.when(cut, first_words(text, F.col("d.words"))).otherwise(text))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("d.shard").cast("string"), F.col("d.pass").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     spread = taken.select("row", "text", cut.alias("cut"), F.col("d.shard").alias("shard"), key.alias("key")).repartition("shard", F.substring("key", 1, 1))
     n_chars = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
     return unwrapped(spread.sortWithinPartitions("shard", "key"), docs.columns, text=F.col("text"), n_chars=n_chars)
 
 
-@F.arrow_udf(T.StringType())
-def first_words(texts: pa.Array, words: pa.Array) -> pa.Array:
-    """Each text up to the end of its first so many words; the whole text where that is null."""
-    out = texts.to_pylist()
-    for i, n in enumerate(words.to_pylist()):
-        if n is not None:
-            found = tk.Words(*tk.buffers(texts.slice(i, 1)))
-            out[i] = found.data[: found.end[n - 1]].tobytes().decode() if n else ""
-    return pa.array(out, pa.string())
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(sized_rows(only(table(spark, sf_dir, "documents"), "doc_id", "text", "source")), "mix")
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])

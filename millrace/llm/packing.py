@@ -13,6 +13,7 @@ are packed once each; extra columns are ignored; an empty table gives an empty r
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -42,6 +43,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Workers are as many as cores already; the tokenizer's own threads would only add memory.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 @functools.lru_cache(2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer

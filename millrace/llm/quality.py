@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,8 +177,8 @@ def grouping(stats: DataFrame, least: int) -> DataFrame:
     n = n.withColumn("own", F.when(F.col("n") >= least, F.concat(F.lit("s"), F.to_json(F.struct("lang", "source")))))
     by_lang = n.where(F.col("own").isNull()).groupBy("lang").agg(F.sum("n").alias("nl"))
     by_lang = by_lang.withColumn("pool", F.when(F.col("nl") >= least, F.concat(F.lit("l"), F.to_json(F.struct("lang")))))
-    rest = by_lang.where(F.col("pool").isNull()).agg(F.coalesce(F.sum("nl"), F.lit(0)).alias("nr"))
-    p = by_lang.crossJoin(F.broadcast(rest)).select(F.col("lang").alias("l2"), F.coalesce("pool", F.when(F.col("nr") >= least, F.lit("all"))).alias("pool"))
+    rest = F.sum(F.when(F.col("pool").isNull(), F.col("nl"))).over(Window.partitionBy(F.lit(0)))  # one row per language
+    p = by_lang.withColumn("nr", rest).select(F.col("lang").alias("l2"), F.coalesce("pool", F.when(F.col("nr") >= least, F.lit("all"))).alias("pool"))
     return n.join(p, n["lang"].eqNullSafe(p["l2"]), "left").select("lang", "source", F.coalesce("own", "pool").alias("g"))
 
 

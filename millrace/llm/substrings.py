@@ -2,12 +2,12 @@
 
 A window is WINDOW consecutive words. Its fingerprint in the index is the least hash among its shingles of ANCHOR words, so equal windows
 have equal fingerprints, and neighbouring windows mostly share one: the index holds about an eighth as many rows as there are windows.
-Documents lie in cells, ranges of doc_id. Ingesting a batch writes one immutable run of (fingerprint, cell), sorted; the run is then merged with
+Documents lie in cells. Ingesting a batch writes one immutable run of (fingerprint, cell), sorted; the run is then merged with
 all earlier ones. Fingerprints found in more than one cell, at least one of them new, are verified: those cells hash the whole windows behind
 them, which gives the least doc_id of every such window, and the cells where a smaller doc_id has the window outside lose it. Windows that
 repeat within a cell or a document are settled there. When more than FANOUT runs exist they are compacted into one.
 
-A cell says a fingerprint or window once, however many of its documents have it, so a passage that a third of all documents share costs
+Cells are quantile ranges of doc_id, so gaps and clusters of ids don't matter, and within a range parts by hash. A cell says a fingerprint or window once, however many of its documents have it, so a passage that a third of all documents share costs
 one row per cell. Texts move once per ingest, to their cell.
 
 Defined cases: a null or empty text has no words; rows of one doc_id are not earlier than each other (each still loses its own repeats); a
@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import only, shared_dir, table
+from millrace.llm.common import only, quantile_ranges, range_of, shared_dir, table
 
 QUERY = "op7_window_index"
 
 WINDOW, ANCHOR = 20, 6
 ROWS_PER_CELL = 1500
+RANGES = 64
 FANOUT = 4
 FLUSH = 1_000_000
 BATCHES = 2
@@ -217,11 +218,13 @@ class WindowIndex:
         self.spark = documents.sparkSession
         self.at = at or f"{shared_dir(self.spark)}/windows-{uuid.uuid4().hex}"
         d = only(documents, "doc_id", "text")
-        lo, hi, n = d.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-        lo, hi = (0, 0) if lo is None else (lo, hi)
-        self.cells = max(1, n // rows_per_cell)
-        self.width = max(1, -(-(hi - lo + 1) // self.cells))
-        self.store = d.withColumn("cell", F.coalesce(F.expr(f"(doc_id - ({lo}L)) div {self.width}L"), F.lit(-1).cast("long")))
+        cells = max(1, d.count() // rows_per_cell)
+        starts = quantile_ranges(d, "doc_id", min(RANGES, cells))
+        parts = -(-cells // max(1, len(starts)))
+        self.cells = max(1, len(starts)) * parts
+        within = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts))
+        self.store = d.withColumn("cell", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(range_of(F.col("doc_id"), starts) * parts + within))
+        self.parts = parts
         self.runs: list[str] = []
         self.end = -1  # the first cell not ingested; cell -1 holds null ids
 
@@ -244,7 +247,7 @@ class WindowIndex:
         self.runs = [self.write_run(merged.distinct().repartition("fp"))]
 
     def ingest(self, below: int) -> DataFrame:
-        """Adds the cells from the last ingested one up to ``below``: doc_id, n_words, n_removed, kept_sha256 of their documents."""
+        """Adds the cells from the last ingested one up to ``below`` (where a range begins): doc_id, n_words, n_removed, kept_sha256 of their documents."""
         frm, self.end = self.end, below
         fresh, old = self.rows(below, frm), self.rows(frm)
         run = self.write_run(fresh.select("cell", "text").mapInArrow(fingerprint_rows, "fp long, cell long"))
@@ -270,8 +273,9 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, rows_per_cell: int =
     """Every document, ingested in ``batches`` steps in order of doc_id."""
     index = WindowIndex(docs, rows_per_cell)
     out = None
-    for k in range(1, batches + 1):
-        part = index.ingest(max(1, index.cells * k // batches) if k < batches else index.cells + 1)
+    ranges = index.cells // index.parts
+    for k in range(1, batches + 1):  # batches end where ranges do: earlier ones have smaller doc_ids
+        part = index.ingest(max(1, ranges * k // batches) * index.parts if k < batches else index.cells + 1)
         out = part if out is None else out.unionByName(part)
     return out
 
