@@ -15,7 +15,7 @@ from millrace.functions import columns as C
 from millrace.functions import jsonschema
 from millrace.operators import bandit, dedup, diversity, metrics
 from millrace.plans import grammar as G
-from millrace.sources.tables import metadata_record
+from millrace.sources.tables import metadata_record, ordered_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -326,8 +326,7 @@ def weighted_choice_cdf(spark, sf):
 def row_quota(spark, sf):
     c = read(spark, sf, "customer")
     n = c.count()
-    order = c.select("c_custkey", (F.row_number().over(Window.orderBy("c_custkey")) - 1).alias("row_idx"))
-    return order.withColumn("quota", C.row_quota("row_idx", n, 1000)).where("quota > 0").select("c_custkey", "quota")
+    return ordered_index(c.select("c_custkey"), "c_custkey").withColumn("quota", C.row_quota("row_idx", n, 1000)).where("quota > 0").select("c_custkey", "quota")
 
 
 @query(

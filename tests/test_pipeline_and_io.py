@@ -127,3 +127,11 @@ def test_stream_plans(spark, tmp_path):
 
 def test_evaluation_config(tmp_path):
     assert default_config(tmp_path / "x").to_dict() == {"recipe": "chat_sl", "task": "sentiment_classification", "train_file": str(tmp_path / "x"), "eval_file": None, "input_field": "text", "label_field": "label"}
+
+
+def test_ordered_index(spark):
+    rows = [(k * 37 % 101,) for k in range(101)] + [(None,), (5,), (5,)]
+    got = tables.ordered_index(spark.createDataFrame(rows, "k long").repartition(5), "k").orderBy("row_idx").collect()
+    assert [r["row_idx"] for r in got] == list(range(len(rows)))
+    assert [r["k"] for r in got] == sorted((r[0] for r in rows), key=lambda v: (v is not None, v or 0))
+    assert tables.ordered_index(spark.createDataFrame([], "k long"), "k").count() == 0
