@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import forget, materialize, only, table, unwrapped, whole_rows
+from millrace.llm.common import forget, materialize, only, partitions, table, unwrapped, whole_rows
 
 QUERY = "op6_partenum_join"
 
@@ -397,7 +397,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     keys = materialize(all_docs.mapInArrow(set_keys, "id long, n long, ka long, kb long"), "join-sets")
     # Equal sets: the least id stands for the class. Sums come before the shuffle, so a class of a third of all rows is no burden.
     classes = keys.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "ka", "kb").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    raw = materialize(named.mapInArrow(signature_rows, "sig long, node long").repartition("sig").mapInArrow(bucket_pairs, "kind int, a long, b long"), "join-buckets")
+    signed = named.mapInArrow(signature_rows, "sig long, node long").repartition(2 * partitions(docs.sparkSession), "sig")
+    raw = materialize(signed.mapInArrow(bucket_pairs, "kind int, a long, b long"), "join-buckets")
     pairs = raw.where("kind = 0").select("a", "b").distinct()
     big = raw.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
     nodes = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "join-nodes")
