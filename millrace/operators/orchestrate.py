@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import dedup_value
+from millrace.functions.columns import content_hash
 from millrace.operators.dedup import commit
 from millrace.operators.validators import Deduplication, Judge, Validator, Verdict, enabled, judged_scores
+from millrace.sources.tables import read_reference
 from millrace.spec import Metrics, Recipe
 
 
@@ -18,6 +19,9 @@ class Orchestrator:
         self.spark = spark
         self.validators: list[Validator] = enabled(config)
         self.seen: DataFrame | None = reference
+        for v in self.validators:
+            if isinstance(v, Deduplication) and v.config.get("reference_file"):
+                self.reference_from(read_reference(spark, v.config["reference_file"]), v.config.get("check_field", "content"))
 
     def assess(self, samples: DataFrame, recipe: Recipe) -> tuple[DataFrame, dict[str, Verdict]]:
         """samples (pos, content, metadata, ...) with scores, quality_scores and accepted; and the batch verdicts."""
@@ -60,7 +64,7 @@ class Orchestrator:
         """Seen hashes from a reference of JSON lines: the top-level ``field`` of each; lines that don't parse are skipped."""
         v = F.try_parse_json("value")
         found = lines.select(F.try_variant_get(v, f'$["{field}"]', "string").alias("content")).where(F.col("content").isNotNull())
-        hashed = found.select(F.sha2(dedup_value("content", F.create_map().cast("map<string,string>"), "content"), 256).alias("content_hash")).distinct()
+        hashed = found.select(content_hash("content").alias("content_hash")).distinct()
         self.seen = hashed if self.seen is None else self.seen.unionByName(hashed)
 
 

@@ -143,6 +143,15 @@ def test_reference_hashes_skip_bad_lines(spark):
     assert [r["accepted"] for r in out.orderBy("pos").collect()] == [False, True]
 
 
+def test_reference_file(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"plant": "cactus"}\n\nbad\n')
+    o = Orchestrator(spark, {"deduplication": {"enabled": True, "check_field": "plant", "reference_file": str(tmp_path / "r.jsonl")}})
+    out, _ = o.assess(samples(spark, ["a", "b"], [{"plant": "cactus"}, {"plant": "agave"}]), Recipe("d", "t", 1))
+    assert [r["accepted"] for r in out.orderBy("pos").collect()] == [False, True]
+    missing = Orchestrator(spark, {"deduplication": {"enabled": True, "reference_file": str(tmp_path / "none.jsonl")}})
+    assert missing.assess(samples(spark, ["a"]), Recipe("d", "t", 1))[0].where("accepted").count() == 1
+
+
 def context(**kw):
     return Context("d", kw.pop("task", "t"), 5, Progress(5), **kw)
 
