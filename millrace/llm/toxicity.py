@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import materialize, only, table
+from millrace.llm.common import materialize, only, partitions, table
 
 QUERY = "op3_nearest_examples"
 
@@ -264,7 +264,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
                 evidence.append(got[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-    scored = rows.mapInArrow(vote, "doc_id long, score double, evidence array<long>")
+    # The terms take few files; votes are dealt over as many tasks as any other shuffle.
+    scored = rows.repartition(partitions(docs.sparkSession)).mapInArrow(vote, "doc_id long, score double, evidence array<long>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
