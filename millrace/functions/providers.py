@@ -129,7 +129,7 @@ class OfflineEntailment:
 
 
 class HostedEntailment:
-    def __init__(self, model: str = "MoritzLaurer/DeBERTa-v3-base-mnli-fever-anli"):
+    def __init__(self, model: str = "MoritzLaurer/DeBERTa-v3-base-mnli"):
         import torch
         import transformers
 
