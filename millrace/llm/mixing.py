@@ -30,7 +30,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SHARDS = 16
-BLOCK_DIGITS = 3
+#: Hash blocks of a source: 16 to the power of as many digits as leave about so many rows a block if all rows were of one source.
+ROWS_PER_BLOCK = 1000
+MOST_DIGITS = 6
 SEED = 7
 #: The targets of at most so many sources are broadcast (about 200 bytes each).
 MOST_BROADCAST = 20_000
@@ -135,6 +137,7 @@ def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """What ``plan_mix`` needs of each row; ``keep`` names a struct with the whole row."""
     source = F.col(f"`{source_col}`")
     u = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))))
+    digits = min(MOST_DIGITS, max(2, math.ceil(math.log(max(1, docs.count() / ROWS_PER_BLOCK), 16))))
     d = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         source.alias("source"),
@@ -143,7 +146,7 @@ def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         u.alias("u"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(keep)] if keep else []),
     )
-    return d.withColumn("block", F.substring("u", 1, BLOCK_DIGITS))
+    return d.withColumn("block", F.substring("u", 1, digits))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -156,7 +159,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     cut, text = F.col("d.words") < F.col("size"), F.col("row.text")
     taken = taken.withColumn("text", F.when(cut, first_words(text, F.col("d.words"))).otherwise(text))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("d.shard").cast("string"), F.col("d.pass").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    spread = taken.select("row", "text", cut.alias("cut"), F.col("d.shard").alias("shard"), key.alias("key")).repartition("shard", F.substring("key", 1, 1))
+    spread = taken.select("row", "text", cut.alias("cut"), F.col("d.shard").alias("shard"), key.alias("key")).repartition("shard", F.substring("key", 1, 4))
     n_chars = F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
     return unwrapped(spread.sortWithinPartitions("shard", "key"), docs.columns, text=F.col("text"), n_chars=n_chars)
 
