@@ -20,8 +20,9 @@ def closed_form(vectors: DataFrame, batch: str, vector: str) -> DataFrame:
 
     A zero vector has no direction, so a batch with one is NaN, as it is by definition; batches of fewer than two are 1.0.
     """
-    size = norm(vector)
-    each = vectors.select(batch, F.when(size > 0, 1).otherwise(0).alias("_ok"), F.posexplode(as_double(vector)).alias("k", "x"), size.alias("_n"))
+    # The length is taken once per vector, before its components become rows.
+    sized = vectors.select(batch, as_double(vector).alias("_v"), norm(vector).alias("_n"))
+    each = sized.select(batch, F.when(F.col("_n") > 0, 1).otherwise(0).alias("_ok"), "_n", F.posexplode("_v").alias("k", "x"))
     sums = each.groupBy(batch, "k").agg(F.sum(F.try_divide("x", "_n")).alias("s"), F.count("*").alias("n"), F.min("_ok").alias("ok"))
     total = sums.groupBy(batch).agg(F.sum(F.col("s") * F.col("s")).alias("sq"), F.max("n").alias("n"), F.min("ok").alias("ok"))
     return total.select(batch, F.when(F.col("n") < 2, 1.0).when(F.col("ok") == 0, float("nan")).otherwise(F.expr("1 - try_divide(sq - n, CAST(n * (n - 1) AS DOUBLE))")).alias("diversity"))
