@@ -282,3 +282,13 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, rows_per_cell: int =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW}),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + {WINDOW - 1}], ' ') ORDER BY doc_id, i) > 1 AS again FROM i),
+g AS (SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM k WHERE again) GROUP BY doc_id),
+m AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
+h AS (SELECT doc_id, w, len(gone) AS n, list_filter(list_transform(range(1, len(w) + 1), lambda j: CASE WHEN list_contains(gone, j) THEN NULL ELSE w[j] END), lambda x: x IS NOT NULL) AS kept FROM m)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM h"""
