@@ -31,7 +31,7 @@ SEED = 20240229
 PERIOD = 1 << 12
 END = 0xFFFFFFFC
 #: Rows that a cell of ids aims to hold, and the most cells, which bounds what is broadcast (16 bytes a cell).
-ROWS_PER_CELL, MOST_CELLS, RANGES = 500, 1_000_000, 128
+ROWS_PER_CELL, MOST_CELLS, RANGES = 100, 1_000_000, 128
 CHARS_AT_ONCE = 24_000_000
 
 
