@@ -77,7 +77,7 @@ def dedup_reference_anti(spark, sf):
 def benchmark_overlap(spark, sf):
     """How many documents contain each item. Both sides meet on a hash of the item's first words, found at every place of a document; the items'
     text is then compared. The work grows with the words of the documents, not with documents times items."""
-    width = 8
+    width = 3
     d, b = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     words = lambda c: F.split(c, " ")
     head = lambda ws: F.xxhash64(F.array_join(F.slice(ws, 2, width), " "))
