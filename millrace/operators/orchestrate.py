@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.columns import content_hash
 from millrace.operators.dedup import commit
-from millrace.operators.validators import Deduplication, Judge, Validator, Verdict, enabled, judged_scores
+from millrace.operators.validators import Deduplication, Validator, Verdict, enabled, judged_scores
 from millrace.sources.tables import read_reference
 from millrace.spec import Metrics, Recipe
 
@@ -18,11 +18,20 @@ class Orchestrator:
     def __init__(self, spark: SparkSession, config: dict | None, reference: DataFrame | None = None):
         self.spark = spark
         self.validators: list[Validator] = enabled(config)
-        self.seen: DataFrame | None = reference
+        self.reference = reference
+        self.committed: list[str] = []  # of this run's accepted samples, so as few as the recipe asks for
         for v in self.validators:
             if isinstance(v, Deduplication) and v.config.get("reference_file"):
                 self.reference_from(read_reference(spark, v.config["reference_file"]), v.config.get("check_field", "content"))
 
+    @property
+    def seen(self) -> DataFrame | None:
+        """Every hash that counts as seen: one relation for the reference and one for the run, however many batches there were."""
+        own = self.spark.createDataFrame([(h,) for h in self.committed], "content_hash string") if self.committed else None
+        if self.reference is None or own is None:
+            return own if self.reference is None else self.reference
+        return self.reference.select("content_hash").unionByName(own)
+
     def assess(self, samples: DataFrame, recipe: Recipe) -> tuple[DataFrame, dict[str, Verdict]]:
         """samples (pos, content, metadata, ...) with scores, quality_scores and accepted; and the batch verdicts."""
         out = samples
@@ -57,27 +66,21 @@ class Orchestrator:
     def remember(self, assessed: DataFrame) -> None:
         """Adds the hashes of accepted samples to the seen ones."""
         if any(isinstance(v, Deduplication) for v in self.validators):
-            new = self.spark.createDataFrame(commit(assessed.where("accepted")).collect(), "content_hash string")  # one batch: a few hashes
-            self.seen = new if self.seen is None else self.seen.unionByName(new)
+            self.committed += [r["content_hash"] for r in commit(assessed.where("accepted")).collect()]  # one batch: a few hashes
 
     def reference_from(self, lines: DataFrame, field: str) -> None:
         """Seen hashes from a reference of JSON lines: the top-level ``field`` of each; lines that don't parse are skipped."""
         v = F.try_parse_json("value")
         found = lines.select(F.try_variant_get(v, f'$["{field}"]', "string").alias("content")).where(F.col("content").isNotNull())
         hashed = found.select(content_hash("content").alias("content_hash")).distinct()
-        self.seen = hashed if self.seen is None else self.seen.unionByName(hashed)
+        self.reference = hashed if self.reference is None else self.reference.select("content_hash").unionByName(hashed)
 
 
 def metrics_of(assessed: DataFrame, verdicts: dict[str, Verdict], quality_from: str = "llm_judge") -> Metrics:
     """Over accepted samples. Quality is the batch's own verdict, the same for each of them."""
-    names = set(assessed.columns)
-    mean = lambda n: F.avg(F.when(F.col("accepted"), F.col(f"{n}_score"))) if f"{n}_score" in names else F.lit(None).cast("double")
-    row = assessed.agg(F.count("*").alias("n"), F.count_if("accepted").alias("ok")).first()
+    means = [F.avg(F.when(F.col("accepted"), F.col(f"{n}_score"))).alias(n) for n in ("similarity", "diversity") if f"{n}_score" in assessed.columns]
+    row = assessed.agg(F.count("*").alias("n"), F.count_if("accepted").alias("ok"), *means).first().asDict()
     if not row["ok"]:
         return Metrics()
-    means = assessed.agg(*[(mean(n) if f"{n}_score" in names else F.max(F.lit(None).cast("double"))).alias(n) for n in ("similarity", "diversity")]).first()
     quality = verdicts[quality_from].score if quality_from in verdicts else None
-    return Metrics(row["ok"] / row["n"], row["ok"], quality, means["similarity"], means["diversity"])
-
-
-__all__ = ["Judge", "Orchestrator", "metrics_of"]
+    return Metrics(row["ok"] / row["n"], row["ok"], quality, row.get("similarity"), row.get("diversity"))
