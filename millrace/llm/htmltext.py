@@ -1,7 +1,7 @@
 """Main-text extraction by a recurrent block labeller.
 
-A page is cut into leaf blocks: runs of text that share a block-level place in the tag tree. Each block gives a vector of hashed tag-path
-tokens (tags, classes, ids, roles), hashed words and a few measures; a bidirectional LSTM in numpy reads the page's sequence of vectors and
+A page is cut into leaf blocks: runs of text that share a block-level place in the tag tree. Each block gives a vector of tag-path
+tokens (tags, classes, ids, roles; those that training never saw say nothing), hashed words and a few measures; a bidirectional LSTM in numpy reads the page's sequence of vectors and
 labels every block as main text or not, so each label depends on the whole page. The labeller is trained here, from a fixed seed, on pages
 that ``specimen`` generates with known labels (``SPECIMENS`` of them, a documented bound that does not depend on the data).
 
@@ -15,7 +15,7 @@ import functools
 import html as htmllib
 import random
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +28,10 @@ from millrace.llm.common import table
 
 QUERY = "op1_recurrent_extract"
 
-PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 128, 32, 6, 20
-INPUTS = PATH_DIMS + WORD_DIMS + MEASURES
-SPECIMENS, EPOCHS, BATCH, SEED = 1600, 6, 24, 11
+WORD_DIMS, MEASURES, HIDDEN = 32, 6, 20
+OTHERS = WORD_DIMS + MEASURES
+LEAST_SEEN = 8
+SPECIMENS, EPOCHS, BATCH, SEED = 3000, 6, 24, 11
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -123,39 +124,53 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
 
 @functools.lru_cache(50_000)
-def path_columns(path: str) -> np.ndarray:
-    """Columns of a path: its tokens, its last element's tag, and the pair of its last two tags."""
+def path_tokens(path: str) -> frozenset[str]:
+    """Tokens of a path: those of its elements, its last element's tag, and the pair of its last two tags."""
     levels = path.split("/")
-    tokens = {t for x in levels for t in x.split(" ")}
     tags = [x.split(" ", 1)[0] for x in levels]
-    tokens |= {"leaf " + tags[-1], "pair " + " ".join(tags[-2:])}
-    return np.array(sorted({zlib.crc32(t.encode()) % PATH_DIMS for t in tokens}))
+    return frozenset({t for x in levels for t in x.split(" ")} | {"leaf " + tags[-1], "pair " + " ".join(tags[-2:])})
 
 
-def features(found: list[tuple[str, str, int]], lengths: list[int]) -> np.ndarray:
-    """A row for each block; ``lengths`` has the blocks of each page."""
-    x = np.zeros((len(found), INPUTS), np.float32)
+class Inputs:
+    """The blocks of some pages: each one's path as a row of ``paths`` (distinct paths by known tokens), and its other features."""
+
+    def __init__(self, found: list[tuple[str, str, int]], lengths: list[int], vocabulary: dict[str, int]):
+        distinct: dict[str, int] = {}
+        self.path = np.array([distinct.setdefault(p, len(distinct)) for p, _, _ in found], np.int64)
+        self.paths = np.zeros((len(distinct), len(vocabulary)), np.float32)
+        for p, k in distinct.items():
+            self.paths[k, [vocabulary[t] for t in path_tokens(p) if t in vocabulary]] = 1
+        self.other = other_features(found, lengths)
+
+    def project(self, w_path: np.ndarray, w_other: np.ndarray) -> np.ndarray:
+        return (self.paths @ w_path)[self.path] + self.other @ w_other
+
+    def gradients(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by_path = np.zeros((len(self.paths), g.shape[1]), np.float32)
+        np.add.at(by_path, self.path, g)
+        return self.paths.T @ by_path, self.other.T @ g
+
+
+def other_features(found: list[tuple[str, str, int]], lengths: list[int]) -> np.ndarray:
+    """Hashed words and measures, a row for each block; ``lengths`` has the blocks of each page."""
+    x = np.zeros((len(found), OTHERS), np.float32)
     if not found:
         return x
-    for k, (path, _, _) in enumerate(found):
-        x[k, path_columns(path)] = 1
-    w_at = 0
     sizes = np.array([len(t) for _, t, _ in found], np.float32)
     words = np.zeros(len(found), np.float32)
     for a, b, w in tk.each_chunk(pa.array([t for _, t, _ in found], pa.large_string())):
         row = np.repeat(np.arange(b - a), w.count)
         column = (w.hashes(lower=True) >> tk.U64(40)).astype(np.int64) % WORD_DIMS
         got = np.bincount(row * WORD_DIMS + column, minlength=(b - a) * WORD_DIMS).reshape(b - a, WORD_DIMS)
-        x[a:b, PATH_DIMS : PATH_DIMS + WORD_DIMS] = got / np.maximum(1, np.linalg.norm(got, axis=1, keepdims=True))
+        x[a:b, :WORD_DIMS] = got / np.maximum(1, np.linalg.norm(got, axis=1, keepdims=True))
         words[a:b] = w.count
-    w_at = PATH_DIMS + WORD_DIMS
-    x[:, w_at] = np.log1p(sizes) / 6
-    x[:, w_at + 1] = np.log1p(words) / 5
-    x[:, w_at + 2] = np.minimum(1, np.array([c for _, _, c in found], np.float32) / np.maximum(1, sizes))
+    x[:, WORD_DIMS] = np.log1p(sizes) / 6
+    x[:, WORD_DIMS + 1] = np.log1p(words) / 5
+    x[:, WORD_DIMS + 2] = np.minimum(1, np.array([c for _, _, c in found], np.float32) / np.maximum(1, sizes))
     n = np.repeat(np.array(lengths), lengths)
-    x[:, w_at + 3] = tk.ragged(np.zeros(len(lengths), np.int64), np.array(lengths)) / n
-    x[:, w_at + 4] = [t[-1] in ".!?:;\"”»" for _, t, _ in found]
-    x[:, w_at + 5] = [t[0].isupper() for _, t, _ in found]
+    x[:, WORD_DIMS + 3] = tk.ragged(np.zeros(len(lengths), np.int64), np.array(lengths)) / n
+    x[:, WORD_DIMS + 4] = [t[-1] in ".!?:;\"”»" for _, t, _ in found]
+    x[:, WORD_DIMS + 5] = [t[0].isupper() for _, t, _ in found]
     return x
 
 
@@ -186,15 +201,20 @@ def run_direction(z: np.ndarray, mask: np.ndarray, u: np.ndarray, trace: list |
 class Labeller:
     """Bidirectional LSTM with a logistic output for each block."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, vocabulary: dict[str, int] | None = None, seed: int = SEED):
         rng = np.random.default_rng(seed)
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
+        self.vocabulary = vocabulary or {}
+        n = len(self.vocabulary)
         self.w = {}
         for d in "fb":
             bias = np.zeros(4 * HIDDEN, np.float32)
             bias[HIDDEN : 2 * HIDDEN] = 1
-            self.w |= {f"w{d}": init(INPUTS, 4 * HIDDEN), f"u{d}": init(HIDDEN, 4 * HIDDEN), f"b{d}": bias}
-        self.w |= {"v": init(2 * HIDDEN, 1), "s": np.zeros((INPUTS, 1), np.float32), "c": np.zeros(1, np.float32)}
+            self.w |= {f"p{d}": init(n, 4 * HIDDEN) if n else np.zeros((0, 4 * HIDDEN), np.float32), f"w{d}": init(OTHERS, 4 * HIDDEN), f"u{d}": init(HIDDEN, 4 * HIDDEN), f"b{d}": bias}
+        self.w |= {"v": init(2 * HIDDEN, 1), "ps": np.zeros((n, 1), np.float32), "s": np.zeros((OTHERS, 1), np.float32), "c": np.zeros(1, np.float32)}
+
+    def inputs(self, found: list[tuple[str, str, int]], lengths: list[int]) -> Inputs:
+        return Inputs(found, lengths, self.vocabulary)
 
     @staticmethod
     def padded(x: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,30 +225,31 @@ class Labeller:
         mask = t < n
         return np.where(mask, first + t, 0), np.where(mask, first + n - 1 - t, 0), mask, n
 
-    def scores(self, x: np.ndarray, lengths: list[int]) -> np.ndarray:
+    def scores(self, x: Inputs, lengths: list[int]) -> np.ndarray:
         """The log odds of main text for each block."""
         fw, bw, mask, _ = self.padded(x, lengths)
-        w, h = self.w, np.zeros((len(x), 2 * HIDDEN), np.float32)
+        w, h = self.w, np.zeros((len(x.path), 2 * HIDDEN), np.float32)
         for d, rows, part in (("f", fw, slice(0, HIDDEN)), ("b", bw, slice(HIDDEN, None))):
-            z = (x @ w[f"w{d}"] + w[f"b{d}"])[rows]
+            z = (x.project(w[f"p{d}"], w[f"w{d}"]) + w[f"b{d}"])[rows]
             h[rows[mask], part] = run_direction(z, mask, w[f"u{d}"])[mask]
-        return (h @ w["v"] + x @ w["s"] + w["c"])[:, 0]
+        return (h @ w["v"] + x.project(w["ps"], w["s"]) + w["c"])[:, 0]
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, lengths: list[int]) -> tuple[float, dict]:
+    def gradients(self, x: Inputs, y: np.ndarray, lengths: list[int]) -> tuple[float, dict]:
         fw, bw, mask, _ = self.padded(x, lengths)
-        w, h, kept = self.w, np.zeros((len(x), 2 * HIDDEN), np.float32), {}
+        w, h, kept = self.w, np.zeros((len(x.path), 2 * HIDDEN), np.float32), {}
         for d, rows, part in (("f", fw, slice(0, HIDDEN)), ("b", bw, slice(HIDDEN, None))):
             trace: list = []
-            z = (x @ w[f"w{d}"] + w[f"b{d}"])[rows]
+            z = (x.project(w[f"p{d}"], w[f"w{d}"]) + w[f"b{d}"])[rows]
             h[rows[mask], part] = run_direction(z, mask, w[f"u{d}"], trace)[mask]
             kept[d] = trace
-        p = sigmoid((h @ w["v"] + x @ w["s"] + w["c"])[:, 0])
+        p = sigmoid((h @ w["v"] + x.project(w["ps"], w["s"]) + w["c"])[:, 0])
         e = ((p - y) / len(y))[:, None]
-        grad = {"v": h.T @ e, "s": x.T @ e, "c": e.sum(0)}
+        grad = {"v": h.T @ e, "c": e.sum(0)}
+        grad["ps"], grad["s"] = x.gradients(e)
         dh_out = e @ w["v"].T
         for d, rows, part in (("f", fw, slice(0, HIDDEN)), ("b", bw, slice(HIDDEN, None))):
             u = w[f"u{d}"]
-            du, dz_rows = np.zeros_like(u), np.zeros((len(x), 4 * HIDDEN), np.float32)
+            du, dz_rows = np.zeros_like(u), np.zeros((len(x.path), 4 * HIDDEN), np.float32)
             dh, dc = np.zeros((len(lengths), HIDDEN), np.float32), np.zeros((len(lengths), HIDDEN), np.float32)
             own = dh_out[:, part]
             for t in range(len(rows) - 1, -1, -1):
@@ -241,7 +262,8 @@ class Labeller:
                 real = mask[t]
                 dz_rows[rows[t][real]] = da[real]
                 dh, dc = np.where(m, da @ u.T, dh), np.where(m, dct * f, dc)
-            grad |= {f"u{d}": du, f"w{d}": x.T @ dz_rows, f"b{d}": dz_rows.sum(0)}
+            grad |= {f"u{d}": du, f"b{d}": dz_rows.sum(0)}
+            grad[f"p{d}"], grad[f"w{d}"] = x.gradients(dz_rows)
         loss = -float(np.mean(y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)))
         return loss, grad
 
@@ -256,7 +278,7 @@ class Labeller:
             for a in range(0, len(order), batch):
                 chosen = [pages[k] for k in order[a : a + batch]]
                 lengths = [len(p[0]) for p in chosen]
-                x = features([b for p in chosen for b in p[0]], lengths)
+                x = self.inputs([b for p in chosen for b in p[0]], lengths)
                 y = np.array([t for p in chosen for t in p[1]], np.float32)
                 loss, grad = self.gradients(x, y, lengths)
                 step += 1
@@ -344,15 +366,18 @@ def specimen(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
         for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 25, 40])):
             r = rng.random()
             size = rng.choice([1, 1, 2, 4, 12, 30, 60, 120])
-            if r < 0.68:
+            if r < 0.62:
                 body = say(words(size), 1)
                 parts.append(rng.choice([f"<p>{body}</p>"] * 4 + [f"<p><b>{body}<br>", f"<div>{body}</div>", f"<p>{body}"]))
-            elif r < 0.78:
+            elif r < 0.70:
                 parts.append(f"<{(t := rng.choice(['h2', 'h3', 'h4']))}>{say(words(rng.randint(1, 6)), 1)}</{t}>")
-            elif r < 0.86:
+            elif r < 0.76:
                 parts.append("<ul>" + "".join(f"<li>{say(words(rng.randint(2, 20)), 1)}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
-            elif r < 0.93:
-                parts.append(f"<{(t := rng.choice(['blockquote', 'pre', 'figcaption', 'td']))}>{say(words(size), 1)}</{t}>")
+            elif r < 0.82:
+                parts.append(f"<{(t := rng.choice(['blockquote', 'pre', 'figcaption', 'dd']))}>{say(words(size), 1)}</{t}>")
+            elif r < 0.86:
+                cells = "".join(f"<td>{say(words(rng.randint(1, 6)), 1)}</td>" for _ in range(rng.randint(1, 4)))
+                parts.append(f"<table><tr>{cells}</tr></table>")
             else:
                 parts.append(other(rng.choice(["ad", "side", "form", "notice"])))
         if rng.random() < 0.15:
@@ -367,9 +392,10 @@ def specimen(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             body = '<{0} {1}="{2}">{3}</{0}>'.format(rng.choice(["div", "section"]), rng.choice(["class", "id"]), rng.choice(NAMES["main"].split()), body)
         return f'<main role="main">{body}</main>' if rng.random() < 0.15 else body
 
-    before = [r for r in ("notice", "header", "nav", "ad", "side") if rng.random() < 0.55]
+    bare = rng.random() < 0.1  # nothing around the main text
+    before = [] if bare else [r for r in ("notice", "header", "nav", "ad", "side") if rng.random() < 0.55]
     rng.shuffle(before)
-    after = [r for r in ("side", "comments", "form", "ad", "nav", "notice", "footer") if rng.random() < 0.45]
+    after = [] if bare else [r for r in ("side", "comments", "form", "ad", "nav", "notice", "footer") if rng.random() < 0.45]
     body = "".join(other(r) for r in before) + main_text() + "".join(other(r) for r in after)
     if rng.random() < 0.3:
         body = f'<div {rng.choice(["class", "id"])}="{rng.choice(["wrapper", "page", "container", "site", "root"])}">{body}</div>'
@@ -393,8 +419,10 @@ def labelled(rng: random.Random) -> tuple[list[tuple[str, str, int]], list[int]]
 @functools.lru_cache(1)
 def trained(specimens: int = SPECIMENS, seed: int = SEED) -> Labeller:
     rng = random.Random(seed)
-    model = Labeller(seed)
-    model.fit([x for x in (labelled(rng) for _ in range(specimens)) if x[0]])
+    pages = [x for x in (labelled(rng) for _ in range(specimens)) if x[0]]
+    seen = Counter(t for found, _ in pages for p in {b[0] for b in found} for t in path_tokens(p))
+    model = Labeller({t: k for k, t in enumerate(sorted(t for t, n in seen.items() if n >= LEAST_SEEN))}, seed)
+    model.fit(pages)
     return model
 
 
@@ -407,7 +435,7 @@ def main_texts(model: Labeller, pages: list[str], at_once: int = 128) -> list[st
     for a in range(0, len(order), at_once):
         part = order[a : a + at_once]
         lengths = [len(found[k]) for k in part]
-        score = model.scores(features([b for k in part for b in found[k]], lengths), lengths)
+        score = model.scores(model.inputs([b for k in part for b in found[k]], lengths), lengths)
         at = 0
         for k in part:
             n = len(found[k])
@@ -416,9 +444,9 @@ def main_texts(model: Labeller, pages: list[str], at_once: int = 128) -> list[st
     return out
 
 
-def extract(weights: dict):
+def extract(vocabulary: dict[str, int], weights: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Labeller()
+        model = Labeller(vocabulary)
         model.w = weights
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
@@ -432,7 +460,8 @@ def extract(weights: dict):
 def extract_main_text(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of (page_id, url, html)."""
     p = pages.select("page_id", "url", F.col("html"))
-    return p.mapInArrow(extract((model or trained()).w), "page_id long, url string, text string, n_chars long")
+    model = model or trained()
+    return p.mapInArrow(extract(model.vocabulary, model.w), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def test_held_out_pages():
     for _ in range(150):
         found, labels = htmltext.labelled(rng)
         if found:
-            got = model.scores(htmltext.features(found, [len(found)]), [len(found)]) >= 0
+            got = model.scores(model.inputs(found, [len(found)]), [len(found)]) >= 0
             blocks += len(labels)
             wrong += int((got != np.array(labels, bool)).sum())
     assert blocks > 2000 and wrong / blocks < 0.02
@@ -54,12 +54,13 @@ def test_pages_of_any_kind(spark):
 
 
 def test_gradients_by_differences():
-    model = htmltext.Labeller(3)
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((7, htmltext.INPUTS)).astype(np.float32)
-    y = (rng.random(7) > 0.5).astype(np.float32)
+    found = [(p, t, 0) for p, t in zip(["html/body/p", "html/body/div class:ad/p", "html/body/p", "html/body/nav/ul/li"] * 2, "One two. three Four five six! seven eight nine".split() , strict=False)][:7]
+    vocabulary = {t: k for k, t in enumerate(sorted({t for p, _, _ in found for t in htmltext.path_tokens(p)}))}
+    model = htmltext.Labeller(vocabulary, 3)
+    x = model.inputs(found, [4, 3])
+    y = (np.random.default_rng(0).random(7) > 0.5).astype(np.float32)
     _, grad = model.gradients(x, y, [4, 3])
-    for name in ("uf", "wb", "v", "bf"):
+    for name in ("uf", "wb", "pf", "ps", "v", "bf"):
         at = tuple(np.unravel_index(int(np.abs(grad[name]).argmax()), grad[name].shape))
         kept = model.w[name][at]
         loss = []
