@@ -256,7 +256,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tk.released
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, text) as (id, n, odd): of a set whose size has w binary digits, 2**(w + 2) bits of parity (64 at least)."""
+    """Rows of (id, text) as (id, n, odd): of a set whose size has w binary digits, 2**w bits of parity (64 at least)."""
     for batch in batches:
         for a, b, at, s in shingle_sets(batch.column(1)):
             n = np.diff(at)
@@ -267,7 +267,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def odd_sketch(s: np.ndarray) -> bytes:
-    bits = max(64, 1 << (int(len(s)).bit_length() + 2))
+    bits = max(64, 1 << int(len(s)).bit_length())
     parity = np.bincount((tk.mix(s ^ tk.U64(0x2545F4914F6CDD1D)) & tk.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
@@ -418,8 +418,11 @@ def join_components(docs: DataFrame) -> DataFrame:
     found = links.union(copies)
     named_by = components(found)
     left = big.join(named_by, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    mixed = left.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("sig")
-    open_rows = materialize(left.join(mixed, "sig"), "join-open")
+    # Whether a bucket is still of several components is summed and sent back by (sig, salt), so a bucket of very many sets stays spread.
+    left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int"))
+    part = left.groupBy("sig", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = part.groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi")).select("sig")
+    open_rows = materialize(left.join(part.select("sig", "salt").join(mixed, "sig"), ["sig", "salt"]).drop("salt"), "join-open")
     if open_rows.limit(1).count():
         more = open_rows.join(odd, F.col("node") == F.col("id")).select("sig", "node", "component", "n", "odd").groupBy("sig").applyInArrow(cross_pairs, "a long, b long")
         extra = materialize(exact_links(named, more.distinct()), "join-links")
