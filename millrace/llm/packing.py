@@ -150,7 +150,7 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of those rows without end ids, ids of each row)."""
-        for a, b, w in tk.each_chunk(texts, 1 << 19):
+        for a, b, w in tk.each_chunk(texts):
             start, end, alone, rows = self.spans(w)
             unique, at, back = np.unique(tk.span_hashes(w.data, start, end), return_index=True, return_inverse=True)
             starts, counts = self.look_up(unique)
@@ -172,23 +172,27 @@ def cut(path: str, capacity: int, end_id: int):
     @tk.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(path)
-        for batch in batches:
-            for a, b, ids, lengths in words.encode(batch.column(1)):
-                ends = np.cumsum(lengths + 1)
-                laid = np.full(int(ends[-1]), end_id, np.uint32)
-                own = np.ones(len(laid), bool)
-                own[ends - 1] = False
-                laid[own] = ids
-                n = -(-(lengths + 1) // capacity)
-                row = np.repeat(np.arange(b - a), n)
-                piece = tk.ragged(np.zeros(b - a, np.int64), n)
-                start = piece * capacity
-                size = np.minimum(lengths[row] + 1 - start, capacity)
-                first = (ends - lengths - 1)[row] + start
-                raw = memoryview(laid.astype("<u4", copy=False).tobytes())
-                crc = [zlib.crc32(raw[4 * f : 4 * (f + s)]) for f, s in zip(first.tolist(), size.tolist(), strict=True)]
-                cols = [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                for a, b, ids, lengths in words.encode(batch.column(1)):
+                    ends = np.cumsum(lengths + 1)
+                    laid = np.full(int(ends[-1]), end_id, np.uint32)
+                    own = np.ones(len(laid), bool)
+                    own[ends - 1] = False
+                    laid[own] = ids
+                    n = -(-(lengths + 1) // capacity)
+                    row = np.repeat(np.arange(b - a), n)
+                    piece = tk.ragged(np.zeros(b - a, np.int64), n)
+                    start = piece * capacity
+                    size = np.minimum(lengths[row] + 1 - start, capacity)
+                    first = (ends - lengths - 1)[row] + start
+                    raw = memoryview(laid.astype("<u4", copy=False).tobytes())
+                    crc = [zlib.crc32(raw[4 * f : 4 * (f + s)]) for f, s in zip(first.tolist(), size.tolist(), strict=True)]
+                    cols = [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            words.clear()
+            tokenizer.cache_clear()  # a worker that waits for its next task holds no vocabulary
 
     return run
 
