@@ -13,7 +13,7 @@ _own_dir: list[str] = []
 
 
 #: Rows that go to a Python worker at once, where the session sets no number itself: texts can be long, and two batches are in flight a task.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

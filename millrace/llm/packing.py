@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -286,18 +285,17 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def pack_shard(capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "rid"], ascending=[False, True], kind="stable", ignore_index=True)
-        lengths = pdf["length"].tolist()
-        bin_of, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.lexsort((table.column("rid").to_numpy(), -table.column("length").to_numpy())))
+        lengths = table.column("length").to_pylist()
+        bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for k, members in enumerate(pack(lengths, capacity)):
             at = 0
             for i in members:
                 bin_of[i], offset[i] = k, at
                 at += lengths[i]
-        pdf["sequence_id"] = pdf["shard"].to_numpy("int64") * (1 << 32) + bin_of
-        pdf["offset"] = offset
-        return pdf.drop(columns=["rid", "shard"])
+        sequence = table.column("shard").to_numpy().astype(np.int64) * (1 << 32) + bin_of
+        return table.drop_columns(["rid", "shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return run
 
@@ -308,7 +306,7 @@ def pack_pieces(found: DataFrame, capacity: int = CAPACITY, per_shard: int = PIE
     shards = max(1, round(kept.count() / per_shard))
     kind = kept.schema["id"].dataType.simpleString()
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(pack_shard(capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("shard").applyInArrow(pack_shard(capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:

@@ -13,7 +13,6 @@ verdict; extra columns are ignored; an empty table gives an empty result. Very l
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -143,32 +142,39 @@ def distance() -> Column:
     return total
 
 
-def _start(pdf: pd.DataFrame) -> pd.DataFrame:
+def _params(g: str, m: np.ndarray, p: np.ndarray, scale: float) -> pa.Table:
+    vectors = pa.list_(pa.float64())
+    return pa.table([pa.array([g], pa.string()), pa.array([m.tolist()], vectors), pa.array([p.tolist()], vectors), pa.array([scale])], names=["g", "m", "p", "scale"])
+
+
+def _start(table: pa.Table) -> pa.Table:
     """Medians, and quartile distances as standard deviations, from a group's histogram of each statistic."""
+    stat, bins, n = (table.column(c).to_numpy() for c in ("i", "bin", "n"))
     m, p = np.zeros(P), np.zeros(len(PAIRS))
-    for i, g in pdf.groupby("i"):
-        g = g.sort_values("bin")
-        cum, edge = g["n"].cumsum().to_numpy() / g["n"].sum(), g["bin"].to_numpy() * FLOORS[i] / 4
+    for i in range(P):
+        own = np.flatnonzero(stat == i)
+        own = own[np.argsort(bins[own])]
+        cum, edge = n[own].cumsum() / n[own].sum(), bins[own] * FLOORS[i] / 4
         q1, m[i], q3 = (edge[np.searchsorted(cum, q)] for q in (0.25, 0.5, 0.75))
         p[PAIRS.index((i, i))] = 1 / max(FLOORS[i], (q3 - q1) / 1.349) ** 2
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "m": [m], "p": [p]})
+    return _params(table.column("g")[0].as_py(), m, p, 1.0)
 
 
-def _concentrate(pdf: pd.DataFrame) -> pd.DataFrame:
+def _concentrate(table: pa.Table) -> pa.Table:
     """Mean and precision of the nearest CORE of a group, from its moments by distance bin."""
-    pdf = pdf.sort_values("bin")
-    n = pdf["n"].to_numpy().astype(float)
-    k = int(np.searchsorted(np.cumsum(n), CORE * n.sum() - 1e-9)) + 1
-    near = pdf.iloc[:k]
-    total = near["n"].sum()
-    m = np.array([near[f"s{i}"].sum() / total for i in range(P)])
+    bins, n = table.column("bin").to_numpy(), table.column("n").to_numpy().astype(float)
+    order = np.argsort(bins)
+    near = order[: int(np.searchsorted(np.cumsum(n[order]), CORE * n.sum() - 1e-9)) + 1]
+    total = n[near].sum()
+    mean = lambda c: table.column(c).to_numpy()[near].sum() / total
+    m = np.array([mean(f"s{i}") for i in range(P)])
     cov = np.zeros((P, P))
     for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = near[f"q{i}_{j}"].sum() / total - m[i] * m[j]
+        cov[i, j] = cov[j, i] = mean(f"q{i}_{j}") - m[i] * m[j]
     cov += np.diag(np.square(FLOORS))
-    edge = 2.0 ** ((near["bin"].iloc[-1] + 1) / BINS_PER_OCTAVE)
     precision = np.linalg.inv(cov)
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "m": [m], "p": [np.array([precision[i, j] for i, j in PAIRS])], "scale": [max(1.0, edge / CHI2_CORE)]})
+    edge = 2.0 ** ((bins[near[-1]] + 1) / BINS_PER_OCTAVE)
+    return _params(table.column("g")[0].as_py(), m, np.array([precision[i, j] for i, j in PAIRS]), max(1.0, edge / CHI2_CORE))
 
 
 def grouping(stats: DataFrame, least: int) -> DataFrame:
@@ -205,13 +211,13 @@ def fit(stats: DataFrame, least_group: int = LEAST_GROUP, steps: int = STEPS) ->
     x = _named(with_group(stats, groups, n).where(F.col("g").isNotNull())).select("g", "lang", "source", *[f"x{i}" for i in range(P)])
     each = x.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * (4 / FLOORS[i]) + 0.5).alias("bin")) for i in range(P)])).alias("e"))
     hist = each.groupBy("g", "e.i", "e.bin").agg(F.count("*").alias("n"))
-    params = hist.groupBy("g").applyInPandas(_start, "g string, m array<double>, p array<double>").withColumn("scale", F.lit(1.0))
+    params = hist.groupBy("g").applyInArrow(_start, "g string, m array<double>, p array<double>, scale double")
     for k in range(steps):
         params = groups.join(params, "g", "left")
         params = materialize(params, f"quality-step{k}")
         d = with_group(x.drop("g"), params, n).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * BINS_PER_OCTAVE))
         sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]]
-        params = d.groupBy("g", "bin").agg(*sums).groupBy("g").applyInPandas(_concentrate, "g string, m array<double>, p array<double>, scale double")
+        params = d.groupBy("g", "bin").agg(*sums).groupBy("g").applyInArrow(_concentrate, "g string, m array<double>, p array<double>, scale double")
     return materialize(groups.join(params, "g", "left"), "quality-fit"), n
 
 
