@@ -41,7 +41,7 @@ TIERS = 4
 #: Sets of at most this size use groups of 3 partitions of which 2 must agree; larger ones single partitions, whose contents are selective enough.
 GROUPED_BELOW = 48
 #: Within a bucket, sets of different components are compared in blocks of so many.
-BLOCK = 1024
+BLOCK = 512
 #: Ids that are broadcast at most (16 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
 PIVOT_ROWS = 64
@@ -308,6 +308,7 @@ def verify(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     if not members.num_rows or not pivots.num_rows:
         return schema.empty_table()
+    tk.release_sometimes()
     p = np.frombuffer(pivots.column("elements")[0].as_py(), tk.U64)
     a, b = [], []
     for member, raw in zip(members.column("id").to_pylist(), members.column("elements"), strict=True):
@@ -324,6 +325,7 @@ def verify(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
 def cross_pairs(key: tuple, rows: pa.Table) -> pa.Table:
     """Pairs within a bucket whose components differ and whose sketches pass: rows of (sig, node, component, n, odd)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    tk.release_sometimes(1024)
     node, comp, n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
     raw = rows.column("odd").to_pylist()
     size = min(map(len, raw), default=0)

@@ -37,6 +37,17 @@ def release() -> None:
         pass
 
 
+_calls = 0
+
+
+def release_sometimes(every: int = 64) -> None:
+    """``release`` at every so many calls, for functions that are called once a group."""
+    global _calls
+    _calls += 1
+    if _calls % every == 0:
+        release()
+
+
 def released(run: Callable) -> Callable:
     """A function for mapInArrow that calls ``release`` when its task ends."""
 
