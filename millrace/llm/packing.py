@@ -4,7 +4,7 @@ Tokens: each distinct word of a batch is encoded once and the ids are laid out a
 works on each word alone, so this gives the ids of whole texts. Pieces go to shards of a bounded number of pieces by a hash of the row, so
 the work spreads however ids or sources are distributed. Within a shard pieces are placed by best fit, longest first; then the local search
 moves a piece, exchanges one for one, or two for one, between underfull bins wherever that raises the sum of squared fills, until no move
-helps or the number of bins is the least possible.
+helps or the number of bins is the least possible. Every bin is tried, and tried again after it has changed.
 
 Defined cases: a null or empty text is its end token alone; a text longer than a sequence is cut into full pieces and a rest; repeated rows
 are packed once each; extra columns are ignored; an empty table gives an empty result.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,57 +227,157 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, targets: int = 4) -> list[list[int]]:
-    """Empties the least filled bins by moves and exchanges that raise the sum of squared fills."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    open_bins = [k for k in range(len(bins)) if fill[k] < capacity]
-
-    def kinds(members: list[int]) -> list[int]:
-        """At most two members of each length: others would give the same exchanges."""
-        seen: dict[int, int] = {}
-        out = []
+class Offers:
+    """For each open bin what it can take out of itself (nothing, one piece, two pieces), as flat arrays that hold an open bin's sums once.
+
+    A bin's old rows die when it changes and its new ones are appended; dead rows go when they are the more.
+    """
+
+    def __init__(self, lengths: list[int]):
+        self.lengths = lengths
+        self.size = self.dead = 0
+        self.columns = [np.empty(1024, np.int32) for _ in range(4)]  # bin, pieces, their sum, the bin's room (-1: dead)
+        self.rows: dict[int, tuple[int, int]] = {}
+
+    def sums(self, members: list[int]) -> list[list[int]]:
+        """The distinct sums, in order, of no piece, one piece, and two pieces."""
+        sizes = [self.lengths[i] for i in members]
+        one = sorted(set(sizes))
+        two = {a + b for k, a in enumerate(one) for b in one[:k]}
+        if len(one) < len(sizes):
+            two |= {2 * a for a, n in Counter(sizes).items() if n > 1}
+        return [[0], one, sorted(two)]
+
+    def own(self, k: int, pieces: int) -> np.ndarray:
+        """Bin k's sums of so many pieces, in order."""
+        a, b = self.rows[k]
+        n, total = (c[a:b] for c in self.columns[1:3])
+        x, y = np.searchsorted(n, (pieces, pieces + 1))
+        return total[x:y]
+
+    def drop(self, k: int) -> None:
+        a, b = self.rows.pop(k, (0, 0))
+        self.columns[3][a:b] = -1
+        self.dead += b - a
+
+    def put(self, k: int, members: list[int], room: int) -> None:
+        self.drop(k)
+        if 2 * self.dead > max(1024, self.size):
+            live = np.flatnonzero(self.columns[3][: self.size] >= 0)
+            for c in self.columns:
+                c[: len(live)] = c[live]
+            self.size, self.dead = len(live), 0
+            owner = self.columns[0][: self.size]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if self.size else np.zeros(0, np.int64)
+            self.rows = {int(owner[x]): (int(x), int(y)) for x, y in zip(first, [*first[1:], self.size], strict=True)}
+        if not members:
+            return
+        sums = self.sums(members)
+        n = len(sums[0]) + len(sums[1]) + len(sums[2])
+        if self.size + n > len(self.columns[0]):
+            self.columns = [np.concatenate([c, np.empty(max(n, len(c)), np.int32)]) for c in self.columns]
+        a, b = self.size, self.size + n
+        for c, x in zip(self.columns, (k, [m for m, x in enumerate(sums) for _ in x], [y for x in sums for y in x], room), strict=True):
+            c[a:b] = x
+        self.rows[k], self.size = (a, b), b
+
+    def members(self, members: list[int], pieces: int, total: int) -> tuple[int, ...]:
+        """So many of these pieces with this sum."""
+        if pieces == 0:
+            return ()
+        by_length: dict[int, int] = {}
         for i in members:
-            seen[lengths[i]] = seen.get(lengths[i], 0) + 1
-            if seen[lengths[i]] <= 2:
-                out.append(i)
-        return out
-
-    def improve(k: int) -> bool:
-        """One change that takes from bin k; it pays if the other bin ends fuller than before and fuller than k was."""
-        best, change = 0, None
-        for j in open_bins:
-            room = capacity - fill[j]
-            if j == k or not bins[j] or not room:
+            if pieces == 1 and self.lengths[i] == total:
+                return (i,)
+            if pieces == 2 and total - self.lengths[i] in by_length:
+                return (i, by_length[total - self.lengths[i]])
+            by_length[self.lengths[i]] = i
+        raise ValueError("no such pieces")
+
+
+#: Pieces given and taken in a change: a move, an exchange of one for one, of two for one, and of one for two.
+CHANGES = ((1, (0, 1, 2)), (2, (1,)))
+
+
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Moves and exchanges that raise the sum of squared fills, the least filled bins first, until none is left or the bins are the least possible.
+
+    A bin is looked at again whenever it has changed, with all others as receivers and as givers; so at the end no change between any two helps.
+    """
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    used = sum(1 for b in bins if b)
+    if used <= least:
+        return [b for b in bins if b]
+    offers = Offers(lengths)
+    waiting = np.zeros(len(bins), bool)
+
+    def changed(k: int) -> None:
+        full = fill[k] >= capacity
+        offers.put(k, [] if full else bins[k], int(capacity - fill[k]))
+        waiting[k] = bool(bins[k]) and not full
+
+    def gives(k: int) -> tuple[int, ...] | None:
+        """The best change in which bin k's fill falls: giver, pieces and sum given, receiver, pieces and sum taken.
+
+        For each offer of a receiver the largest sum that fits gains most: d (f + d) grows with d wherever it is above 0.
+        """
+        owner, pieces, total, room = (c[: offers.size] for c in offers.columns)
+        best, found = 0, None
+        for n, takes in CHANGES:
+            mine = offers.own(k, n)
+            if not len(mine):
                 continue
-            mine, theirs = kinds(bins[k]), kinds(bins[j])
-            options = [((x,), ()) for x in mine if lengths[x] <= room]
-            options += [((x,), (y,)) for x in mine for y in theirs if 0 < lengths[x] - lengths[y] <= room]
-            options += [((x, z), (y,)) for a, x in enumerate(mine) for z in mine[:a] for y in theirs if 0 < lengths[x] + lengths[z] - lengths[y] <= room]
-            options += [((x,), (y, z)) for x in mine for a, y in enumerate(theirs) for z in theirs[:a] if 0 < lengths[x] - lengths[y] - lengths[z] <= room]
-            for give, take in options:
-                d = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                gain = 2 * d * (fill[j] - fill[k] + d)
-                if gain > best:
-                    best, change = gain, (j, give, take, d)
-        if change is None:
-            return False
-        j, give, take, d = change
-        bins[k] = [i for i in bins[k] if i not in give] + list(take)
-        bins[j] = [i for i in bins[j] if i not in take] + list(give)
-        fill[k] -= d
-        fill[j] += d
-        return True
-
-    done: set[int] = set()
-    while sum(1 for b in bins if b) > least and len(done) < targets:
-        k = min((k for k in open_bins if bins[k] and k not in done), key=lambda k: fill[k], default=None)
-        if k is None:
+            at = np.searchsorted(mine, total + room, "right") - 1
+            d = mine[at] - total
+            gain = d.astype(np.int64) * (capacity - room - fill[k] + d)
+            ok = (at >= 0) & (d > 0) & (room >= 0) & (owner != k)
+            if len(takes) == 1:
+                ok &= pieces == takes[0]
+            gain *= ok
+            i = int(gain.argmax())
+            if gain[i] > best:
+                best, found = int(gain[i]), (k, n, int(total[i] + d[i]), int(owner[i]), int(pieces[i]), int(total[i]))
+        return found
+
+    def gets(k: int) -> tuple[int, ...] | None:
+        """The best change in which bin k's fill rises."""
+        owner, pieces, total, room = (c[: offers.size] for c in offers.columns)
+        best, found = 0, None
+        for n, takes in CHANGES:
+            mine = np.sort(np.concatenate([offers.own(k, m) for m in takes]))
+            # For each sum that another bin can give the least of k's that leaves it fitting gains most.
+            at = np.searchsorted(mine, total - int(capacity - fill[k]))
+            d = total - mine[np.minimum(at, len(mine) - 1)]
+            gain = d.astype(np.int64) * (fill[k] - (capacity - room) + d)
+            gain *= (at < len(mine)) & (d > 0) & (room >= 0) & (owner != k) & (pieces == n)
+            i = int(gain.argmax())
+            if gain[i] > best:
+                taken = int(total[i] - d[i])
+                m = next(m for m in takes if taken in offers.own(k, m))
+                best, found = int(gain[i]), (int(owner[i]), n, int(total[i]), k, m, taken)
+        return found
+
+    for k in range(len(bins)):
+        changed(k)
+    while used > least:
+        ready = np.flatnonzero(waiting)
+        if not len(ready):
             break
-        while bins[k] and improve(k):
-            pass
-        if bins[k]:
-            done.add(k)
+        k = int(ready[fill[ready].argmin()])
+        change = gives(k) or gets(k)
+        if change is None:
+            waiting[k] = False
+            continue
+        giver, n, given, receiver, m, taken = change
+        give, take = offers.members(bins[giver], n, given), offers.members(bins[receiver], m, taken)
+        bins[giver] = [i for i in bins[giver] if i not in give] + list(take)
+        bins[receiver] = [i for i in bins[receiver] if i not in take] + list(give)
+        fill[giver] -= given - taken
+        fill[receiver] += given - taken
+        used -= not bins[giver]
+        changed(giver)
+        changed(receiver)
     return [b for b in bins if b]
 
 

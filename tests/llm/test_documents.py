@@ -1,6 +1,7 @@
 """Operators over documents against brute force, with nulls, empties, long texts, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -133,6 +134,32 @@ def test_local_search_empties_bins():
     assert len(swap) == 2
 
 
+def test_local_search_goes_on_where_best_fit_is_poor():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1000, 1701, 900).tolist()
+    bins = packing.pack(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(900))
+    assert all(sum(lengths[i] for i in b) <= packing.CAPACITY for b in bins)
+    least = -(-sum(lengths) // packing.CAPACITY)
+    assert len(packing.best_fit(lengths, packing.CAPACITY)) > 1.08 * least and len(bins) <= 1.02 * least
+
+
+def test_local_search_ends_where_no_change_helps():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        lengths = rng.integers(1, 60, int(rng.integers(3, 30))).tolist()
+        bins = packing.pack(lengths, 100)
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        if len(bins) == -(-sum(lengths) // 100):
+            continue
+        for k, j in itertools.permutations(range(len(bins)), 2):
+            for give, take in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                for x in itertools.combinations(bins[k], give):
+                    for y in itertools.combinations(bins[j], take):
+                        d = sum(lengths[i] for i in x) - sum(lengths[i] for i in y)
+                        assert not (0 < d <= 100 - fill[j] and fill[j] + d > fill[k])
+
+
 # op6
 
 
