@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are words (runs of letters, lower case) and prefixes of words. From a bounded, documented sample of labelled rows (MOST_TOXIC and
-MOST_CLEAN, the least by a hash of the id) the terms that tell the classes apart are chosen; how many documents have each term is counted
-over all documents. Examples with equal term vectors are merged, keeping how many of either class they stand for. The index holds each
+MOST_CLEAN, the least by a hash of the id) all terms that mark toxic rows are chosen, and no others: neighbours are exact in these terms.
+How many documents have each term is counted over all documents. Examples with equal term vectors are merged, keeping how many of either class they stand for. The index holds each
 term's postings in blocks of example numbers with the largest weight per block; a query takes blocks in order of their upper bound until no
 block can reach the K best, so its neighbours are exact. Votes weigh by squared cosine and by how much of the labelled rows the sample
 stands for; the share of toxic votes, drawn towards the base rate by PRIOR_VOTES, is the score, and the neighbours are its evidence.
@@ -28,7 +28,6 @@ from millrace.llm.common import materialize, only, partitions, table
 QUERY = "op3_nearest_examples"
 
 MOST_TOXIC, MOST_CLEAN = 10_000, 15_000
-MOST_TERMS = 4096
 LEAST_SUPPORT, LEAST_LIFT, LEAST_Z = 5, 3.0, 4.0
 PREFIXES = (4, 5, 6, 7)
 #: A term that a text has so many times is also a term of its own: the cosine alone would not see how often a single term occurs.
@@ -119,7 +118,10 @@ def find_terms(terms: np.ndarray, keep: list[str]):
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors over terms; postings by term, cut into blocks of BLOCK example numbers, with each block's largest weight."""
+    """Examples as unit vectors over terms; postings by term, cut into blocks of BLOCK example numbers, with each block's largest weight.
+
+    Only pairs of term and block that have postings are held, so the size is that of the examples, whatever the number of terms.
+    """
 
     def __init__(self, examples: list[tuple[list[int], list[int]]], idf: np.ndarray):
         self.idf = idf.astype(np.float64)
@@ -135,12 +137,18 @@ class BlockMaxIndex:
         order = np.lexsort((number, term))
         self.number, self.weight = number[order], w[order]
         key = term[order] * self.blocks + self.number // BLOCK
-        self.start = np.searchsorted(key, np.arange(v * self.blocks + 1))
-        self.largest = np.zeros(v * self.blocks)
-        np.maximum.at(self.largest, key, self.weight)
-        self.largest = self.largest.reshape(v, self.blocks)
+        self.pairs, start = np.unique(key, return_index=True)
+        self.start = np.concatenate([start, [len(key)]])
+        self.largest = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.of_term = np.searchsorted(self.pairs, np.arange(v + 1) * self.blocks)
         self.size = n
 
+    def bounds(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the cosine of any example of each block can be at most."""
+        count = self.of_term[t + 1] - self.of_term[t]
+        pair = tk.ragged(self.of_term[t], count)
+        return np.bincount(self.pairs[pair] % self.blocks, np.repeat(w, count) * self.largest[pair], self.blocks)
+
     def vector(self, terms: list[int], tf: list[int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(terms, np.int64)
         w = (1 + np.log(np.array(tf, np.float64))) * self.idf[t]
@@ -149,7 +157,10 @@ class BlockMaxIndex:
     def scores(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The examples of these blocks that share a term, and their cosines."""
         key = (t[:, None] * self.blocks + blocks[None, :]).ravel()
-        begin, count = self.start[key], self.start[key + 1] - self.start[key]
+        pair = np.searchsorted(self.pairs, key)
+        pair[pair == len(self.pairs)] = 0
+        held = self.pairs[pair] == key if len(self.pairs) else np.zeros(len(key), bool)
+        begin, count = self.start[pair], np.where(held, self.start[np.minimum(pair + 1, len(self.pairs))] - self.start[pair], 0)
         posting = tk.ragged(begin, count)
         slot = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(t)), count) + self.number[posting] % BLOCK
         score = np.bincount(slot, np.repeat(np.repeat(w, len(blocks)), count) * self.weight[posting], len(blocks) * BLOCK)
@@ -162,7 +173,7 @@ class BlockMaxIndex:
         The blocks of largest bound are scored first; then, at once, all whose bound reaches the k-th best cosine found.
         """
         t, w = self.vector(terms, tf)
-        bound = w @ self.largest[t]
+        bound = self.bounds(t, w)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         number, score = self.scores(t, w, order[:FIRST_BLOCKS])
@@ -214,7 +225,7 @@ def choose_terms(counted: DataFrame, toxic: int, clean: int) -> np.ndarray:
     both = (F.col("t") + F.col("c") + 0.5) / max(1, toxic + clean)
     z = (p - q) / F.sqrt(both * (1 - F.least(both, F.lit(0.999))) * (1 / max(1, toxic) + 1 / max(1, clean)))
     good = counted.where((F.col("t") >= LEAST_SUPPORT) & (p >= LEAST_LIFT * q)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    got = [r["term"] for r in good.orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()]
+    got = [r["term"] for r in good.select("term").collect()]  # at most the terms that LEAST_SUPPORT of the sampled toxic rows share
     return np.sort(np.array(got, np.int64).view(tk.U64))
 
 

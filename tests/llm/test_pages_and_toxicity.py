@@ -144,6 +144,21 @@ def test_search_is_exact():
         assert cosine == pytest.approx(s[got])
 
 
+def test_every_marking_term_is_chosen(spark):
+    """More marking terms than any fixed number of slots: texts whose marks are the weakest are still found."""
+    marks = 6000
+    counted = spark.range(marks + 100).selectExpr("id AS term", f"CASE WHEN id < {marks} THEN 20 + id % 50 ELSE 20 END AS t", f"CASE WHEN id < {marks} THEN 0L ELSE 40L END AS c")
+    assert toxicity.choose_terms(counted, 500, 1000).tolist() == list(range(marks))
+
+
+def test_index_is_as_large_as_its_examples():
+    examples = [([k, 99_999], [1, 2]) for k in range(1000)]
+    index = toxicity.BlockMaxIndex(examples, np.ones(100_000))
+    assert len(index.pairs) == 1000 + index.blocks and sum(x.nbytes for x in (index.pairs, index.start, index.largest)) < 1e5
+    number, cosine = index.nearest([7], [1])
+    assert number.tolist() == [7] and 0 < cosine[0] < 1
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     from textmaker import prose
