@@ -4,7 +4,8 @@ A shared random walk reads a text: at step j it emits the character under its po
 all texts share (1 three times in four). Texts a small edit distance apart fall back into step soon after an edit, so edit distance becomes Hamming distance between the
 emitted strings. Of these a fingerprint keeps LANES sampled positions: lane j mod LANES holds the emission with the least random value among
 its (position, character) pairs, which samples positions alike for texts of every length. The share of equal lanes estimates the share of
-equal positions. Fingerprints are cut into bands to propose pairs, and proposed pairs are verified by banded edit distance.
+equal positions. Fingerprints are cut into bands to propose pairs, and proposed pairs are verified by banded edit distance
+(``linked_pairs``); the query stops at fingerprints and the comparison with the next document.
 
 Defined cases: a null text is empty; two empty texts are alike (1.0); characters are code points, folded to 8 bits for the walk; the last
 document's next is the first; a table of one row is its own next; repeated ids follow each other in order of text; a null doc_id sorts last;
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, only, quantile_ranges, range_of, table
+from millrace.llm.jaccardjoin import components
 
 QUERY = "op8_edit_embedding"
 
@@ -215,10 +217,15 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(_print_rows, "doc_id long, fingerprint string")
 
 
+def band_rows(prints: DataFrame, bands: int = 32) -> DataFrame:
+    """doc_id, band."""
+    width = 2 * LANES // bands
+    return prints.select("doc_id", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("fingerprint", 1 + k * width, width)) for k in range(bands)])).alias("band"))
+
+
 def banded_pairs(prints: DataFrame, bands: int = 32) -> DataFrame:
     """Pairs (a, b) that share a band: each row of a band with the band's least doc_id, so a large group gives as many pairs as it has rows."""
-    width = 2 * LANES // bands
-    each = prints.select("doc_id", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("fingerprint", 1 + k * width, width)) for k in range(bands)])).alias("band"))
+    each = band_rows(prints, bands)
     least = each.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
     salted = each.join(least.select("band", "a"), "band")
     return salted.where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
@@ -271,5 +278,22 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, most: float = 0.2) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, edits long")
 
 
+def linked_pairs(docs: DataFrame, prints: DataFrame, bands: int = 32, most: float = 0.2) -> DataFrame:
+    """Links (a, b, edits) whose components are those of all pairs that share a band and are within ``most``.
+
+    The stars of the bands come first; then, within each band, all pairs whose components still differ.
+    """
+    links = materialize(verified_pairs(docs, banded_pairs(prints, bands), most), "sketch-links")
+    labels = components(links.select("a", "b"))
+    named = band_rows(prints, bands).join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = materialize(named.where(F.col("doc_id").isNotNull()), "sketch-bands")
+    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
+    left = named.join(mixed, "band")
+    right = left.select("band", F.col("doc_id").alias("other"), F.col("component").alias("theirs"))
+    cross = left.join(right, "band").where((F.col("doc_id") < F.col("other")) & (F.col("component") != F.col("theirs")))
+    more = verified_pairs(docs, cross.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct(), most)
+    return links.unionByName(more).distinct()
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(only(table(spark, sf_dir, "documents"), "doc_id", "text"))

@@ -323,6 +323,38 @@ def test_near_copies_are_banded_and_verified(docs, rows):
         assert a < b and (d == 0) == (texts[a] == texts[b])
 
 
+def test_links_beyond_the_star_of_a_band(spark):
+    """One hub of a band is near none of the others, which are near each other in two groups: brute force finds the same components."""
+    import random
+
+    from textmaker import prose
+
+    rng = random.Random(6)
+    shared, rows = prose(rng, 60), []
+    for g in range(3):
+        base = shared + prose(rng, 90)
+        for k in range(4):
+            cut = rng.randrange(len(shared), len(base) - 8)
+            rows.append((g * 10 + k, base[:cut] + "edited" + base[cut + 6 :]))
+    rows.append((-5, shared + prose(rng, 300)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = spark.createDataFrame([(i, "00" * editsketch.LANES) for i, _ in rows], "doc_id long, fingerprint string")  # all share each band
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and editsketch.edit_distance(x, y, int(0.2 * max(len(x), len(y)))) is not None}
+    group = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    star = editsketch.verified_pairs(df, editsketch.banded_pairs(prints)).count()
+    links = editsketch.linked_pairs(df, prints)
+    found = {(r["a"], r["b"]) for r in links.collect()}
+    assert star == 0 and found <= near and len(set(group.values())) == 4
+    mine = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in found:
+            mine[a] = mine[b] = min(mine[a], mine[b])
+    assert mine == group
+
+
 @pytest.mark.parametrize(("a", "b", "d"), [("kitten", "sitting", 3), ("", "abc", 3), ("abc", "abc", 0), ("flaw", "lawn", 2), ("ab", "ba", 2)])
 def test_edit_distance(a, b, d):
     assert editsketch.edit_distance(a, b, 9) == d
