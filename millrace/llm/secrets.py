@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency. Native: DataFrame functions only, no Python on the executors.
 
 Candidates come from three fixed patterns (``BASE``) and from long mixed tokens that no base span overlaps (``token``). Every candidate's
-value is hashed; hashes are then aggregated over the whole corpus by distinct repositories and owners. A value that many owners or many
-repositories hold is a copied example; one that stays with a few owners looks live. Base spans are always reported; a ``token`` span is
+value is hashed; hashes are then aggregated over the whole corpus by distinct repositories and owners. A value that many owners hold is a
+copied example; one that stays with a few owners looks live, however many repositories (documents) they hold it in: copies within an owner say
+nothing about who else has it. Base spans are always reported; a ``token`` span is
 added only where its value is owner-specific.
 
 Defined cases: null and empty texts have no spans; a null owner counts as one owner of its own; repeated rows are reported once each and
@@ -36,6 +37,7 @@ SALTS = 64
 #: Marked rows that are broadcast at most (about 150 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 200_000
 MAX_OWNERS = 2
+#: Of the SQL only, which the operator matches where no value of a few owners is in more documents than this.
 MAX_REPOSITORIES = 50
 
 
@@ -97,15 +99,17 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int | None = None
 ) -> DataFrame:
-    """Per row: id, base and spans (arrays of start, kind, end, value), counts by kind, n_live and n_copied."""
+    """Per row: id, base and spans (arrays of start, kind, end, value), counts by kind, n_live and n_copied. Owners decide alone unless ``max_repositories`` is given."""
     seen = materialize(scan(docs, id_col, text_col, owner_col), "secrets")
     each = seen.where(F.size("base") + F.size("extra") > 0).select("rid", "id", "owner", F.explode(F.concat("base", "extra")).alias("x"))
     each = each.select("rid", "id", "owner", "x", F.sha2(F.col("x.value"), 256).alias("hash"), F.pmod(F.col("rid"), F.lit(SALTS)).alias("salt"))
     # A value's verdict goes back to its rows by (hash, salt), of which a value has at most SALTS: no task gets all rows of a hot value.
     places = each.select("hash", "salt").distinct().join(ownership(each), "hash")
-    told = each.join(places, ["hash", "salt"]).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+    told = each.join(places, ["hash", "salt"]).withColumn("live", F.col("n_owners") <= max_owners)
+    if max_repositories is not None:
+        told = told.withColumn("live", F.col("live") & (F.col("n_repositories") <= max_repositories))
     by_row = told.groupBy("rid").agg(
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),

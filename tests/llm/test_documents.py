@@ -402,6 +402,16 @@ def test_widely_held_values_are_copied_examples(spark):
     assert got[0] == (0, 1) and got[50] == (1, 0)
 
 
+def test_copies_within_one_owner_stay_live(spark):
+    value = "Ab3Xy9" * 6
+    df = spark.createDataFrame([(k, f"key {value} end", None, "s", 0) for k in range(80)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = secrets.scan_secrets(df).select("n_live", "n_copied", secrets.listed(F.col("spans")).alias("s")).distinct().collect()
+    assert [tuple(r) for r in got] == [(1, 0, "token:4:40")]
+    assert {r["text"] for r in secrets.redact(df).collect()} == {"key [REDACTED] end"}
+    few = secrets.scan_secrets(df, max_repositories=50).first()
+    assert (few["n_live"], few["n_copied"]) == (0, 1)
+
+
 def test_redaction(wide, rows, none):
     out = secrets.redact(wide)
     assert out.columns == wide.columns and out.count() == len(rows)
