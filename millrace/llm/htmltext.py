@@ -41,8 +41,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article section main body html div nav aside header footer form select".split())
 
+#: An svg or math tag that closes itself is empty (a slash that ends an unquoted value closes nothing); others hide all up to their end tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(script|style|textarea|title|iframe|noscript|template|svg|math)\b(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:--!?>|\Z)|<(?:svg|math)(?=[\s/])(?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++)|[^>=])*?/>|<(script|style|textarea|title|iframe|noscript|template|svg|math)\b(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )

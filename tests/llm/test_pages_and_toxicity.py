@@ -44,6 +44,12 @@ def test_reader_of_broken_markup():
     assert htmltext.blocks("<ul><li>a<li>b</ul>")[1][0].endswith("ul/li")
 
 
+@pytest.mark.parametrize("icon", ['<svg class="icon"/>', "<svg/>", "<math />", "<SVG a='x>y' viewBox=\"0 0 1 1\" hidden />", '<svg class="a" data-x=b />', "<svg><path d='M0'/></svg>", "<svg a=b/><path/></svg>"])
+def test_svg_and_math_hide_only_themselves(icon):
+    assert [b[1] for b in htmltext.blocks(f"<p>before {icon}after</p><p>next</p>")] == ["before after", "next"]
+    assert [b[1] for b in htmltext.blocks(f"<p>a{icon}</p><p>b</p><svg><text>unseen</text></svg><p>c</p>")] == ["a", "b", "c"]
+
+
 def test_pages_of_any_kind(spark):
     rows = [(1, "u", None, "extra"), (2, None, "", "extra"), (3, "u", "<article><p>" + "words and words. " * 5000 + "</p></article>", "extra"), (3, "u", "<p>", "extra"), (None, None, "plain text", "extra")]
     got = htmltext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
