@@ -73,9 +73,11 @@ def letters(data: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """The ids of words by the words' hashes. A word of letters that ends in marks is two spans, as it is for the tokenizer."""
+    """The ids of words by two hashes of 64 bits: one finds a word, the other must agree as well. If ever it doesn't, the table starts anew
+    under other seeds. A word of letters that ends in marks is two spans, as it is for the tokenizer."""
 
     def __init__(self, path: str):
+        self.seed = 0
         self.tokenizer = tokenizer(path)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -83,17 +85,19 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, tk.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.levels = [none, none]  # (hashes in order, starts, counts): the many, and those learnt since they were last merged
+        none = np.zeros(0, tk.U64), np.zeros(0, tk.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.levels = [none, none]  # (hashes in order, second hashes, starts, counts): the many, and those learnt since they were last merged
         self.ids = np.zeros(0, np.uint32)
 
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and counts of these hashes' ids; start -1 where a hash isn't known."""
+    def look_up(self, hashes: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Starts and counts of these words' ids, start -1 where a word isn't known; None if two words share a hash."""
         start, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for known, starts, counts in self.levels:
+        for known, others, starts, counts in self.levels:
             if len(known):
                 place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 hit = known[place] == hashes
+                if (others[place[hit]] != second[hit]).any():
+                    return None
                 start[hit], count[hit] = starts[place[hit]], counts[place[hit]]
         return start, count
 
@@ -119,7 +123,7 @@ class WordIds:
         start[second], end[second] = turn[two], w.end[two]
         return start, end, alone, at[w.at]
 
-    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray, hashes: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray, hashes: np.ndarray, second: np.ndarray) -> None:
         raw = data.tobytes()
         ids, count = [], np.zeros(len(start), np.int64)
         own = np.flatnonzero(alone)
@@ -144,24 +148,35 @@ class WordIds:
         place = np.empty(len(start), np.int64)
         place[order] = len(self.ids) + np.cumsum(count[order]) - count[order]
         self.ids = np.concatenate([self.ids, *ids])
-        self.levels[1] = self.merged(self.levels[1], (hashes, place, count))
+        self.levels[1] = self.merged(self.levels[1], (hashes, second, place, count))
         if len(self.levels[1][0]) > RECENT_WORDS:
             self.levels = [self.merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
 
+    def known(self, w: tk.Words, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Starts and counts of the ids of each distinct span, and which of these each span is; None if two spans share a hash."""
+        unique, at, back = np.unique(tk.span_hashes(w.data, start, end, self.seed), return_index=True, return_inverse=True)
+        all_second = tk.span_hashes(w.data, start, end, self.seed + 1)
+        second = all_second[at]
+        if (second[back] != all_second).any() or (found := self.look_up(unique, second)) is None:
+            return None
+        new = found[0] < 0
+        if new.any():
+            if sum(len(x[0]) for x in self.levels) + int(new.sum()) > WORDS_KEPT:
+                self.clear()
+                new[:] = True
+            n = at[new]
+            self.learn(w.data, start[n], end[n], alone[n], unique[new], second[new])
+            found = self.look_up(unique, second)
+        return (*found, back)
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of those rows without end ids, ids of each row)."""
         for a, b, w in tk.each_chunk(texts):
             start, end, alone, rows = self.spans(w)
-            unique, at, back = np.unique(tk.span_hashes(w.data, start, end), return_index=True, return_inverse=True)
-            starts, counts = self.look_up(unique)
-            new = starts < 0
-            if new.any():
-                if sum(len(x[0]) for x in self.levels) + int(new.sum()) > WORDS_KEPT:
-                    self.clear()
-                    new[:] = True
-                n = at[new]
-                self.learn(w.data, start[n], end[n], alone[n], unique[new])
-                starts, counts = self.look_up(unique)
+            while (got := self.known(w, start, end, alone)) is None:
+                self.seed += 2
+                self.clear()
+            starts, counts, back = got
             count = counts[back]
             yield a, b, self.ids[tk.ragged(starts[back], count)], tk.sums_by_row(count, rows)
 

@@ -2,7 +2,11 @@
 
 Texts are read where Arrow keeps them (one byte buffer and its offsets), so no Python string is made per word. Words are the maximal
 runs of bytes outside ``\\x20\\x09-\\x0D``; those separators are ASCII, so working on UTF-8 bytes gives the same words as working on
-code points. Hashes are 64 bits wide: a polynomial prefix hash taken modulo 2**64 and then mixed.
+code points.
+
+Hashes are 64 bits wide. A span is taken eight bytes at a time through a bijective mixer, spans above LONG bytes through BLAKE2; windows
+are folded from halves through the same mixer. Nothing is linear in the input, so no family of texts collides by construction: two
+different spans agree with a probability of about 2**-64. Where that is not enough, callers take a second hash under another seed.
 """
 
 from __future__ import annotations
@@ -10,25 +14,27 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WINDOW_BASE = 0xD1B54A32D192ED03 | 1
+_SIZE = U64(0xA24BAED4963EE407)
+_LEFT = U64(0xD1B54A32D192ED03)
+#: Spans above so many bytes are hashed one by one.
+LONG = 512
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 CHUNK_BYTES = 1 << 18
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 
 
 def release() -> None:
     """Gives free memory back: Python workers are kept for later tasks, and what they hold counts against the executor."""
-    _tables.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -61,19 +67,6 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n."""
-    have = _tables.get(base)
-    if have is None or len(have[0]) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        up, down = np.full(size, base, U64), np.full(size, pow(base, -1, 1 << 64), U64)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 1 << 21:
-            _tables[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that near values spread over all 64 bits."""
     h = h ^ (h >> U64(33))
@@ -129,19 +122,32 @@ class Words:
         self.at = np.searchsorted(self.start, offsets)  # row r has words at[r]..at[r + 1]
         self.count = np.diff(self.at)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        return span_hashes(LOWER[self.data] if lower else self.data, self.start, self.end)
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        return span_hashes(LOWER[self.data] if lower else self.data, self.start, self.end, seed)
 
     def windows(self, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row's windows of ``width`` words, the index of the first word, and the window's hash."""
-        ok = np.maximum(self.count - width + 1, 0)
-        first = ragged(self.at[:-1], ok)
-        if not len(first):
-            return first, np.zeros(0, U64)
-        up, down = powers(_WINDOW_BASE, len(h))
-        sums = np.zeros(len(h) + 1, U64)
-        np.cumsum(h * up[: len(h)], out=sums[1:])
-        return first, mix((sums[first + width] - sums[first]) * down[first])
+        first = ragged(self.at[:-1], np.maximum(self.count - width + 1, 0))
+        return first, joined(h, width)[first] if len(first) else np.zeros(0, U64)
+
+
+def fold(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One hash of two, in this order."""
+    return mix(left * _LEFT + right)
+
+
+def joined(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` hashes in a row, from hashes of 1, 2, 4, ... of them."""
+    out, used, power, span = None, 0, h, 1
+    while True:
+        if width & span:
+            part = power[used : used + len(h) - width + 1]
+            out = mix(part + U64(width)) if out is None else fold(out, part)
+            used += span
+        span *= 2
+        if span > width:
+            return out
+        power = fold(power[: -(span // 2)], power[span // 2 :])
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -154,12 +160,25 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each byte span."""
-    up, down = powers(_BASE, len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    size = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(U64) * _SIZE + U64(seed))
+    short = size <= LONG
+    live = np.arange(len(size)) if short.all() else np.flatnonzero(short)
+    at, left, own = start[live], size[live], h[live]
+    while len(live):
+        own = mix(own ^ (eight[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        h[live] = own
+        live, at, left, own = live[more], at[more] + 8, left[more] - 8, own[more]
+    for k in np.flatnonzero(~short).tolist():
+        digest = hashlib.blake2b(data[start[k] : end[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[k] = int.from_bytes(digest, "little")
+    return h
 
 
 def each_chunk(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:

@@ -23,6 +23,65 @@ def keyed(df, *cols):
     return Counter(tuple(r[c] for c in cols) for r in df.collect())
 
 
+# the kernel: words of two letters whose order a polynomial modulo 2**64 can't tell apart
+
+
+def thue_morse(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_like_words_are_told_apart(spark, n):
+    import pyarrow as pa
+
+    x, y = thue_morse(n)
+    tok = packing.tokenizer(packing.vocabulary_path())
+    got = [i.tolist() for _, _, ids, k in packing.WordIds(packing.vocabulary_path()).encode(pa.array([x, y])) for i in np.split(ids, np.cumsum(k)[:-1])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in (x, y)]
+    tail = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{x} {tail}", "en", "a", 0), (2, f"{y} {tail}", "en", "a", 0), (3, f"{x}\n{y}\n{x} {y}", "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert keyed(jaccardjoin.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert keyed(substrings.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
+    counts = quality.counts(pa.array([r[1] for r in rows]))
+    assert [tuple(int(counts[k][i]) for k in quality.COUNTS[:5]) for i in range(3)] == [brute_counts(r[1]) for r in rows]
+
+
+def test_hashes_of_spans_and_windows():
+    import random
+
+    import pyarrow as pa
+
+    from millrace.llm import textkernel as tk
+
+    rng = random.Random(1)
+    words_ = ["".join(rng.choices("abé", k=rng.randint(1, 30))) for _ in range(3000)] + ["x" * k for k in (511, 512, 513, 700, 701, 700)]
+    ((_, _, w),) = tk.each_chunk(pa.array([" ".join(words_)]), 1 << 30)
+    for width in (1, 2, 3, 5, 8, 20):
+        first, h = w.windows(w.hashes(), width)
+        seen = {}
+        for i, x in zip(first.tolist(), h.tolist(), strict=True):
+            assert seen.setdefault(tuple(words_[i : i + width]), x) == x
+        assert len(set(seen.values())) == len(seen) and len(first) == len(words_) - width + 1
+
+
+def test_word_table_with_colliding_hashes(monkeypatch):
+    """Whatever the first hash does, ids are right: the second one is checked."""
+    import pyarrow as pa
+
+    from millrace.llm import textkernel as tk
+
+    honest = tk.span_hashes
+    monkeypatch.setattr(tk, "span_hashes", lambda data, start, end, seed=0: honest(data, start, end, seed) & np.uint64(3) if seed == 0 else honest(data, start, end, seed))
+    texts = ["some words that would all collide", "other words"]
+    tok = packing.tokenizer(packing.vocabulary_path())
+    got = [i.tolist() for _, _, ids, k in packing.WordIds(packing.vocabulary_path()).encode(pa.array(texts)) for i in np.split(ids, np.cumsum(k)[:-1])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # op2
 
 
