@@ -7,7 +7,9 @@ nothing about who else has it. Base spans are always reported; a ``token`` span
 added only where its value is owner-specific.
 
 Defined cases: null and empty texts have no spans; a null owner counts as one owner of its own; repeated rows are reported once each and
-count as one repository; extra columns are ignored; an empty table gives an empty result.
+count as one repository; matches of one kind never overlap, those of several kinds may and are all reported, in order of start and then of
+kind; texts are read whole, and the cost of a text grows with its length and its matches, not with their square; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +34,47 @@ HEX = "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{28,}"
 LEAST_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "token")
+#: Elements that are added up at once where sums run along an array, and code points of a text that are sought through at once.
+RUN, STRETCH = 64, 1024
 
 SALTS = 64
 #: Marked rows that are broadcast at most (about 150 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 200_000
 MAX_OWNERS = 2
-#: Of the SQL only, which the operator matches where no value of a few owners is in more documents than this.
-MAX_REPOSITORIES = 50
+
+
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def before(values: Column, add, zero: Column, depth: int = 2) -> Column:
+    """For each element of a non-empty array what ``add`` (associative) makes of all elements before it.
+
+    Runs of RUN elements are added up first, and runs of runs, so the cost grows with the elements, not with their square.
+    """
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, zero, add)
+
+    def by_run(v: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda r: total(F.slice(v, r * RUN + 1, F.lit(RUN))))
+        run = lambda i: F.floor(i / RUN).cast("int")
+        return let(before(sums, add, zero, depth - 1), lambda s: F.transform(v, lambda x, i: add(F.get(s, run(i)), total(F.slice(v, run(i) * RUN + 1, i % RUN)))))
+
+    return let(values, by_run if depth else lambda v: F.transform(v, lambda x, i: total(F.slice(v, F.lit(1), i))))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
 
 
 def found(text: Column, pattern: str, value_group: int, kind: int) -> Column:
@@ -46,22 +82,38 @@ def found(text: Column, pattern: str, value_group: int, kind: int) -> Column:
 
     The pieces between matches and the matches alternate, so adding up their lengths gives each match's place.
     """
-    pieces = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = whole if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    steps = F.transform(
-        F.arrays_zip(pieces.alias("p"), whole.alias("w"), values.alias("v")),
-        lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["w"]).alias("width"), x["v"].alias("v")),
-    )
+
+    def placed(hits: Column) -> Column:
+        zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("p"), hits.alias("w"), values.alias("v"))
+        steps = F.transform(zipped, lambda x: F.struct(F.length(x["p"]).alias("gap"), F.length(x["w"]).alias("width"), x["v"].alias("v")))
+
+        def laid(steps: Column) -> Column:
+            starts = before(F.transform(steps, lambda x: x["gap"] + x["width"]), plus, F.lit(0))
+            at = F.arrays_zip(steps.alias("x"), starts.alias("s"))
+            start = lambda y: y["s"] + y["x"]["gap"]
+            return F.transform(at, lambda y: F.struct(start(y).alias("start"), F.lit(kind).alias("kind"), (start(y) + y["x"]["width"]).alias("end"), y["x"]["v"].alias("value")))
+
+        return let(steps, laid)
+
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    return let(whole, lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        hit = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["width"]).alias("end"), x["v"].alias("value"))
-        return F.when(x["width"].isNull(), done).otherwise(F.struct((start + x["width"]).alias("at"), F.array_append(done["hits"], hit).alias("hits")))
 
-    placed = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("hits")), step, lambda done: done["hits"])
-    return F.when(F.size(whole) > 0, placed).otherwise(none)
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps: of all spans in order, no base span before a token ends behind its start, none after it starts before its end."""
+    token = len(KINDS) - 1
+    far = F.lit(1 << 30)
+
+    def kept(spans: Column) -> Column:
+        ends = before(F.transform(spans, lambda x: F.when(x["kind"] < token, x["end"]).otherwise(0)), larger, F.lit(0))
+        starts = F.reverse(before(F.transform(F.reverse(spans), lambda x: F.when(x["kind"] < token, x["start"]).otherwise(far)), smaller, far))
+        seen = F.arrays_zip(spans.alias("x"), ends.alias("e"), starts.alias("s"))
+        free = F.filter(seen, lambda y: (y["x"]["kind"] == token) & (y["e"] <= y["x"]["start"]) & (y["s"] >= y["x"]["end"]))
+        return F.transform(free, lambda y: y["x"])
+
+    return F.when((F.size(tokens) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(base, tokens)), kept)).otherwise(tokens)
 
 
 def listed(spans: Column) -> Column:
@@ -87,8 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         ).alias("token"),
     )
     d = d.withColumn("base", F.concat("assign", "access", "hex"))
-    apart = F.filter("token", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return d.select(F.monotonically_increasing_id().alias("rid"), "id", "owner", F.size("assign").alias("a"), F.size("access").alias("c"), F.size("hex").alias("h"), "base", apart.alias("extra"))
+    return d.select(F.monotonically_increasing_id().alias("rid"), "id", "owner", F.size("assign").alias("a"), F.size("access").alias("c"), F.size("hex").alias("h"), "base", apart(F.col("token"), F.col("base")).alias("extra"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -125,6 +176,29 @@ def scan_secrets(
     )
 
 
+def masked_text(text: Column, cuts: Column, mask: str) -> Column:
+    """``text`` with each run of overlapping cuts (start, end; in order, at least one) replaced by a mask for each cut that starts outside those before.
+
+    The text is cut into stretches first, so that each part kept is sought within its own stretches.
+    """
+
+    def part(stretches: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / STRETCH).cast("int"), F.floor(end / STRETCH).cast("int")
+        some = F.array_join(F.slice(stretches, first + 1, last - first + 1), "")
+        return F.when(end > start, F.substring(some, start - first * STRETCH + 1, end - start)).otherwise("")
+
+    def joined(c: Column) -> Column:
+        seen = F.arrays_zip(c.alias("x"), before(F.transform(c, lambda x: x["end"]), larger, F.lit(0)).alias("e"))
+        outside = F.filter(seen, lambda y: y["x"]["start"] >= y["e"])
+        end = F.array_max(F.transform(c, lambda x: x["end"]))
+        return let(
+            F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)),
+            lambda s: F.concat(F.array_join(F.transform(outside, lambda y: F.concat(part(s, y["e"], y["x"]["start"]), F.lit(mask))), ""), part(s, end, F.length(text))),
+        )
+
+    return let(cuts, joined)
+
+
 def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     """``documents`` (doc_id, text, source, n_chars and any others) with every reported span replaced by ``mask``; n_chars follows. Rows are kept, other columns unchanged.
 
@@ -136,14 +210,7 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]") -> DataFrame:
     marks = materialize(marks.select(F.col("id.doc_id").alias("_id"), F.col("id.t").alias("_t"), cut.alias("cuts")), "secret-marks")
     side = F.broadcast(marks) if marks.count() <= MOST_BROADCAST else marks
     rows = whole_rows(docs, id=F.col("doc_id"), text=F.coalesce("text", F.lit("")), hash=F.sha2(F.coalesce("text", F.lit("")), 256))
-    text = F.col("text")
-
-    def step(done: Column, x: Column) -> Column:
-        new = x["start"] >= done["at"]
-        out = F.concat(done["out"], F.substring(text, done["at"] + 1, F.greatest(x["start"] - done["at"], F.lit(0))), F.when(new, F.lit(mask)).otherwise(F.lit("")))
-        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate("cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    masked = masked_text(F.col("text"), F.col("cuts"), mask)
     joined = rows.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_t")), "left")
     joined = joined.withColumn("new", F.when(F.col("cuts").isNotNull(), masked))
     changed = {"text": F.coalesce("new", F.col("row")["text"]), "n_chars": F.coalesce(F.length("new").cast("long"), F.col("row")["n_chars"])}
@@ -177,8 +244,8 @@ g AS (SELECT *, list_concat(list_concat(a, c), h) AS base FROM f),
 e AS (SELECT *, list_filter(k, lambda x: len(list_filter(base, lambda b: b.start < x.start + x.width AND x.start < b.start + b.width)) = 0) AS extra FROM g),
 u AS (SELECT rid, doc_id, source, unnest(list_concat(base, extra)) AS x FROM e),
 v AS (SELECT rid, doc_id, source, x, sha256(x.value) AS hash FROM u),
-o AS (SELECT hash, count(*) AS r, count(DISTINCT coalesce(source, chr(0))) AS w FROM (SELECT DISTINCT hash, source, doc_id FROM v) GROUP BY hash),
-j AS (SELECT rid, x, w <= {MAX_OWNERS} AND r <= {MAX_REPOSITORIES} AS live FROM v JOIN o USING (hash)),
+o AS (SELECT hash, count(DISTINCT coalesce(source, chr(0))) AS w FROM (SELECT DISTINCT hash, source, doc_id FROM v) GROUP BY hash),
+j AS (SELECT rid, x, w <= {MAX_OWNERS} AS live FROM v JOIN o USING (hash)),
 b AS (SELECT rid, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, list(x) FILTER (live AND x.kind = 3) AS added FROM j GROUP BY rid)
 SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(c) AS BIGINT) AS n_access, CAST(len(h) AS BIGINT) AS n_hex, sha256({text('base')}) AS base_sha256,
   {text('list_concat(base, coalesce(added, []))')} AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM e LEFT JOIN b USING (rid)"""
