@@ -43,7 +43,7 @@ SCOPE = frozenset("ul ol dl table article section main body html div nav aside h
 
 #: An svg or math tag that closes itself is empty (a slash that ends an unquoted value closes nothing); others hide all up to their end tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(?:svg|math)(?=[\s/])(?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++)|[^>=])*?/>|<(script|style|textarea|title|iframe|noscript|template|svg|math)\b(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:svg|math)(?=[\s/])(?:=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]++)|[^>=])*?/>|<(script|style|textarea|title|iframe|noscript|template|svg|math)\b(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -60,10 +60,26 @@ def label_of(tag: str, attributes: str) -> str:
     return " ".join(words)
 
 
+#: Elements of a path: the outermost and the innermost, so that paths of deeply nested pages stay short.
+OUTER, INNER = 8, 24
+
+
+def extended(path: str, tag: str, attributes: str) -> str:
+    """The path with one more element; inline elements are none, and of a long path's elements those in the middle go."""
+    if tag in INLINE:
+        return path
+    longer = f"{path}/{label_of(tag, attributes)}" if path else label_of(tag, attributes)
+    if longer.count("/") >= OUTER + INNER:
+        levels = longer.split("/")
+        longer = "/".join(levels[:OUTER] + levels[-INNER + 1 :])
+    return longer
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(path, text, characters inside links) of each leaf block that has text, in page order."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # tag, and the path down to it
+    open_tags: Counter[str] = Counter()
     held: list[str] = []
     linked = 0
     hidden = 0
@@ -75,12 +91,14 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             held.clear()
             text = " ".join((htmllib.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(("/".join(x[1] for x in stack if x[0] not in INLINE), text, linked))
+                out.append((stack[-1][1] if stack else "", text, linked))
         linked = 0
 
     def drop_to(k: int) -> None:
         nonlocal hidden
-        hidden -= sum(x[0] in UNSEEN for x in stack[k:])
+        for tag, _ in stack[k:]:
+            hidden -= tag in UNSEEN
+            open_tags[tag] -= 1
         del stack[k:]
 
     def text(a: int, b: int) -> None:
@@ -104,12 +122,11 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if tag == "br":
             held.append(" ")
         elif closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
-                drop_to(k)
+            if open_tags[tag]:
+                drop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
         elif tag not in VOID:
             ends = SIBLING.get(tag) or (("p",) if tag in CLOSES_P else ())
-            if ends:
+            if any(open_tags[t] for t in ends):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
                         drop_to(k)
@@ -117,7 +134,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                     if stack[k][0] in SCOPE:
                         break
             if not m[4].endswith("/") or tag not in INLINE:
-                stack.append((tag, label_of(tag, m[4])))
+                stack.append((tag, extended(stack[-1][1] if stack else "", tag, m[4])))
+                open_tags[tag] += 1
                 hidden += tag in UNSEEN
     text(at, len(page))
     flush()
