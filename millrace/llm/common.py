@@ -47,12 +47,46 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _file_system(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    with contextlib.suppress(Exception):
+        fs, path = _file_system(spark, at)
+        fs.delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what ``materialize`` wrote for ``df``, once nothing reads it any more. What results still read stays in the shared folder."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.materialized_at)
-    with contextlib.suppress(Exception):
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df.materialized_at)
+
+
+def write_small(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A small file in a shared folder, whole or not at all."""
+    fs, path = _file_system(spark, f"{folder}/{name}")
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.draft")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, path):
+        raise OSError(f"{path} could not be written")
+
+
+def read_small(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(name, text) of the small files in a folder, by name."""
+    fs, path = _file_system(spark, folder)
+    if not fs.exists(path):
+        return []
+    found = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if not name.startswith("."):
+            stream = fs.open(status.getPath())
+            found.append((name, bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()))
+            stream.close()
+    return sorted(found)
 
 
 def quantile_ranges(df: DataFrame, name: str, ranges: int) -> list[int]:

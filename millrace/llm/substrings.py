@@ -1,42 +1,54 @@
 """Substring dedup over a log-structured fingerprint index.
 
-A window is WINDOW consecutive words. Its fingerprint in the index is the least hash among its shingles of ANCHOR words, so equal windows
-have equal fingerprints, and neighbouring windows mostly share one: the index holds about an eighth as many rows as there are windows.
-Documents lie in cells. Ingesting a batch writes one immutable run of (fingerprint, cell), sorted; the run is then merged with
-all earlier ones. Fingerprints found in more than one cell, at least one of them new, are verified: those cells hash the whole windows behind
-them, which gives the least doc_id of every such window, and the cells where a smaller doc_id has the window outside lose it. Windows that
-repeat within a cell or a document are settled there. When more than FANOUT runs exist they are compacted into one.
+A window is WINDOW consecutive words. Its fingerprint is the least hash among its shingles of ANCHOR words, so equal windows have equal
+fingerprints, and neighbouring windows mostly share one: there are about an eighth as many fingerprints as windows.
 
-Cells are quantile ranges of doc_id, so gaps and clusters of ids don't matter, and within a range parts by hash. A cell says a fingerprint or window once, however many of its documents have it, so a passage that a third of all documents share costs
-one row per cell. Texts move once per ingest, to their cell.
+The index is a folder that outlives the session: a store of texts, bucketed by the task that wrote them and in cells of bounded bytes; sorted
+immutable runs of historical fingerprints, bucketed by fingerprint; and numbered manifests, of which the last says what holds. Ingesting a batch
+
+1. appends its texts to the store (they never move again);
+2. merge-joins its fingerprints, shuffled once to the runs' buckets, with each run where that lies, and with themselves;
+3. verifies what met: the batch's cells, and of earlier documents only those whose fingerprints met, hash the whole windows behind them.
+   Earlier documents are read from their buckets, they are not shuffled;
+4. removes the windows that history has or that a smaller doc_id of the batch has, cell by cell;
+5. writes a run of the fingerprints of first occurrences only (whoever repeats a window adds nothing to the index) and a new manifest; above
+   FANOUT runs, all are compacted into one.
+
+A window is compared by its fingerprint and its own hash, 128 bits in all. A cell says a fingerprint or window once, however many of its
+documents have it, so a passage that a third of all documents share costs one row per cell, none of which is gathered: joins and windows over
+a fingerprint spill.
 
 Defined cases: a null or empty text has no words; rows of one doc_id are not earlier than each other (each still loses its own repeats); a
-null doc_id counts as smaller than all; repeated rows give equal results; extra columns are ignored; an empty table gives an empty result.
+null doc_id counts as smaller than all; what an earlier batch has is earlier, whatever its ids; repeated rows give equal results; extra
+columns are ignored; an empty table gives an empty result; texts of any length are read whole, one that fills a cell is a cell of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import only, quantile_ranges, range_of, shared_dir, table
+from millrace.llm.common import delete, materialize, only, partitions, quantile_ranges, read_small, shared_dir, table, write_small
 
 QUERY = "op7_window_index"
 
 WINDOW, ANCHOR = 20, 6
-ROWS_PER_CELL = 1500
-RANGES = 64
-FANOUT = 4
+#: A cell has so many rows at most where they are short, and a quarter as many for each step of four in length above SHORT bytes.
+ROWS_PER_CELL, SHORT, STEPS = 1500, 1 << 14, 6
+FANOUT = 2
 FLUSH = 1_000_000
-BATCHES = 2
+BATCHES = 4
 LEAST = -(1 << 63)
+PLACE = "part long, cell long"
 
 
 def windows(w: tk.Words, anchors: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,25 +77,24 @@ def per_window(column: pa.Array, anchors: bool = True) -> Iterator[tuple[int, tk
 
 @tk.released
 def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (cell, text) as (fp, cell), distinct within every FLUSH of them."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows of (part, cell, text) as (fp, part, cell), distinct within every FLUSH of them."""
+    found: list[tuple[np.ndarray, ...]] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        fp, cell = (np.concatenate(x) for x in zip(*found, strict=True))
+        fp, part, cell = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
-        order = np.lexsort((cell, fp))
-        fp, cell = fp[order], cell[order]
+        order = np.lexsort((part, cell, fp))
+        fp, part, cell = fp[order], part[order], cell[order]
         new = np.ones(len(fp), bool)
-        new[1:] = (fp[1:] != fp[:-1]) | (cell[1:] != cell[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(cell[new])], names=["fp", "cell"])
+        new[1:] = (fp[1:] != fp[:-1]) | (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(fp[new].view(np.int64)), pa.array(part[new]), pa.array(cell[new])], names=["fp", "part", "cell"])
 
     for batch in batches:
-        cells = batch.column(0).to_numpy()
-        for a, _, row, _, _, fp in per_window(batch.column(1)):
-            change = np.ones(len(fp), bool)
-            change[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
-            found.append((fp[change], cells[a + row[change]]))
+        parts, cells = (batch.column(k).to_numpy() for k in (0, 1))
+        for a, _, row, _, _, fp in per_window(batch.column(2)):
+            change = turns(fp, row)
+            found.append((fp[change], parts[a + row[change]], cells[a + row[change]]))
             held += int(change.sum())
             if held > FLUSH:
                 yield flush()
@@ -92,27 +103,11 @@ def fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield flush()
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
-
-
-@tk.released
-def shared_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges (fp, cell, new) rows of one partition by fp: (cell, fp) where several cells have fp and a new one is among them."""
-    got = gathered(batches)
-    if not got:
-        return
-    fp, cell, new = got
-    order = np.lexsort((cell, fp))
-    fp, cell, new = fp[order], cell[order], new[order]
-    keep = np.ones(len(fp), bool)
-    keep[1:] = (fp[1:] != fp[:-1]) | (cell[1:] != cell[:-1])
-    fp, cell, new = fp[keep], cell[keep], new[keep]
-    start = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-    count = np.diff(np.append(start, len(fp)))
-    good = np.repeat((count > 1) & np.logical_or.reduceat(new, start), count)
-    yield pa.RecordBatch.from_arrays([pa.array(cell[good]), pa.array(fp[good])], names=["cell", "fp"])
+def turns(fp: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where a fingerprint differs from the one of the window before."""
+    change = np.ones(len(fp), bool)
+    change[1:] = (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])
+    return change
 
 
 def inside(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -132,61 +127,66 @@ def ids_of(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(LEAST).to_numpy()
 
 
+def unsigned(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().view(tk.U64) if table.num_rows else np.zeros(0, tk.U64)
+
+
+VERIFIED = f"fp long, h long, {PLACE}, low long"
+
+
 def verify_cell(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
-    """A cell's windows behind shared fingerprints: (h, cell, least doc_id that has it here)."""
-    schema = pa.schema([("h", pa.int64()), ("cell", pa.int64()), ("low", pa.int64())])
+    """A cell's windows behind shared fingerprints: (fp, h, part, cell, least doc_id that has it here)."""
+    schema = pa.schema([(x, pa.int64()) for x in ("fp", "h", "part", "cell", "low")])
     if not shared.num_rows or not texts.num_rows:
         return schema.empty_table()
-    known = np.sort(shared.column("fp").to_numpy().view(tk.U64))
-    ids, hs, low = ids_of(texts), [], []
+    tk.release_sometimes()
+    known = np.sort(unsigned(shared, "fp"))
+    ids, fps, hs, low = ids_of(texts), [], [], []
     for a, _, row, _, wh, fp in per_window(texts.column("text")):
         hit = inside(fp, known)
+        fps.append(fp[hit])
         hs.append(wh[hit])
         low.append(ids[a + row[hit]])
-    h, d = np.concatenate(hs), np.concatenate(low)
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
+    f, h, d = np.concatenate(fps), np.concatenate(hs), np.concatenate(low)
+    order = np.lexsort((d, h, f))
+    f, h, d = f[order], h[order], d[order]
     first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
-    h, d = h[first], d[first]
-    return pa.table([pa.array(h.view(np.int64)), pa.array(np.full(len(h), texts.column("cell")[0].as_py(), np.int64)), pa.array(d)], schema=schema)
+    first[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
+    place = [pa.array(np.full(int(first.sum()), texts.column(x)[0].as_py(), np.int64)) for x in ("part", "cell")]
+    return pa.table([pa.array(f[first].view(np.int64)), pa.array(h[first].view(np.int64)), *place, pa.array(d[first])], schema=schema)
 
 
-@tk.released
-def lost_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges (h, cell, low, new) rows of one partition by h: (cell, h) of new cells where a smaller doc_id elsewhere has the window."""
-    got = gathered(batches)
-    if not got:
-        return
-    h, cell, low, new = got
-    order = np.lexsort((low, h))
-    h, cell, low, new = h[order], cell[order], low[order], new[order]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    least = np.repeat(low[start], np.diff(np.append(start, len(h))))
-    lose = new & (low > least)
-    yield pa.RecordBatch.from_arrays([pa.array(cell[lose]), pa.array(h[lose])], names=["cell", "h"])
+STRIPPED = f"doc_id long, n_words long, n_removed long, kept_sha256 string, {PLACE}, rid long, fps binary"
 
 
 def strip_cell(key: tuple, texts: pa.Table, lost: pa.Table) -> pa.Table:
-    """A cell's documents without the windows lost to other cells and those that occur earlier in this one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+    """A cell's documents without the windows lost to other cells and those that occur earlier in this one; and the fingerprints of the windows that stay."""
+    kinds = {"kept_sha256": pa.string(), "fps": pa.binary()}
+    schema = pa.schema([(x, kinds.get(x, pa.int64())) for x in (y.split(" ")[0] for y in STRIPPED.split(", "))])
     if not texts.num_rows:
         return schema.empty_table()
+    tk.release_sometimes()
     texts = texts.take(np.argsort(ids_of(texts), kind="stable"))
-    gone = np.sort(lost.column("h").to_numpy().view(tk.U64)) if lost.num_rows else np.zeros(0, tk.U64)
     ids, column = ids_of(texts), texts.column("text").combine_chunks()
-    hashes, rows = [], []
+    hashes, prints, rows = [], [], []
     counts = np.zeros(len(ids), np.int64)
-    for a, w, row, _, wh, _ in per_window(column, anchors=False):
+    for a, w, row, _, wh, fp in per_window(column):
         hashes.append(wh)
+        prints.append(fp)
         rows.append(a + row)
         counts[a : a + len(w.count)] = w.count
-    h, row = np.concatenate(hashes), np.concatenate(rows)
-    remove = inside(h, gone)
-    order = np.argsort(h, kind="stable")  # rows are in order of doc_id, so the first of equal hashes is the earliest
-    hs, rs = h[order], row[order]
+    h, fp, row = np.concatenate(hashes), np.concatenate(prints), np.concatenate(rows)
+    remove = np.zeros(len(h), bool)
+    if lost.num_rows:
+        gone_h, gone_fp = unsigned(lost, "h"), unsigned(lost, "fp")
+        order = np.argsort(gone_h)
+        gone_h, gone_fp = gone_h[order], gone_fp[order]
+        at = np.flatnonzero(inside(h, gone_h))
+        remove[at] = gone_fp[np.searchsorted(gone_h, h[at])] == fp[at]
+    order = np.lexsort((fp, h))  # stable, and rows are in order of doc_id: the first of equal windows is the earliest
+    hs, fs, rs = h[order], fp[order], row[order]
     start = np.ones(len(hs), bool)
-    start[1:] = hs[1:] != hs[:-1]
+    start[1:] = (hs[1:] != hs[:-1]) | (fs[1:] != fs[:-1])
     first_of = np.flatnonzero(start)[np.cumsum(start) - 1] if len(hs) else np.zeros(0, np.int64)
     again = np.zeros(len(hs), bool)
     again[1:] = ~start[1:] & (rs[1:] == rs[:-1])
@@ -208,74 +208,153 @@ def strip_cell(key: tuple, texts: pa.Table, lost: pa.Table) -> pa.Table:
         if removed[k]:
             words = [x for x, c in zip(words, covered[ends[k] : ends[k + 1]].tolist(), strict=True) if not c]
         shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-    return pa.table([texts.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed), pa.array(shas, pa.string())], schema=schema)
+    stay = ~remove
+    new = turns(fp[stay], row[stay])
+    own, of = fp[stay][new], row[stay][new]
+    begin = np.searchsorted(of, np.arange(len(ids) + 1))
+    fps = [own[begin[k] : begin[k + 1]].tobytes() for k in range(len(ids))]
+    same = [texts.column(x).combine_chunks() for x in ("part", "cell", "rid")]
+    return pa.table([texts.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed), pa.array(shas, pa.string()), *same, pa.array(fps, pa.binary())], schema=schema)
+
+
+@tk.released
+def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (part, cell, rid, fps) as a run's rows."""
+    for batch in batches:
+        raw = batch.column(3).to_pylist()
+        fp = np.frombuffer(b"".join(raw), np.int64)
+        row = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+        yield pa.RecordBatch.from_arrays([pa.array(fp), *[batch.column(k).take(pa.array(row)) for k in range(3)]], names=["fp", "part", "cell", "rid"])
+
+
+def placed(batch: DataFrame, number: int) -> DataFrame:
+    """(part, cell, rid, doc_id, text): where each row of a batch lies. No row moves: a part is what one task reads."""
+    at = F.monotonically_increasing_id()
+    row = at.bitwiseAND(F.lit((1 << 33) - 1))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    step = F.least(F.greatest(F.ceil(F.log2(size / SHORT + 1e-9) / 2), F.lit(0)), F.lit(STEPS)).cast("long")
+    rows = F.greatest(F.floor(F.lit(ROWS_PER_CELL) / F.pow(F.lit(4.0), step)), F.lit(1)).cast("long")
+    part = F.lit(number << 32).cast("long") + F.shiftright(at, 33)
+    return batch.select(part.alias("part"), (step * (1 << 40) + F.floor(row / rows)).alias("cell"), row.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 class WindowIndex:
-    """A log-structured index of fingerprints in the shared folder. ``documents`` is the store whose cells the runs point into."""
-
-    def __init__(self, documents: DataFrame, rows_per_cell: int = ROWS_PER_CELL, at: str | None = None):
-        self.spark = documents.sparkSession
-        self.at = at or f"{shared_dir(self.spark)}/windows-{uuid.uuid4().hex}"
-        d = only(documents, "doc_id", "text")
-        cells = max(1, d.count() // rows_per_cell)
-        starts = quantile_ranges(d, "doc_id", min(RANGES, cells))
-        parts = -(-cells // max(1, len(starts)))
-        self.cells = max(1, len(starts)) * parts
-        within = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts))
-        self.store = d.withColumn("cell", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(range_of(F.col("doc_id"), starts) * parts + within))
-        self.parts = parts
-        self.runs: list[str] = []
-        self.end = -1  # the first cell not ingested; cell -1 holds null ids
-
-    def rows(self, below: int, frm: int = -1) -> DataFrame:
-        return self.store.where((F.col("cell") >= frm) & (F.col("cell") < below))
-
-    def read_run(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fp long, cell long").parquet(path)
+    """The index in a folder. Opening one reads its last manifest; nothing else is kept between sessions."""
+
+    TEXTS = f"{PLACE}, rid long, doc_id long, text string"
+    RUN = f"fp long, {PLACE}, rid long"
+
+    def __init__(self, spark: SparkSession, at: str | None = None):
+        self.spark = spark
+        self.at = at or f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+        self.name = f"millrace_{uuid.uuid4().hex}"
+        # Rows of a part lie together, so they can be grouped by part and cell where they are.
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        found = read_small(spark, f"{self.at}/manifests")
+        self.state = json.loads(found[-1][1]) if found else {"version": 0, "batches": 0, "buckets": partitions(spark), "runs": []}
+        self.define("texts", self.TEXTS, "part", f"{self.at}/texts")
+        for run in self.state["runs"]:
+            self.define(run, self.RUN, "fp", f"{self.at}/{run}")
+
+    def table(self, kind: str) -> str:
+        return f"{self.name}_{kind.replace('-', '_')}"
+
+    def define(self, kind: str, columns: str, by: str, at: str) -> None:
+        order = " SORTED BY (fp)" if by == "fp" else ""
+        self.spark.sql(f"CREATE TABLE {self.table(kind)} ({columns}) USING parquet CLUSTERED BY ({by}){order} INTO {self.state['buckets']} BUCKETS LOCATION '{at}'")
+
+    def append(self, rows: DataFrame, kind: str, by: str) -> None:
+        w = rows.write.mode("append").format("parquet").bucketBy(self.state["buckets"], by)
+        (w.sortBy("fp") if by == "fp" else w).saveAsTable(self.table(kind))
+        self.spark.catalog.refreshTable(self.table(kind))
 
     def write_run(self, rows: DataFrame) -> str:
-        path = f"{self.at}/run-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("fp").write.parquet(path)
-        return path
+        run = f"run-{self.state['version']}-{uuid.uuid4().hex[:8]}"
+        self.define(run, self.RUN, "fp", f"{self.at}/{run}")
+        self.append(rows.repartition(self.state["buckets"], "fp"), run, "fp")
+        return run
+
+    def commit(self, **changes) -> None:
+        self.state = self.state | changes | {"version": self.state["version"] + 1}
+        write_small(self.spark, f"{self.at}/manifests", f"{self.state['version']:09d}.json", json.dumps(self.state))
+
+    def texts(self) -> DataFrame:
+        return self.spark.table(self.table("texts"))
+
+    def batch_of(self, part: str = "part") -> Column:
+        return F.shiftright(F.col(part), 32)
 
     def compact(self) -> None:
-        """All runs as one, without repeats."""
-        merged = self.read_run(self.runs[0])
-        for path in self.runs[1:]:
-            merged = merged.unionByName(self.read_run(path))
-        self.runs = [self.write_run(merged.distinct().repartition("fp"))]
-
-    def ingest(self, below: int) -> DataFrame:
-        """Adds the cells from the last ingested one up to ``below`` (where a range begins): doc_id, n_words, n_removed, kept_sha256 of their documents."""
-        frm, self.end = self.end, below
-        fresh, old = self.rows(below, frm), self.rows(frm)
-        run = self.write_run(fresh.select("cell", "text").mapInArrow(fingerprint_rows, "fp long, cell long"))
-        history = list(self.runs)
-        self.runs.append(run)
-        rows = self.read_run(run)
-        for path in history:
-            rows = rows.unionByName(self.read_run(path))
-        new: Column = F.col("cell") >= frm
-        shared = rows.withColumn("new", new).repartition("fp").mapInArrow(shared_fingerprints, "cell long, fp long")
-        verified = None
-        for part, side in ((fresh, shared.where(new)), (old, shared.where(~new)))[: 2 if history else 1]:
-            got = part.groupBy("cell").cogroup(side.groupBy("cell")).applyInArrow(verify_cell, "h long, cell long, low long")
-            verified = got if verified is None else verified.unionByName(got)
-        lost = verified.withColumn("new", new).repartition("h").mapInArrow(lost_windows, "cell long, h long")
-        out = fresh.groupBy("cell").cogroup(lost.groupBy("cell")).applyInArrow(strip_cell, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-        if len(self.runs) > FANOUT:
+        """All runs as one. A manifest that names the new run comes before the old ones go."""
+        old = self.state["runs"]
+        merged = self.spark.table(self.table(old[0]))
+        for run in old[1:]:
+            merged = merged.unionByName(self.spark.table(self.table(run)))
+        self.commit(runs=[self.write_run(merged)])
+        for run in old:
+            self.spark.sql(f"DROP TABLE {self.table(run)}")
+            delete(self.spark, f"{self.at}/{run}")
+
+    def meetings(self, number: int) -> tuple[DataFrame, DataFrame | None]:
+        """The batch's (fp, part, cell) that history or another of its cells has too; history's (fp, part, cell, rid) that the batch has too."""
+        fresh = self.texts().where(self.batch_of() == number).select("part", "cell", "text").mapInArrow(fingerprint_rows, f"fp long, {PLACE}").repartition(self.state["buckets"], "fp")
+        twice = fresh.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+        mine, theirs = fresh.join(twice.hint("merge"), "fp", "left_semi"), None
+        for run in self.state["runs"]:
+            history = self.spark.table(self.table(run))
+            mine = mine.unionByName(fresh.join(history.hint("merge"), "fp", "left_semi"))
+            met = history.join(fresh.hint("merge"), "fp", "left_semi")
+            theirs = met if theirs is None else theirs.unionByName(met)
+        return mine, theirs
+
+    def verified(self, number: int) -> tuple[DataFrame, DataFrame | None]:
+        """Windows behind fingerprints that met: of the batch's cells, and of the earlier documents that hold one of them."""
+        mine, theirs = self.meetings(number)
+        place = ["part", "cell"]
+        fresh = self.texts().where(self.batch_of() == number)
+        new = fresh.groupBy(*place).cogroup(mine.groupBy(*place)).applyInArrow(verify_cell, VERIFIED)
+        if theirs is None:
+            return new, None
+        theirs = theirs.repartition(self.state["buckets"], "part")
+        # Of the history only documents whose fingerprints met go on; the store is read where it lies.
+        held = self.texts().where(self.batch_of() < number).join(theirs.select(*place, "rid").distinct().hint("merge"), [*place, "rid"], "left_semi")
+        return new, held.groupBy(*place).cogroup(theirs.select("fp", *place).groupBy(*place)).applyInArrow(verify_cell, VERIFIED)
+
+    def ingest(self, batch: DataFrame) -> DataFrame:
+        """Adds a batch: doc_id, n_words, n_removed, kept_sha256 of its rows."""
+        number = self.state["batches"]
+        self.commit(batches=number + 1)  # a batch that fails leaves its number unused, and its rows out of every run
+        self.append(placed(only(batch, "doc_id", "text"), number), "texts", "part")
+        new, old = self.verified(number)
+        rows = new.withColumn("new", F.lit(True))
+        if old is not None:
+            rows = rows.unionByName(old.withColumn("new", F.lit(False)))
+        same = W.partitionBy("fp", "h")
+        told = rows.withColumn("least", F.min("low").over(same)).withColumn("history", F.min("new").over(same) == F.lit(False))
+        lost = told.where(F.col("new") & (F.col("history") | (F.col("low") > F.col("least")))).select("fp", "h", "part", "cell")
+        fresh = self.texts().where(self.batch_of() == number)
+        out = fresh.groupBy("part", "cell").cogroup(lost.groupBy("part", "cell")).applyInArrow(strip_cell, STRIPPED)
+        out = materialize(out, "window-results")
+        run = self.write_run(out.select("part", "cell", "rid", "fps").mapInArrow(run_rows, self.RUN))
+        self.commit(runs=[*self.state["runs"], run])
+        if len(self.state["runs"]) > FANOUT:
             self.compact()
-        return out
+        return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Every document, ingested in ``batches`` steps in order of doc_id."""
-    index = WindowIndex(docs, rows_per_cell)
+    docs = only(docs, "doc_id", "text")
+    index = WindowIndex(docs.sparkSession)
+    starts = quantile_ranges(docs, "doc_id", batches) or [0]
     out = None
-    ranges = index.cells // index.parts
-    for k in range(1, batches + 1):  # batches end where ranges do: earlier ones have smaller doc_ids
-        part = index.ingest(max(1, ranges * k // batches) * index.parts if k < batches else index.cells + 1)
+    for k in range(len(starts)):  # smaller doc_ids come first
+        own = F.lit(True)
+        if k:
+            own = own & (F.col("doc_id") >= starts[k])
+        if k < len(starts) - 1:
+            own = own & (F.col("doc_id") < starts[k + 1])
+        part = index.ingest(docs.where(own | F.col("doc_id").isNull() if k == 0 else own))
         out = part if out is None else out.unionByName(part)
     return out
 

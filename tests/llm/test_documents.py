@@ -333,20 +333,64 @@ def brute_repeats(rows):
 
 
 @pytest.mark.parametrize("batches", [1, 2, 5])
-def test_repeats(wide, rows, batches):
-    got = substrings.remove_repeats(wide, batches, rows_per_cell=7)
+def test_repeats(wide, rows, none, batches, monkeypatch):
+    monkeypatch.setattr(substrings, "ROWS_PER_CELL", 3)
+    got = substrings.remove_repeats(wide, batches)
     assert keyed(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
-
-
-def test_repeats_after_compaction(docs, rows, none):
-    index = substrings.WindowIndex(docs, rows_per_cell=7)
-    parts = [index.ingest(k) for k in range(1, index.cells + 2)]
-    assert index.cells > substrings.FANOUT and len(index.runs) <= substrings.FANOUT
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    assert keyed(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
-    assert substrings.remove_repeats(none).count() == 0
+    if batches == 2:
+        assert substrings.remove_repeats(none).count() == 0
+
+
+def exchanged(df):
+    """The operators below any shuffle of a plan, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString()
+    out, depth = [], None
+    for line in lines.split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and at > depth:
+            out.append(line)
+        else:
+            depth = at if line.lstrip(" :+-").startswith("Exchange") else None
+    return "\n".join(out)
+
+
+def test_an_index_is_opened_again(spark, rows, tmp_path):
+    """Batches from several sessions, with a compaction between them; history is met where it lies."""
+    rows = [r for r in rows if r[0] is not None]
+    rows.sort(key=lambda r: r[0])
+    third = [k * len(rows) // 5 for k in range(6)]
+    while rows[third[4]][0] == rows[third[4] - 1][0]:
+        third[4] += 1
+    got, at, sizes = Counter(), f"{tmp_path}/index", []
+    for k in range(5):
+        session = spark.newSession()
+        index = substrings.WindowIndex(session, at)
+        assert index.state["batches"] == k
+        batch = session.createDataFrame(rows[third[k] : third[k + 1]], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+        if k == 4:
+            number = index.state["batches"]
+            index.append(substrings.placed(substrings.only(batch, "doc_id", "text"), number), "texts", "part")
+            _, old = index.verified(number)
+            # Neither the store's texts nor the runs are below a shuffle: only the batch's fingerprints, and what met.
+            assert "text#" in old._jdf.queryExecution().executedPlan().toString()
+            below = [x for x in exchanged(old).split("\n") if "FileScan" in x]
+            assert below and not [x for x in below if "rid" in x and "text" in x]
+            index.commit(batches=number + 1)
+        got += keyed(index.ingest(batch), "doc_id", "n_words", "n_removed", "kept_sha256")
+        sizes.append(len(substrings.WindowIndex(session, at).state["runs"]))
+        assert sizes[-1] <= substrings.FANOUT
+    assert got == brute_repeats(rows) and sizes == [1, 2, 1, 2, 1]
+    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("run-")]) == 1
+
+
+def test_history_is_earlier_whatever_its_ids(spark, tmp_path):
+    text = " ".join(f"w{k}" for k in range(25))
+    index = substrings.WindowIndex(spark, f"{tmp_path}/index")
+    batch = lambda *r: spark.createDataFrame(r, "doc_id long, text string")
+    first = index.ingest(batch((10, text), (11, f"x {text}"), (None, None))).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in first} == {10: 0, 11: 25, None: 0}
+    assert [r["n_removed"] for r in index.ingest(batch((1, text + " y"))).collect()] == [25]
+    assert index.ingest(batch((2, ""))).first()["n_words"] == 0
 
 
 # op8
