@@ -1,13 +1,20 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
-Each text gives a vector of transformed statistics. For every (lang, source) the estimator starts from medians and quartiles and takes
-concentration steps: rows are ordered by Mahalanobis distance, the nearest three quarters give the next mean and covariance. A step is one
-aggregation of moments by (group, distance bin), summed before the shuffle, so a group that holds a third of all rows is never gathered in
-one place, and every row counts. Groups of fewer than ``least_group`` rows are pooled by language, then altogether; a pool that is still
-smaller gives no verdict, and its rows are kept.
+Each text gives a vector of transformed statistics. Over the documents that pass the base rules the estimator looks, for every (lang, source),
+for the three quarters of its rows whose covariance has the least determinant: from several starts (medians and quartiles; SUBSETS random
+subsets, by a hash of the vector) it takes concentration steps, in each of which the rows nearest by Mahalanobis distance give the next mean
+and covariance. After FIRST_STEPS steps the FINALISTS starts of least determinant go on until no determinant shrinks any more; the least wins. A
+step is one aggregation of moments by (group, start, distance bin), summed before the shuffle, so a group that holds a third of all rows is
+never gathered in one place, and every row counts.
+
+Every group has its own estimate, whatever its size. The same is estimated for each language and for all rows, and a group's mean and
+covariance are drawn towards its language's by PRIOR_ROWS rows, those towards the whole's likewise; so a small group leans on its language
+by degrees. A text is an outlier beyond the 99.9 % quantile of the chi-squared distribution, after the usual factor that makes the core's
+covariance that of the whole.
 
 Defined cases: a null text has no words (and fails the base rules); null lang or source is a group of its own; repeated rows get the same
-verdict; extra columns are ignored; an empty table gives an empty result. Very long texts are read whole.
+verdict; rows in the same distance bin as the last of the core are all in it; extra columns are ignored; an empty table gives an empty
+result; where no row passes the base rules there is nothing to judge. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import materialize, only, table, unwrapped, whole_rows
+from millrace.llm.common import forget, materialize, only, table, unwrapped, whole_rows
 
 QUERY = "op10_robust_outliers"
 
@@ -36,11 +43,14 @@ FLOORS = (0.05, 0.05, 0.05, 0.05, 0.04, 0.05, 0.04)
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 CORE = 0.75
-#: The 75 % quantile of a chi-squared distribution of 7 degrees of freedom, and the squared distance beyond which a text is an outlier.
+# The 75 % and 99.9 % quantiles of the chi-squared distribution with 7 degrees of freedom.
 CHI2_CORE = 9.037
-CUTOFF = 60.0
-STEPS = 3
-LEAST_GROUP = 100
+CUTOFF = 24.322
+SUBSETS, SUBSET_ROWS = 4, 24
+FIRST_STEPS, FINALISTS = 2, 2
+#: A log determinant that falls by less than this has stopped shrinking.
+TOLERANCE = 1e-3
+PRIOR_ROWS = 20
 BINS_PER_OCTAVE = 16
 
 _symbol = np.zeros(256, bool)
@@ -142,54 +152,70 @@ def distance() -> Column:
     return total
 
 
-def _params(g: str, m: np.ndarray, p: np.ndarray, scale: float) -> pa.Table:
+MATRIX = [PAIRS.index((min(i, j), max(i, j))) for i in range(P) for j in range(P)]
+ESTIMATE = "g string, k int, n double, m array<double>, cov array<double>, p array<double>, logdet double, scale double"
+
+
+def square(upper) -> np.ndarray:
+    return np.array(upper, float)[MATRIX].reshape(P, P)
+
+
+def upper(matrix: np.ndarray) -> list[float]:
+    return [float(matrix[i, j]) for i, j in PAIRS]
+
+
+def _estimates(rows: list[tuple]) -> pa.Table:
+    """(g, k, n, mean, covariance, scale) as rows of ESTIMATE."""
+    cols = [[r[0] for r in rows], [r[1] for r in rows], [float(r[2]) for r in rows], [[float(x) for x in r[3]] for r in rows], [upper(r[4]) for r in rows]]
+    cols += [[upper(np.linalg.inv(r[4])) for r in rows], [float(np.linalg.slogdet(r[4])[1]) for r in rows], [float(r[5]) for r in rows]]
     vectors = pa.list_(pa.float64())
-    return pa.table([pa.array([g], pa.string()), pa.array([m.tolist()], vectors), pa.array([p.tolist()], vectors), pa.array([scale])], names=["g", "m", "p", "scale"])
+    kinds = (pa.string(), pa.int32(), pa.float64(), vectors, vectors, vectors, pa.float64(), pa.float64())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split(" ")[0] for x in ESTIMATE.split(", ")])
 
 
-def _start(table: pa.Table) -> pa.Table:
-    """Medians, and quartile distances as standard deviations, from a group's histogram of each statistic."""
+def _middle(table: pa.Table) -> pa.Table:
+    """Start 0: medians, and quartile distances as standard deviations, from a group's histogram of each statistic."""
     stat, bins, n = (table.column(c).to_numpy() for c in ("i", "bin", "n"))
-    m, p = np.zeros(P), np.zeros(len(PAIRS))
+    m, cov = np.zeros(P), np.zeros((P, P))
     for i in range(P):
         own = np.flatnonzero(stat == i)
         own = own[np.argsort(bins[own])]
         cum, edge = n[own].cumsum() / n[own].sum(), bins[own] * FLOORS[i] / 4
         q1, m[i], q3 = (edge[np.searchsorted(cum, q)] for q in (0.25, 0.5, 0.75))
-        p[PAIRS.index((i, i))] = 1 / max(FLOORS[i], (q3 - q1) / 1.349) ** 2
-    return _params(table.column("g")[0].as_py(), m, p, 1.0)
+        cov[i, i] = max(FLOORS[i], (q3 - q1) / 1.349) ** 2
+    return _estimates([(table.column("g")[0].as_py(), 0, n[stat == 0].sum(), m, cov, 1.0)])
 
 
 def _concentrate(table: pa.Table) -> pa.Table:
-    """Mean and precision of the nearest CORE of a group, from its moments by distance bin."""
+    """Mean and covariance of the nearest CORE of a group, from its moments by distance bin; all of it where there are no bins (bin 0 alone)."""
     bins, n = table.column("bin").to_numpy(), table.column("n").to_numpy().astype(float)
     order = np.argsort(bins)
     near = order[: int(np.searchsorted(np.cumsum(n[order]), CORE * n.sum() - 1e-9)) + 1]
     total = n[near].sum()
     mean = lambda c: table.column(c).to_numpy()[near].sum() / total
     m = np.array([mean(f"s{i}") for i in range(P)])
-    cov = np.zeros((P, P))
-    for i, j in PAIRS:
-        cov[i, j] = cov[j, i] = mean(f"q{i}_{j}") - m[i] * m[j]
-    cov += np.diag(np.square(FLOORS))
-    precision = np.linalg.inv(cov)
+    cov = square([mean(f"q{i}_{j}") - m[i] * m[j] for i, j in PAIRS]) + np.diag(np.square(FLOORS))
     edge = 2.0 ** ((bins[near[-1]] + 1) / BINS_PER_OCTAVE)
-    return _params(table.column("g")[0].as_py(), m, np.array([precision[i, j] for i, j in PAIRS]), max(1.0, edge / CHI2_CORE))
-
-
-def grouping(stats: DataFrame, least: int) -> DataFrame:
-    """lang, source, g: which rows are estimated together; g is null where too few are."""
-    n = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    n = n.withColumn("own", F.when(F.col("n") >= least, F.concat(F.lit("s"), F.to_json(F.struct("lang", "source")))))
-    by_lang = n.where(F.col("own").isNull()).groupBy("lang").agg(F.sum("n").alias("nl"))
-    by_lang = by_lang.withColumn("pool", F.when(F.col("nl") >= least, F.concat(F.lit("l"), F.to_json(F.struct("lang")))))
-    rest = F.sum(F.when(F.col("pool").isNull(), F.col("nl"))).over(Window.partitionBy(F.lit(0)))  # one row per language
-    p = by_lang.withColumn("nr", rest).select(F.col("lang").alias("l2"), F.coalesce("pool", F.when(F.col("nr") >= least, F.lit("all"))).alias("pool"))
-    return n.join(p, n["lang"].eqNullSafe(p["l2"]), "left").select("lang", "source", F.coalesce("own", "pool").alias("g"))
-
-
-#: Parameters of at most so many groups (about 500 bytes each) are broadcast; more are joined by a salted key.
-MOST_BROADCAST = 10_000
+    return _estimates([(table.column("g")[0].as_py(), table.column("k")[0].as_py(), n.sum(), m, cov, max(1.0, edge / CHI2_CORE))])
+
+
+def _drawn(batches):
+    """Rows of (lang, source, own, language, whole estimates) as (lang, source, m, p): each drawn towards the next by PRIOR_ROWS rows."""
+    for batch in batches:
+        means, precisions = [], []
+        for own, language, whole in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            m, cov = np.array(whole["m"]), square(whole["cov"]) * whole["scale"]
+            for e in (language, own):
+                w = e["n"] / (e["n"] + PRIOR_ROWS)
+                m, cov = w * np.array(e["m"]) + (1 - w) * m, w * square(e["cov"]) * e["scale"] + (1 - w) * cov
+            means.append(m.tolist())
+            precisions.append(upper(np.linalg.inv(cov)))
+        vectors = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(means, vectors), pa.array(precisions, vectors)], names=["lang", "source", "m", "p"])
+
+
+#: Parameters of at most so many groups (about 5 kB each while there are several starts) are broadcast; more are joined by a salted key.
+MOST_BROADCAST = 2_000
 SALTS = 32
 
 
@@ -204,30 +230,87 @@ def with_group(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     return rows.join(g, on & (rows["_r"] == g["_salt"]), "left").drop("_l", "_s", "_salt", "_r")
 
 
-def fit(stats: DataFrame, least_group: int = LEAST_GROUP, steps: int = STEPS) -> tuple[DataFrame, int]:
-    """(lang, source, g, m, p, scale; how many rows that has) from rows of lang, source and c (the struct of COUNTS)."""
-    groups = materialize(grouping(stats, least_group), "quality-groups")
-    n = groups.count()
-    x = _named(with_group(stats, groups, n).where(F.col("g").isNotNull())).select("g", "lang", "source", *[f"x{i}" for i in range(P)])
-    each = x.select("g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * (4 / FLOORS[i]) + 0.5).alias("bin")) for i in range(P)])).alias("e"))
-    hist = each.groupBy("g", "e.i", "e.bin").agg(F.count("*").alias("n"))
-    params = hist.groupBy("g").applyInArrow(_start, "g string, m array<double>, p array<double>, scale double")
-    for k in range(steps):
-        params = groups.join(params, "g", "left")
-        params = materialize(params, f"quality-step{k}")
-        d = with_group(x.drop("g"), params, n).withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * BINS_PER_OCTAVE))
-        sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]]
-        params = d.groupBy("g", "bin").agg(*sums).groupBy("g").applyInArrow(_concentrate, "g string, m array<double>, p array<double>, scale double")
-    return materialize(groups.join(params, "g", "left"), "quality-fit"), n
-
-
-def judge(stats: DataFrame, least_group: int = LEAST_GROUP, cutoff: float = CUTOFF, params: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """``stats`` (with lang, source, c) plus base_failed, outlier_distance (null: no verdict) and kept."""
-    fitted, n = params or fit(stats, least_group)
+def levels() -> Column:
+    """The keys of the groups that a row counts in: its own, its language's, and the whole."""
+    return F.array(F.concat(F.lit("s"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("l"), F.to_json(F.struct("lang"))), F.lit("a"))
+
+
+def drawn_by(k: Column | int) -> Column:
+    """A number from 0 to 1 that says whether a vector is in random subset k."""
+    return F.pmod(F.xxhash64(*[F.col(f"x{i}") for i in range(P)], F.lit(k) if isinstance(k, int) else k), F.lit(1 << 32)) / float(1 << 32)
+
+
+def moments() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS]]
+
+
+def starts(x: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """ESTIMATE rows: start 0 of every group, and the random subsets 1 to SUBSETS."""
+    each = x.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * (4 / FLOORS[i]) + 0.5).alias("bin")) for i in range(P)])).alias("e"))
+    hist = each.groupBy("lang", "source", "e.i", "e.bin").agg(F.count("*").alias("n"))
+    hist = hist.select(F.explode(levels()).alias("g"), "i", "bin", "n").groupBy("g", "i", "bin").agg(F.sum("n").alias("n"))
+    middle = hist.groupBy("g").applyInArrow(_middle, ESTIMATE)
+    picks = F.explode(F.sequence(F.lit(1), F.lit(SUBSETS)))
+    d = with_group(x, groups, n_groups).select(F.explode("sizes").alias("z"), *[f"x{i}" for i in range(P)]).withColumn("k", picks)
+    d = d.where(drawn_by(F.col("k")) * F.col("z.n") < SUBSET_ROWS).withColumn("bin", F.lit(0).cast("long"))
+    return middle.unionByName(d.groupBy(F.col("z.g").alias("g"), "k", "bin").agg(*moments()).groupBy("g", "k").applyInArrow(_concentrate, ESTIMATE))
+
+
+def step(x: DataFrame, groups: DataFrame, n_groups: int, params: DataFrame) -> DataFrame:
+    """One concentration step of every group and start."""
+    wide = groups.select("lang", "source", F.explode("sizes").alias("z")).select("lang", "source", F.col("z.g").alias("g")).join(params.select("g", "k", "m", "p"), "g")
+    wide = materialize(wide.groupBy("lang", "source").agg(F.collect_list(F.struct("g", "k", "m", "p")).alias("e")), "quality-wide")  # three levels of a few starts
+    d = with_group(x, wide, n_groups).select(F.explode("e").alias("e"), *[f"x{i}" for i in range(P)]).select("e.*", *[f"x{i}" for i in range(P)])
+    d = d.withColumn("bin", F.floor(F.log2(distance() + 2.0**-20) * BINS_PER_OCTAVE))
+    return d.groupBy("g", "k", "bin").agg(*moments()).groupBy("g", "k").applyInArrow(_concentrate, ESTIMATE)
+
+
+def best(params: DataFrame, most: int) -> DataFrame:
+    w = Window.partitionBy("g").orderBy("logdet", "k")
+    return params.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
+
+
+def failed() -> Column:
     words, repeated = F.col("c.n_words"), F.col("c.n_repeat_words")
-    failed = (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * words)
-    d = _named(with_group(stats, fitted, n)).withColumn("outlier_distance", distance() / F.col("scale"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("outlier_distance", F.lit(0.0)) <= cutoff)).drop("m", "p", "scale", "g", *[f"x{i}" for i in range(P)])
+    return (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * words)
+
+
+def fit(stats: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, source, m, p; how many rows that has) from rows of lang, source and c (the struct of COUNTS)."""
+    x = _named(stats.where(~failed())).select("lang", "source", *[f"x{i}" for i in range(P)])
+    own = x.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    sizes = own.select(F.explode(levels()).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))
+    groups = own.select("lang", "source", F.explode(levels()).alias("g")).join(sizes, "g").groupBy("lang", "source").agg(F.collect_list(F.struct("g", "n")).alias("sizes"))
+    groups = materialize(groups, "quality-groups")
+    n = groups.count()
+    params = materialize(starts(x, groups, n), "quality-starts")
+    for _ in range(FIRST_STEPS):
+        held, params = params, materialize(step(x, groups, n, params), "quality-step")
+        forget(held)
+    held, params = params, materialize(best(params, FINALISTS), "quality-finalists")
+    forget(held)
+    while True:  # determinants only fall, so this ends
+        before = params.select("g", "k", *[F.col(c).alias(f"_{c}") for c in params.columns[2:]])
+        now = step(x, groups, n, params).join(before, ["g", "k"])
+        shrinks = F.col("logdet") < F.col("_logdet") - TOLERANCE
+        now = materialize(now.select("g", "k", *[F.when(shrinks, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in params.columns[2:]], shrinks.alias("shrunk")), "quality-step")
+        forget(params)
+        params = now.drop("shrunk")
+        params.materialized_at = now.materialized_at
+        if now.where("shrunk").limit(1).count() == 0:
+            break
+    chosen = best(params, 1).select("g", F.struct("n", "m", "cov", "scale").alias("e"))
+    keys = groups.select("lang", "source", levels().alias("g"))
+    for k, name in enumerate(("own", "language", "whole")):
+        keys = keys.join(chosen.select(F.col("g").alias("_g"), F.col("e").alias(name)), F.col("g")[k] == F.col("_g")).drop("_g")
+    return materialize(keys.select("lang", "source", "own", "language", "whole").mapInArrow(_drawn, "lang string, source string, m array<double>, p array<double>"), "quality-fit"), n
+
+
+def judge(stats: DataFrame, cutoff: float = CUTOFF, params: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """``stats`` (with lang, source, c) plus base_failed, outlier_distance (null: nothing to judge by) and kept."""
+    fitted, n = params or fit(stats)
+    d = _named(with_group(stats, fitted, n)).withColumn("outlier_distance", distance())
+    return d.withColumn("base_failed", failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("outlier_distance", F.lit(0.0)) <= cutoff)).drop("m", "p", *[f"x{i}" for i in range(P)])
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -236,7 +319,9 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """``documents`` without those that the rules reject; the rows that stay are unchanged."""
-    params = fit(materialize(statistics(docs), "quality"))
+    stats = materialize(statistics(docs), "quality")
+    params = fit(stats)
+    forget(stats)
     rows = whole_rows(docs, lang=F.col("lang"), source=F.col("source"), c=count_udf("text"))
     return unwrapped(judge(rows, params=params).where("kept"), docs.columns)
 
