@@ -8,13 +8,16 @@ can be similar to. Subsets without elements are no signatures; a set with so man
 another hash, and in the last tier the empty ones too, so no pair is lost.
 
 Sharing a signature only proposes a pair. Proposals are filtered by odd sketches (whose Hamming distance never exceeds the sets') and then
-verified on the sets. A bucket of up to SMALL sets proposes all its pairs; a larger one first proposes a star around its least id. What the
-links so far leave in different components is then compared within the bucket on sketches, so every pair of different components is examined
-and only those that pass are emitted: a group of n copies costs n rows, not n * n.
+verified on the sets. A bucket of up to SMALL sets proposes all its pairs; a larger one first proposes a star around its least id. The star
+of a bucket that is large within one task is made there, and only its least id is shuffled by the signature, so a signature of a third of all
+rows is never gathered. What the links so far leave in different components is then compared within the bucket on sketches: each round proposes
+a spanning forest of the pairs that pass and were not refused before, until none is left. So every pair of different components is examined,
+and a group of n copies costs n rows, not n * n.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; 1 to 4 words are one shingle; equal sets are one class from the
-start; rows that share a doc_id share a component; a null doc_id is a row of its own; extra columns are ignored; texts are read whole; an empty
-table gives an empty result.
+start; rows that share a doc_id share a component, and if their texts differ each text has its own links; a null doc_id is a row of its own;
+extra columns are ignored; texts are read whole; an empty table gives an empty result. Sets are compared by 64-bit hashes of their shingles,
+equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,8 @@ SMALL = 8
 TIERS = 4
 #: Sets of at most this size use groups of 3 partitions of which 2 must agree; larger ones single partitions, whose contents are selective enough.
 GROUPED_BELOW = 48
+#: Signature rows that a task sorts at once.
+FLUSH = 500_000
 #: Within a bucket, sets of different components are compared in blocks of so many.
 BLOCK = 512
 #: Ids that are broadcast at most (16 bytes each); more are joined by shuffling.
@@ -196,11 +201,36 @@ def set_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(ka.view(np.int64)), pa.array(kb.view(np.int64))], names=["id", "n", "ka", "kb"])
 
 
+@tk.released
+def set_keys_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``set_keys``, from rows of (id, text, text), with the text after the keys."""
+    for batch in batches:
+        for made in set_keys(iter([batch.select([0, 1])])):
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column(2)], names=["id", "n", "ka", "kb", "text"])
+
+
 @tk.released
 def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (id, text) as (sig, node); of a task's equal sets only the first signs."""
+    """Rows of (id, text) as (sig, node, least); of a task's equal sets only the first signs.
+
+    ``least`` is null for most rows. Of a signature with more than SMALL nodes among a batch of rows, the least node has itself there, which
+    says that the bucket is large, and the others have that node.
+    """
     seen: dict[int, int] = {}
     done = 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, len(sig)))
+        large = np.repeat(count > SMALL, count)
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(np.repeat(node[start], count), mask=~large)], names=["sig", "node", "least"])
+
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, at, s in shingle_sets(batch.column(1)):
@@ -208,29 +238,46 @@ def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows, sigs = signatures(at, s)
             mine = np.array([seen.setdefault(k, done + a + i) == done + a + i for i, k in enumerate(key.tolist())], bool)
             keep = mine[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs[keep].view(np.int64)), pa.array(ids[a + rows[keep]], pa.int64())], names=["sig", "node"])
+            held.append((sigs[keep], ids[a + rows[keep]]))
+            size += int(keep.sum())
+            if size > FLUSH:
+                yield flush()
+                size = 0
         done += batch.num_rows
+    if held:
+        yield flush()
 
 
 @tk.released
 def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition's (sig, node) rows: kind 0 has pairs (a < b), kind 1 the rows (a: sig, b: node) of large buckets."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    """One partition's (sig, node, least) rows: kind 0 has pairs (a < b), kind 1 the rows (a: sig, b: node) of large buckets."""
+    parts = []
+    for b in batches:
+        if b.num_rows:
+            sig, node, least = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            known = least.is_valid().to_numpy(zero_copy_only=False)
+            least = least.fill_null(0).to_numpy()
+            stars = known & (least != node)
+            if stars.any():  # of buckets that were large where their rows were made
+                kind = np.repeat(np.array([0, 1], np.int32), int(stars.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([least[stars], sig[stars]])), pa.array(np.concatenate([node[stars]] * 2))], names=["kind", "a", "b"])
+            parts.append((sig[~stars], node[~stars], known[~stars]))
     if not parts:
         return
-    sig, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sig, node, large = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     order = np.argsort(sig)
-    sig, node = sig[order], node[order]
+    sig, node, large = sig[order], node[order], large[order]
     again = np.zeros(len(sig), bool)
     again[1:] = sig[1:] == sig[:-1]
     again[:-1] |= again[1:]
-    sig, node = sig[again], node[again]
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    again |= large
+    sig, node, large = sig[again], node[again], large[again]
+    order = np.lexsort((~large, node, sig))
+    sig, node, large = sig[order], node[order], large[order]
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[keep], node[keep]
+    sig, node, large = sig[keep], node[keep], large[keep]
     if not len(sig):
         return
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -239,7 +286,7 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rank = np.arange(len(sig)) - first
     star = rank > 0
     a, b = [node[first[star]]], [node[star]]
-    small = np.repeat(count <= SMALL, count)
+    small = np.repeat((count <= SMALL) & ~np.logical_or.reduceat(large, start), count)
     for gap in range(1, SMALL):  # pairs of a small bucket that the star lacks
         other = np.flatnonzero(small[gap:] & (sig[gap:] == sig[:-gap]) & (rank[:-gap] > 0))
         a.append(node[other])
@@ -322,36 +369,51 @@ def verify(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
 
-def cross_pairs(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs within a bucket whose components differ and whose sketches pass: rows of (sig, node, component, n, odd)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def cross_pairs(key: tuple, rows: pa.Table, refused: pa.Table) -> pa.Table:
+    """A spanning forest of a bucket's pairs whose components differ and whose sketches pass, without refused ones: (sig, a, b) from rows of (sig, node, component, n, odd)."""
+    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    if rows.num_rows < 2:
+        return schema.empty_table()
     tk.release_sometimes(1024)
     node, comp, n = (rows.column(c).to_numpy() for c in ("node", "component", "n"))
     raw = rows.column("odd").to_pylist()
-    size = min(map(len, raw), default=0)
+    size = min(map(len, raw))
     _, label, members = np.unique(comp, return_inverse=True, return_counts=True)
     if len(members) < 2:
         return schema.empty_table()
     # The largest component comes last: its own pairs are never looked at.
     order = np.argsort(label == np.argmax(members), kind="stable")
-    node, comp, n = node[order], comp[order], n[order]
+    node, label, n = node[order], label[order], n[order]
     odd = np.stack([folded_to(np.frombuffer(raw[k], np.uint8), size) for k in order]).view(np.uint64)
+    place = {int(x): k for k, x in enumerate(node.tolist())}
+    barred: dict[int, list[int]] = {}
+    for x, y in zip(*(refused.column(c).to_pylist() for c in ("a", "b")), strict=True):
+        i, j = place.get(x), place.get(y)
+        if i is not None and j is not None:
+            barred.setdefault(min(i, j), []).append(max(i, j))
     a, b = [], []
     for i in range(0, len(node) - int(members.max()), BLOCK):
+        x = slice(i, i + BLOCK)
+        passes = np.zeros((len(node[x]), len(node)), bool)
         for j in range(i, len(node), BLOCK):
-            x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            y = slice(j, j + BLOCK)
             differ = np.zeros((len(node[x]), len(node[y])), np.int64)
             for word in range(odd.shape[1]):
                 differ += np.bitwise_count(odd[x, None, word] ^ odd[None, y, word])
             na, nb = n[x, None], n[None, y]
-            good = (comp[x, None] != comp[None, y]) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (na + nb)) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
-            if i == j:
-                good &= np.triu(np.ones(good.shape, bool), 1)
-            p, q = np.nonzero(good)
-            a.append(node[i + p])
-            b.append(node[j + q])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+            passes[:, y] = ((100 + PERCENT) * differ <= (100 - PERCENT) * (na + nb)) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
+        for p in range(len(passes)):
+            good = passes[p]
+            good[: i + p + 1] = False
+            good[barred.get(i + p, [])] = False
+            q = np.flatnonzero(good & (label != label[i + p]))
+            if len(q):  # one edge to each tree that it touches, and all are one tree then
+                trees, first = np.unique(label[q], return_index=True)
+                a += [int(node[i + p])] * len(first)
+                b += node[q[first]].tolist()
+                label[np.isin(label, trees)] = label[i + p]
+    sig = rows.column("sig")[0].as_py()
+    return pa.table([pa.array([sig] * len(a), pa.int64()), pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], schema=schema)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -392,14 +454,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("l", "component")
 
 
+def with_nodes(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (id, text; no null ids) and ``keys`` with ``node`` for ``id``: the id, but where texts of one id differ in their sets, ids of their own, above all others, for all but one."""
+    differ = F.min(F.struct("n", "ka", "kb")) != F.max(F.struct("n", "ka", "kb"))
+    shared = materialize(keys.where(F.col("id").isNotNull()).groupBy("id").agg(differ.alias("differ")).where("differ").select("id"), "join-shared-ids")
+    n = shared.count()
+    if not n:
+        return docs.withColumnRenamed("id", "node"), keys.withColumn("node", F.col("id"))
+    top = keys.agg(F.max("id")).first()[0]
+    kinds = keys.join(small_side(shared, n), "id").select("id", "n", "ka", "kb").distinct()
+    own = Window.partitionBy("id").orderBy("n", "ka", "kb")
+    # Numbered over all such ids by the hash buckets that Spark gives; the first text of each keeps the id.
+    later = materialize(kinds.withColumn("rank", F.row_number().over(own)).where("rank > 1").select("id", "n", "ka", "kb", (F.monotonically_increasing_id() + F.lit(top) + 1).alias("own")), "join-own-nodes")
+    joined = lambda d: d.join(small_side(later, n), ["id", "n", "ka", "kb"], "left").withColumn("node", F.coalesce("own", "id"))
+    texts = docs.join(small_side(shared.withColumn("twin", F.lit(True)), n), "id", "left")
+    plain = texts.where(F.col("twin").isNull()).select(F.col("id").alias("node"), "text")
+    told = texts.where("twin").select("id", "text", "text").toDF("id", "keyed", "text").mapInArrow(set_keys_and_text, "id long, n long, ka long, kb long, text string")
+    return plain.unionByName(joined(told).select("node", "text")), joined(keys.where(F.col("id").isNotNull())).drop("own").unionByName(keys.where(F.col("id").isNull()).withColumn("node", F.lit(None).cast("long")))
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text)."""
     all_docs = docs.select(F.col("doc_id").alias("id"), "text")
-    named = all_docs.where(F.col("id").isNotNull())
     keys = materialize(all_docs.mapInArrow(set_keys, "id long, n long, ka long, kb long"), "join-sets")
+    named, keys = with_nodes(all_docs.where(F.col("id").isNotNull()), keys)
+    named = named.select(F.col("node").alias("id"), "text")
     # Equal sets: the least id stands for the class. Sums come before the shuffle, so a class of a third of all rows is no burden.
-    classes = keys.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("n", "ka", "kb").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    signed = named.mapInArrow(signature_rows, "sig long, node long").repartition(2 * partitions(docs.sparkSession), "sig")
+    members = keys.where((F.col("n") > 0) & F.col("id").isNotNull()).select(F.col("node").alias("id"), "n", "ka", "kb")
+    classes = members.groupBy("n", "ka", "kb").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
+    away = F.col("least").isNotNull() & (F.col("least") != F.col("node"))
+    signed = named.mapInArrow(signature_rows, "sig long, node long, least long").repartition(2 * partitions(docs.sparkSession), F.when(away, F.col("node")).otherwise(F.col("sig")))
     raw = materialize(signed.mapInArrow(bucket_pairs, "kind int, a long, b long"), "join-buckets")
     pairs = raw.where("kind = 0").select("a", "b").distinct()
     big = raw.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
@@ -409,28 +493,34 @@ def join_components(docs: DataFrame) -> DataFrame:
     odd = materialize(first_text.select("id", "text").mapInArrow(sketches, "id long, n long, odd binary").dropDuplicates(["id"]), "join-sketches")
     a, b = odd.toDF("a", "na", "oa"), odd.toDF("b", "nb", "ob")
     passed = pairs.join(a, "a").join(b, "b").where(sketches_pass("na", "oa", "nb", "ob")).select("a", "b")
-    links = materialize(exact_links(named, passed), "join-links")
-    by_class = keys.where((F.col("n") > 0) & F.col("id").isNotNull()).select("id", "n", "ka", "kb")
-    same = classes.where(F.col("top") > F.col("rep")).select("n", "ka", "kb", "rep", F.col("top"))
+    found = materialize(exact_links(named, passed), "join-links")
+    same = classes.where(F.col("top") > F.col("rep"))
     # Members of a class are linked to it by (class, salt), of which a class has few, so none is gathered in one task.
-    salted = by_class.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)).cast("int"))
     spread = salted.select("n", "ka", "kb", "salt").distinct().join(same, ["n", "ka", "kb"])
     copies = salted.join(spread, ["n", "ka", "kb", "salt"]).where(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    copies = materialize(copies.distinct(), "join-copies")
-    found = links.union(copies)
+    twins = keys.where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    found = found.union(materialize(copies.union(twins).distinct(), "join-copies"))
     named_by = components(found)
-    left = big.join(named_by, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    # Whether a bucket is still of several components is summed and sent back by (sig, salt), so a bucket of very many sets stays spread.
-    left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int"))
-    part = left.groupBy("sig", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = part.groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi")).select("sig")
-    open_rows = materialize(left.join(part.select("sig", "salt").join(mixed, "sig"), ["sig", "salt"]).drop("salt"), "join-open")
-    if open_rows.limit(1).count():
-        more = open_rows.join(odd, F.col("node") == F.col("id")).select("sig", "node", "component", "n", "odd").groupBy("sig").applyInArrow(cross_pairs, "a long, b long")
-        extra = materialize(exact_links(named, more.distinct()), "join-links")
-        if extra.limit(1).count():
-            named_by = components(found.union(extra))
-    out = keys.join(named_by.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    refused = None
+    while True:  # a round merges components or refuses pairs, of which there are finitely many
+        left = big.join(named_by, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        # Whether a bucket is still of several components is summed and sent back by (sig, salt), so a bucket of very many sets stays spread.
+        left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int"))
+        part = left.groupBy("sig", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed = part.groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi")).select("sig")
+        open_rows = left.join(part.select("sig", "salt").join(mixed, "sig"), ["sig", "salt"]).select("sig", "node", "component").distinct()
+        open_rows = open_rows.join(odd, F.col("node") == F.col("id")).select("sig", "node", "component", "n", "odd")
+        known = refused if refused is not None else docs.sparkSession.createDataFrame([], "sig long, a long, b long")
+        asked = materialize(open_rows.groupBy("sig").cogroup(known.groupBy("sig")).applyInArrow(cross_pairs, "sig long, a long, b long"), "join-asked")
+        if asked.limit(1).count() == 0:
+            break
+        more = materialize(exact_links(named, asked.select("a", "b").distinct()), "join-links")
+        no = asked.join(more, ["a", "b"], "left_anti")
+        refused = materialize(no if refused is None else refused.unionByName(no), "join-refused")
+        found = found.union(more)
+        named_by = components(found)
+    out = keys.join(named_by.withColumnRenamed("id", "_id"), F.col("node") == F.col("_id"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

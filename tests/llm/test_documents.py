@@ -274,6 +274,69 @@ def test_join_of_a_large_group_and_a_shared_passage(spark):
     assert keyed(jaccardjoin.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_texts_of_one_id_have_their_own_links(spark):
+    """An id with two texts is linked through both, whichever comes first; and so are three ids in a row."""
+    import random
+
+    from textmaker import prose
+
+    rng = random.Random(7)
+    x, y, z = (prose(rng, 80) for _ in range(3))
+    near = lambda t: t + " extra words"
+    rows = [(1, x), (1, y), (2, near(y)), (2, z), (3, near(z)), (4, near(x)), (4, near(x)), (9, "a b"), (9, "a c"), (10, "a c"), (None, x), (20, x), (20, "few"), (21, None), (21, "few")]
+    rows = [(*r, "en", "a", 0) for r in rows]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        assert keyed(jaccardjoin.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_large_signatures_are_split_where_they_arise():
+    """Two tasks with many near copies each: a signature goes on with one row a task, and the pairs still connect all its nodes."""
+    import random
+
+    import pyarrow as pa
+
+    from textmaker import prose
+
+    base = prose(random.Random(8), 300).split()
+
+    def near(k):
+        return " ".join([*base[:150], f"edit{k}", *base[151:]])
+
+    tasks = [pa.RecordBatch.from_arrays([pa.array(range(t * 100, t * 100 + 40)), pa.array([near(t * 100 + k) for k in range(40)])], names=["id", "text"]) for t in range(2)]
+    rows = [r for t in tasks for b in jaccardjoin.signature_rows(iter([t])) for r in b.to_pylist()]
+    large = {r["sig"] for r in rows if r["least"] is not None}
+    by_sig = [r for r in rows if r["least"] in (None, r["node"])]
+    assert len(large) > 5 and all(sum(r["sig"] == x for r in by_sig) <= 2 for x in large)
+    away = [r for r in rows if r["least"] not in (None, r["node"])]
+    group = {r["node"]: r["node"] for r in rows}
+    big = defaultdict(set)
+    for part in (by_sig, away):
+        batch = pa.RecordBatch.from_pylist(part, schema=pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("least", pa.int64())]))
+        for made in jaccardjoin.bucket_pairs(iter([batch])):
+            for r in made.to_pylist():
+                if r["kind"]:
+                    big[r["a"]].add(r["b"])
+                else:
+                    x, y = group[r["a"]], group[r["b"]]
+                    group = {k: min(x, y) if v in (x, y) else v for k, v in group.items()}
+    assert set(group.values()) == {0} and all(big[x] == {r["node"] for r in rows if r["sig"] == x} for x in large)  # whole buckets are known for the rounds after the stars
+
+
+def test_a_bucket_spans_rounds():
+    """The forest of a bucket leaves out what was refused, and reaches every tree otherwise."""
+    import pyarrow as pa
+
+    odd = [jaccardjoin.odd_sketch(np.arange(k % 2, 200, dtype=np.uint64)) for k in range(40)]
+    rows = pa.table({"sig": [5] * 40, "node": list(range(40)), "component": list(range(40)), "n": [200 - k % 2 for k in range(40)], "odd": odd})
+    none = pa.table({"sig": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    first = jaccardjoin.cross_pairs((5,), rows, none)
+    assert first.num_rows == 39
+    second = jaccardjoin.cross_pairs((5,), rows, first)  # the hub of the first round has no pairs left, the others are one tree
+    assert second.num_rows == 38 and not {tuple(r.values()) for r in first.to_pylist()} & {tuple(r.values()) for r in second.to_pylist()}
+
+
 def test_every_similar_pair_shares_a_signature():
     rng = np.random.default_rng(2)
     lost = pairs = 0
