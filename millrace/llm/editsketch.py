@@ -1,20 +1,24 @@
 """Document fingerprints by a randomised edit embedding.
 
-A shared random walk reads a text: at step j it emits the character under its pointer and moves on, or not, by r_j(character), a random bit that
-all texts share (1 three times in four). Texts a small edit distance apart fall back into step soon after an edit, so edit distance becomes Hamming distance between the
-emitted strings. Of these a fingerprint keeps LANES sampled positions: lane j mod LANES holds the emission with the least random value among
-its (position, character) pairs, which samples positions alike for texts of every length. The share of equal lanes estimates the share of
-equal positions. Fingerprints are cut into bands to propose pairs, and proposed pairs are verified by banded edit distance
-(``linked_pairs``); the query stops at fingerprints and the comparison with the next document.
-
-Defined cases: a null text is empty; two empty texts are alike (1.0); characters are code points, folded to 8 bits for the walk; the last
+A shared random walk reads a text: at step j it emits the character under its pointer and moves on, or not, by a random bit of (j, character)
+that all texts share (1 three times in four). Texts a small edit distance apart fall back into step soon after an edit, so edit distance
+becomes Hamming distance between the emitted strings. Of these a fingerprint keeps LANES sampled positions, WIDTH for each band: steps are
+dealt to bands in turn, in rounds of LANES steps, and a band keeps a byte of each of its emissions in the round that is least, by a random
+order that all texts share, among the rounds before the text's end. So positions are sampled alike for texts of every length, texts of like
+length sample the same ones, and those of a band lie near each other: where two texts are in step, whole bands agree. The share of equal
+lanes, less what chance makes equal, estimates the share of equal positions.
+
+``linked_pairs`` finds near copies: fingerprints are cut into bands of sampled lanes to propose pairs, and proposals are verified by their edit
+distance. The query stops at fingerprints and the comparison with the next document, which is all that its result has.
+
+Defined cases: a null text is empty; two empty texts are alike (1.0); characters are code points, each with random bits of its own; the last
 document's next is the first; a table of one row is its own next; repeated ids follow each other in order of text; a null doc_id sorts last;
-texts of any length are walked to their end; extra columns are ignored.
+texts of any length are walked to their end; equal bands of several documents are ranked by doc_id; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,74 +32,100 @@ from millrace.llm.jaccardjoin import components
 
 QUERY = "op8_edit_embedding"
 
-LANES = 128
+LANES, WIDTH = 240, 3
+BANDS = LANES // WIDTH
 SEED = 20240229
-PERIOD = 1 << 12
-END = 0xFFFFFFFC
 #: Rows that a cell of ids aims to hold, and the most cells, which bounds what is broadcast (16 bytes a cell).
 ROWS_PER_CELL, MOST_CELLS, RANGES = 100, 1_000_000, 128
 CHARS_AT_ONCE = 24_000_000
+#: The share of equal lanes from which pairs of a band are verified beyond its star.
+LEAST_EQUAL = 0.15
 
 
-@functools.lru_cache(1)
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each step of a period and each folded character (and the end) a random value, whose low bits say whether the pointer moves;
-    and what changes the values from one period to the next."""
-    rng = np.random.default_rng(SEED)
-    values = rng.integers(0, END, (PERIOD, 257), dtype=np.uint32)
-    values[:, 256] = END
-    turns = rng.integers(0, 1 << 30, 1 << 12, dtype=np.uint32) << np.uint32(2)
-    turns[0] = 0
-    return values, turns
-
-
-def folded(text: str) -> np.ndarray:
-    """Code points as values below 256, then the end."""
-    if text.isascii():
-        c = np.frombuffer(text.encode("ascii"), np.uint8)
-    else:
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = (c ^ (c >> 8) ^ (c >> 16)) & 255
-    out = np.empty(len(c) + 1, np.uint16)
-    out[:-1] = c
-    out[-1] = 256
-    return out
+def scattered(x: np.ndarray) -> np.ndarray:
+    """32 random bits of each number."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(0x85EBCA6B)
+    x = x ^ (x >> np.uint32(13))
+    x = x * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def step_values(first: int, n: int, characters: np.ndarray) -> np.ndarray:
+    """32 random bits for each of n steps and each character: the low two say whether the pointer moves, the high eight are what a lane keeps."""
+    steps = scattered(np.arange(first, first + n, dtype=np.uint32) * np.uint32(2) + np.uint32(SEED & 0xFFFF))
+    return scattered(steps[:, None] ^ scattered(characters.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(SEED))[None, :])
+
+
+class Order:
+    """The shared random order of rounds: ``sampled(first, n)`` says at which of the steps a lane takes a new emission; ``lane`` is a step's."""
+
+    def __init__(self, lanes: int):
+        self.lanes, self.bands = lanes, lanes // WIDTH
+        self.least = np.full(self.bands, np.iinfo(np.uint64).max, np.uint64)
+
+    def lane(self, step: int) -> int:
+        at = step % self.lanes
+        return at % self.bands * WIDTH + at // self.bands
+
+    def sampled(self, first: int, n: int) -> np.ndarray:
+        """``first`` and n are whole rounds."""
+        out = []
+        for turn in range(first // self.lanes, (first + n) // self.lanes):
+            number = (turn * self.bands + np.arange(self.bands, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
+            rank = (scattered(number.astype(np.uint32) ^ np.uint32(0x5BD1E995)).astype(np.uint64) << np.uint64(32)) | np.uint64(turn)
+            out.append(np.tile(rank < self.least, WIDTH))
+            np.minimum(self.least, rank, out=self.least)
+        return np.concatenate(out)
 
 
-def walk(texts: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
-    """The fingerprints (rows x lanes, 8 bits each) of folded texts, all walked in step until each has reached its end."""
-    values, turns = tables()
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def walk(texts: list[str], lanes: int = LANES) -> np.ndarray:
+    """The fingerprints (rows x lanes, 8 bits each; 0: the text ends before the lane) of texts, all walked in step until each has reached its end."""
     n = len(texts)
-    size = np.array([len(t) for t in texts], np.int64)
+    points = [code_points(t) for t in texts]
+    size = np.array([len(p) for p in points], np.int64)
+    characters, place = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]), return_inverse=True)
+    end = len(characters)
+    kind = np.uint16 if end < 65535 else np.uint32
+    joined = np.full(int(size.sum()) + n, end, kind)
+    starts = np.cumsum(size + 1) - size - 1
+    own = np.ones(len(joined), bool)
+    own[starts + size] = False
+    joined[own] = place
     order = np.argsort(-size, kind="stable")
-    joined = np.concatenate(texts)
-    at = (np.cumsum(size) - size)[order]
-    best = np.full((lanes, n), END, np.uint32)
-    chars, v, move = np.empty(n, np.uint16), np.empty(n, np.uint32), np.empty(n, bool)
-    active, step, turn = n, 0, np.uint32(0)
-    row = np.empty(257, np.uint32)
+    at = starts[order]
+    kept = np.zeros((lanes, n), np.uint8)
+    chars, values, moves = np.empty(n, kind), np.empty(n, np.uint8), np.empty(n, bool)
+    active, step, least = int((size > 0).sum()), 0, Order(lanes)
     while active:
-        np.bitwise_xor(values[step & (PERIOD - 1)], turn, out=row)
-        row[256] = END
-        p, c, x = at[:active], chars[:active], v[:active]
-        np.take(joined, p, out=c, mode="clip")
-        np.take(row, c, out=x, mode="clip")
-        best_lane = best[step % lanes, :active]
-        np.minimum(best_lane, x, out=best_lane)
-        m = move[:active]
-        np.bitwise_and(x, 3, out=x)
-        np.not_equal(x, 0, out=m)
-        np.add(p, m, out=p)
-        step += 1
-        if step & (PERIOD - 1) == 0:
-            turn = turns[(step >> 12) & 0xFFF]
-        if step & 63 == 0:
-            # Rows are in order of length, so those that have ended are mostly the last; a row at its end changes nothing.
-            going = np.flatnonzero(joined[p] != 256)
-            active = int(going[-1]) + 1 if len(going) else 0
+        random = step_values(step, lanes, characters)
+        move = np.zeros((lanes, end + 1), bool)
+        move[:, :end] = (random & np.uint32(3)) != 0
+        emit = np.zeros((lanes, end + 1), np.uint8)
+        emit[:, :end] = 1 + (random >> np.uint32(24)) % np.uint32(255)
+        for j, sample in enumerate(least.sampled(step, lanes)):
+            p, c, m = at[:active], chars[:active], moves[:active]
+            np.take(joined, p, out=c, mode="clip")
+            if sample:
+                v = values[:active]
+                np.take(emit[j], c, out=v, mode="clip")
+                lane = kept[least.lane(step + j), :active]
+                np.copyto(lane, v, where=v != 0)
+            np.take(move[j], c, out=m, mode="clip")
+            np.add(p, m, out=p)
+            if j & 63 == 63:
+                # Rows are in order of length, so those that have ended are mostly the last; a row at its end changes nothing.
+                going = np.flatnonzero(joined[p] != end)
+                active = int(going[-1]) + 1 if len(going) else 0
+                if not active:
+                    break
+        step += lanes
     out = np.empty((n, lanes), np.uint8)
-    lane = best.T
-    out[order] = np.where(lane < END, 1 + ((lane >> 2) ^ (lane >> 17)) % 255, 0)
+    out[order] = kept.T
     return out
 
 
@@ -108,19 +138,23 @@ def fingerprints(texts: list[str], lanes: int = LANES) -> np.ndarray:
         while b < len(texts) and (b == a or size + len(texts[b]) <= CHARS_AT_ONCE):
             size += len(texts[b])
             b += 1
-        out[a:b] = walk([folded(t) for t in texts[a:b]], lanes)
+        out[a:b] = walk(texts[a:b], lanes)
         a = b
     return out
 
 
+#: Unlike texts emit the same character at a position by chance about so often.
+CHANCE = 0.06
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The estimated share of equal positions: lanes agree as the Jaccard index j of emissions, positions as 2j / (1 + j).
+    """The estimated share of positions that agree for more than chance.
 
     A lane is 0 where a text is too short to reach it; lanes that neither text reaches say nothing.
     """
     used = ((a != 0) | (b != 0)).sum(axis=1)
-    j = np.where(used > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(1, used), 1.0)
-    return 2 * j / (1 + j)
+    same = np.where(used > 0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(1, used), 1.0)
+    return np.clip((same - CHANCE) / (1 - CHANCE), 0, 1)
 
 
 def edited(text: str, following: str) -> str:
@@ -217,48 +251,47 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(_print_rows, "doc_id long, fingerprint string")
 
 
-def band_rows(prints: DataFrame, bands: int = 32) -> DataFrame:
-    """doc_id, band."""
+def band_rows(prints: DataFrame, bands: int = BANDS) -> DataFrame:
+    """doc_id, band, salt: bands in which a document has no lane say nothing of it."""
     width = 2 * LANES // bands
-    return prints.select("doc_id", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("fingerprint", 1 + k * width, width)) for k in range(bands)])).alias("band"))
+    found = F.array(*[F.when(F.substring("fingerprint", 1 + k * width, width) != "0" * width, F.concat(F.lit(f"{k}:"), F.substring("fingerprint", 1 + k * width, width))) for k in range(bands)])
+    each = prints.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(F.array_compact(found)).alias("band"))
+    return each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int"))
 
 
-def banded_pairs(prints: DataFrame, bands: int = 32) -> DataFrame:
-    """Pairs (a, b) that share a band: each row of a band with the band's least doc_id, so a large group gives as many pairs as it has rows."""
+def banded_pairs(prints: DataFrame, bands: int = BANDS) -> DataFrame:
+    """Pairs (a, b) that share a band: each row of a band with the band's least doc_id, so a large group gives as many pairs as it has rows.
+
+    What a band is told comes by (band, salt), so no task gets all rows of a hot band.
+    """
     each = band_rows(prints, bands)
-    least = each.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1)
-    salted = each.join(least.select("band", "a"), "band")
-    return salted.where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
+    part = each.groupBy("band", "salt").agg(F.min("doc_id").alias("a"), F.count("*").alias("n"))
+    least = part.groupBy("band").agg(F.min("a").alias("a"), F.sum("n").alias("n")).where(F.col("n") > 1).drop("n")
+    told = part.select("band", "salt").join(least, "band")
+    return each.join(told, ["band", "salt"]).where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def edit_distance(a: str, b: str, most: int) -> int | None:
-    """The edit distance if it is at most ``most``, by furthest-reaching diagonals; else None."""
+    """The edit distance if it is at most ``most``, else None; a column of differences at a time, as the bits of whole numbers."""
     if abs(len(a) - len(b)) > most:
         return None
-    goal = len(b) - len(a)
-    reach = {}
-    for d in range(most + 1):
-        new = {}
-        for k in range(-d, d + 1):
-            options = [0] if d == 0 else [reach[k] + 1] if k in reach else []
-            if k - 1 in reach:
-                options.append(reach[k - 1])
-            if k + 1 in reach:
-                options.append(reach[k + 1] + 1)
-            if not options:
-                continue
-            i = min(max(options), len(a))
-            if i + k > len(b):
-                i = len(b) - k
-            if i < 0 or i + k < 0:
-                continue
-            while i < len(a) and i + k < len(b) and a[i] == b[i + k]:
-                i += 1
-            new[k] = i
-        reach = new
-        if reach.get(goal, -1) >= len(a):
-            return d
-    return None
+    if not a or not b:
+        return max(len(a), len(b))
+    peq: dict[str, int] = {}
+    for i, c in enumerate(a):
+        peq[c] = peq.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for j, c in enumerate(b):
+        eq = peq.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        rise, fall = down | ~(diagonal | up) & full, up & diagonal
+        score += bool(rise & top) - bool(fall & top)
+        if score - (len(b) - j - 1) > most:
+            return None
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(diagonal | rise)) & full, rise & diagonal & full
+    return score if score <= most else None
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame, most: float = 0.2) -> DataFrame:
@@ -278,21 +311,59 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, most: float = 0.2) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, edits long")
 
 
-def linked_pairs(docs: DataFrame, prints: DataFrame, bands: int = 32, most: float = 0.2) -> DataFrame:
-    """Links (a, b, edits) whose components are those of all pairs that share a band and are within ``most``.
-
-    The stars of the bands come first; then, within each band, all pairs whose components still differ.
+def band_forest(key: tuple, rows: pa.Table, refused: pa.Table) -> pa.Table:
+    """A spanning forest of a band's pairs whose components differ and that have LEAST_EQUAL of their lanes in common, without refused ones: (band, a, b) from (band, doc_id, component, fingerprint)."""
+    schema = pa.schema([("band", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+    if rows.num_rows < 2:
+        return schema.empty_table()
+    node = rows.column("doc_id").to_numpy()
+    _, label = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    prints = np.stack([np.frombuffer(bytes.fromhex(x), np.uint8) for x in rows.column("fingerprint").to_pylist()])
+    barred: dict[int, list[int]] = {}
+    place = {x: k for k, x in enumerate(node.tolist())}
+    for x, y in zip(*(refused.column(c).to_pylist() for c in ("a", "b")), strict=True):
+        if x in place and y in place:
+            i, j = sorted((place[x], place[y]))
+            barred.setdefault(i, []).append(j)
+    a, b = [], []
+    for i in range(len(node) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if len(other):
+            both = prints[other]
+            used = ((both != 0) | (prints[i] != 0)).sum(axis=1)
+            other = other[((both == prints[i]) & (both != 0)).sum(axis=1) >= LEAST_EQUAL * used]
+            other = np.setdiff1d(other, barred.get(i, []))
+        if len(other):
+            trees, first = np.unique(label[other], return_index=True)
+            a += [int(node[i])] * len(first)
+            b += node[other[first]].tolist()
+            label[np.isin(label, trees)] = label[i]
+    band = rows.column("band")[0].as_py()
+    return pa.table([pa.array([band] * len(a), pa.string()), pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], schema=schema)
+
+
+def linked_pairs(docs: DataFrame, prints: DataFrame, bands: int = BANDS, most: float = 0.2) -> DataFrame:
+    """Links (a, b, edits) whose components are those of all pairs that share a band, have LEAST_EQUAL of their lanes in common or stand in a band's star, and are within ``most``.
+
+    The stars of the bands come first. Then, in rounds, each band whose documents are still of several components proposes a spanning forest
+    of its pairs, without those refused before, until none is left. What is proposed grows with the rows of a band, not with their square.
     """
+    prints = materialize(prints.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]), "sketch-prints")
     links = materialize(verified_pairs(docs, banded_pairs(prints, bands), most), "sketch-links")
-    labels = components(links.select("a", "b"))
-    named = band_rows(prints, bands).join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = materialize(named.where(F.col("doc_id").isNotNull()), "sketch-bands")
-    mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
-    left = named.join(mixed, "band")
-    right = left.select("band", F.col("doc_id").alias("other"), F.col("component").alias("theirs"))
-    cross = left.join(right, "band").where((F.col("doc_id") < F.col("other")) & (F.col("component") != F.col("theirs")))
-    more = verified_pairs(docs, cross.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct(), most)
-    return links.unionByName(more).distinct()
+    each = materialize(band_rows(prints, bands), "sketch-bands")
+    refused = docs.sparkSession.createDataFrame([], "band string, a long, b long")
+    while True:  # a round merges components or refuses pairs, of which there are finitely many
+        labels = components(links.select("a", "b"))
+        named = each.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "salt", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        part = named.groupBy("band", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        mixed = part.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
+        left = named.join(part.select("band", "salt").join(mixed, "band"), ["band", "salt"]).join(prints, "doc_id").select("band", "doc_id", "component", "fingerprint")
+        asked = materialize(left.groupBy("band").cogroup(refused.groupBy("band")).applyInArrow(band_forest, "band string, a long, b long"), "sketch-asked")
+        if asked.limit(1).count() == 0:
+            return links.distinct()
+        more = materialize(verified_pairs(docs, asked.select("a", "b").distinct(), most), "sketch-links")
+        refused = materialize(refused.unionByName(asked.join(more.select("a", "b"), ["a", "b"], "left_anti")), "sketch-refused")
+        links = links.unionByName(more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,43 @@ def test_tree_keeps_quotas_and_evenness():
     assert mixing.split_tree([], 2).shape == (2, 0)
 
 
+def test_tree_of_a_very_large_population():
+    """More blocks than numpy draws from at once: quotas and evenness hold, and the shares are near the expected ones."""
+    quotas = [9 * 10**9, 10**9 + 7, 0, 5]
+    out = mixing.split_tree(quotas, 16)
+    assert out.sum(axis=0).tolist() == quotas and out.sum(axis=1).max() - out.sum(axis=1).min() <= 4
+    assert np.abs(out[:, 0] - quotas[0] / 16).max() < 1e5 and (out >= 0).all()
+
+
+def test_shards_draw_the_blocks_that_the_tree_gave_them(docs, rows):
+    """Every draw's shard, rebuilt from the tree: blocks of each source in order, pass after pass, go to shards in runs as long as the tree says."""
+    plan = mixing.plan_mix(mixing.sized_rows(docs)).collect()
+    by = defaultdict(list)
+    for r in plan:
+        by[r["source"]].append(r)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    quotas, passes, orders = [], {}, {}
+    for s in names:
+        size = sum(r["size"] for r in by[s])
+        whole, rest = divmod(int(by[s][0]["target"] + 0.5), size) if size else (0, 0)
+        blocks = sorted({r["block"] for r in by[s]})
+        begins, at = {}, 0
+        for b in blocks:
+            begins[b] = at
+            at += sum(r["size"] for r in by[s] if r["block"] == b)
+        orders[s], passes[s] = blocks, whole
+        quotas.append(whole * len(blocks) + sum(begins[b] < rest for b in blocks))
+    ends = np.cumsum(mixing.split_tree(quotas, mixing.SHARDS), axis=0)
+    seen = 0
+    for k, s in enumerate(names):
+        for r in by[s]:
+            for d in r["draws"]:
+                position = d["pass"] * len(orders[s]) + orders[s].index(r["block"])
+                assert d["shard"] == int((ends[:, k] <= position).sum()) < mixing.SHARDS and d["pass"] <= passes[s]
+                seen += 1
+    assert seen > len(rows)
+
+
 def test_mix(docs, wide, rows, none):
     plan = mixing.plan_mix(mixing.sized_rows(wide)).collect()
     assert len(plan) == len(rows)
@@ -184,6 +221,26 @@ def test_packing(wide, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_shards_share_their_underfull_bins(spark):
+    """Eight small shards: with the leftovers packed together there are fewer sequences than without, near the bound, and every piece has its place."""
+    rng = np.random.default_rng(2)
+    rows = [(k, 0, 0, int(n), k) for k, n in enumerate(rng.integers(200, 2500, 800))]
+    found = spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    bins = {}
+    for leftover, joined in ((0, 64), (8, 64), (8, 3)):
+        out = packing.pack_pieces(found, per_shard=100, leftover=leftover, joined=joined).collect()
+        assert sorted((r["id"], r["length"]) for r in out) == [(r[0], r[3]) for r in rows]
+        fill = defaultdict(list)
+        for r in out:
+            fill[r["sequence_id"]].append((r["offset"], r["length"]))
+        for members in fill.values():
+            members.sort()
+            assert members[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(members)) and sum(members[-1]) <= packing.CAPACITY
+        bins[leftover, joined] = len(fill)
+    least = -(-sum(r[3] for r in rows) // packing.CAPACITY)
+    assert bins[8, 64] <= least + 2 and max(bins[8, 64], bins[8, 3]) <= bins[0, 64]
+
+
 def test_local_search_empties_bins():
     lengths = [6, 5, 5, 4, 4, 3, 3]
     bins = packing.local_search(lengths, [[0], [1], [2], [3], [4], [5, 6]], 10)
@@ -479,6 +536,79 @@ def test_edit_embedding(wide, rows, none):
     assert editsketch.compare_with_next(none).count() == 0
 
 
+def brute_print(text, lanes=editsketch.LANES):
+    """The walk and the sampled lanes written out, one step at a time."""
+    m = 0xFFFFFFFF
+
+    def scattered(x):
+        x = (x ^ x >> 16) * 0x85EBCA6B & m
+        x = (x ^ x >> 13) * 0xC2B2AE35 & m
+        return x ^ x >> 16
+
+    least, kept, at, j = {}, [0] * lanes, 0, 0
+    while at < len(text):
+        step = scattered(2 * j + (editsketch.SEED & 0xFFFF))
+        v = scattered(step ^ scattered((ord(text[at]) * 0x9E3779B1 + editsketch.SEED) & m))
+        turn, o, bands = j // lanes, j % lanes, lanes // 3
+        rank, lane = (scattered(turn * bands + o % bands ^ 0x5BD1E995), turn), o % bands * 3 + o // bands
+        if rank < least.get(lane, (m + 1, 0)):
+            least[lane] = rank
+            kept[lane] = 1 + (v >> 24) % 255
+        at += v & 3 != 0
+        j += 1
+    return kept
+
+
+def test_walk_equals_brute_force(rows):
+    texts = ["", "a", "ab" * 40, "ßé😀 " * 30, "x" * 700, "\u0100" * 200, "\x01" * 200] + [r[1] for r in rows if r[1]][:25]
+    got = editsketch.fingerprints(texts)
+    assert got.tolist() == [brute_print(t) for t in texts]
+    assert got[5].tolist() != got[6].tolist()  # characters that agree in their low bits are told apart
+    a, b = got[:1], editsketch.fingerprints([""])
+    assert editsketch.likeness(a, b).tolist() == [1.0] and editsketch.likeness(got, got).tolist() == [1.0] * len(texts)
+
+
+def test_likeness_follows_the_share_that_is_equal():
+    import random
+
+    from textmaker import prose
+
+    rng = random.Random(2)
+    found = []
+    for _ in range(60):
+        x, y = prose(rng, 300), prose(rng, 300)
+        p = editsketch.fingerprints([x, x[: len(x) // 2] + y[len(x) // 2 :], y])
+        found.append([editsketch.likeness(p[:1], p[k : k + 1])[0] for k in (1, 2)])
+    half, none = np.mean(found, axis=0)
+    assert abs(half - 0.5) < 0.12 and none < 0.1  # all texts sample the same 80 places: a standard error of 0.056
+
+
+def test_recall_of_banding_and_verification(spark):
+    """Of all pairs within a tenth of their length in edits, by brute force, at least nine in ten are in one component, and no others are."""
+    import random
+
+    from textmaker import prose
+
+    rng, rows = random.Random(9), []
+    for g in range(40):
+        base = prose(rng, rng.randint(40, 160))
+        for k in range(4):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(t) // 60))):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 2)] = rng.choices("abcdefgh ", k=rng.randint(0, 2))
+            rows.append((g * 10 + k, "".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and editsketch.edit_distance(x, y, len(max(x, y, key=len)) // 10) is not None}
+    links = {(r["a"], r["b"]) for r in editsketch.linked_pairs(df, editsketch.document_fingerprints(df), most=0.1).collect()}
+    group = {i: i for i, _ in rows}
+    for _ in range(6):
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    assert links <= near and len(near) > 150
+    assert sum(group[a] == group[b] for a, b in near) >= 0.9 * len(near)
+
+
 def test_near_copies_are_banded_and_verified(docs, rows):
     prints = editsketch.document_fingerprints(docs.where("doc_id is not null and doc_id < 500"))
     pairs = editsketch.banded_pairs(prints)
@@ -504,7 +634,7 @@ def test_links_beyond_the_star_of_a_band(spark):
             rows.append((g * 10 + k, base[:cut] + "edited" + base[cut + 6 :]))
     rows.append((-5, shared + prose(rng, 300)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    prints = spark.createDataFrame([(i, "00" * editsketch.LANES) for i, _ in rows], "doc_id long, fingerprint string")  # all share each band
+    prints = spark.createDataFrame([(i, "01" * editsketch.LANES) for i, _ in rows], "doc_id long, fingerprint string")  # all share each band
     near = {(a, b) for a, x in rows for b, y in rows if a < b and editsketch.edit_distance(x, y, int(0.2 * max(len(x), len(y)))) is not None}
     group = {i: i for i, _ in rows}
     for _ in rows:
