@@ -10,7 +10,9 @@ Only one row per source and per (source, block) is ever gathered; prefix sums go
 rows is spread over all its blocks.
 
 Defined cases: null text has size 0; a null source is a source of its own and sorts last; repeated rows are rows like others; sources
-without words have target 0; extra columns are kept by ``mixed_documents`` and ignored elsewhere; an empty table gives an empty result.
+without words have target 0; rows of equal hash and size are like one another, so any order of them gives the same mix; texts are read whole,
+and only the one document of a source that ends its quota is cut; extra columns are kept by ``mixed_documents`` and ignored elsewhere; an
+empty table gives an empty result. The query adds up what the shards drew: words of a block that no shard was given are not taken.
 """
 
 from __future__ import annotations
@@ -78,6 +80,27 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
+#: numpy draws from populations below this.
+LARGEST_POPULATION = 10**9
+
+
+def drawn(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind are among n drawn without replacement. Larger populations than numpy takes are cut into like slabs, of which each gives its share."""
+    total = int(have.sum())
+    slabs = -(-total // (LARGEST_POPULATION // 2))
+    if slabs <= 1:
+        return rng.multivariate_hypergeometric(have, n, method="marginals") if total else have
+    out = np.zeros_like(have)
+    given = done = 0
+    for k in range(slabs):
+        slab = have * (k + 1) // slabs - have * k // slabs
+        done += int(slab.sum())
+        share = n * done // total - given
+        given += share
+        out += drawn(rng, slab, share)
+    return out
+
+
 def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     """How many blocks of each source every shard gets (shards x sources); columns add up to the quotas, rows are as even as can be."""
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -89,7 +112,7 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
         mid = (lo + hi) // 2
         total = int(have.sum())
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(have, total * (mid - lo) // (hi - lo), method="marginals") if total else have
+        left = drawn(rng, have, total * (mid - lo) // (hi - lo))
         split(lo, mid, left)
         split(mid, hi, have - left)
 
@@ -166,7 +189,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(sized_rows(only(table(spark, sf_dir, "documents"), "doc_id", "text", "source")), "mix")
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + F.when(d["shard"] < SHARDS, d["words"]).otherwise(0))
     return plan_mix(sized).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
 
 

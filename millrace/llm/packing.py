@@ -4,10 +4,12 @@ Tokens: each distinct word of a batch is encoded once and the ids are laid out a
 works on each word alone, so this gives the ids of whole texts. Pieces go to shards of a bounded number of pieces by a hash of the row, so
 the work spreads however ids or sources are distributed. Within a shard pieces are placed by best fit, longest first; then the local search
 moves a piece, exchanges one for one, or two for one, between underfull bins wherever that raises the sum of squared fills, until no move
-helps or the number of bins is the least possible. Every bin is tried, and tried again after it has changed.
+helps or the number of bins is the least possible. Every bin is tried, and tried again after it has changed. The LEFTOVER_BINS least filled
+bins of every shard are then taken apart, and their pieces packed anew together with those of JOINED other shards, by the same fit and search,
+round by round until one shard is left; so shards share their underfull bins though none ever holds more than a bounded number of pieces.
 
 Defined cases: a null or empty text is its end token alone; a text longer than a sequence is cut into full pieces and a rest; repeated rows
-are packed once each; extra columns are ignored; an empty table gives an empty result.
+are packed once each; pieces of equal length are placed in order of their rows; texts are read whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 PIECES_PER_SHARD = 8192
+LEFTOVER_BINS, JOINED = 8, 64
 #: Words kept encoded between batches of a worker; beyond that the table starts anew.
 WORDS_KEPT = 300_000
 RECENT_WORDS = 30_000
@@ -400,29 +403,46 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(lengths, best_fit(lengths, capacity), capacity)
 
 
-def pack_shard(capacity: int):
+def pack_shard(capacity: int, number: int, leftover: int):
+    """For applyInArrow over a shard's pieces: them with sequence_id and offset, and ``left``: true in the ``leftover`` least filled bins that have room."""
+
     def run(table: pa.Table) -> pa.Table:
+        tk.release_sometimes()
         table = table.take(np.lexsort((table.column("rid").to_numpy(), -table.column("length").to_numpy())))
         lengths = table.column("length").to_pylist()
-        bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for k, members in enumerate(pack(lengths, capacity)):
+        bin_of, offset, left = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+        bins = pack(lengths, capacity)
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        again = {k for k in sorted(range(len(bins)), key=lambda k: fill[k])[:leftover] if fill[k] < capacity}
+        for k, members in enumerate(bins):
             at = 0
             for i in members:
-                bin_of[i], offset[i] = k, at
+                bin_of[i], offset[i], left[i] = k, at, k in again
                 at += lengths[i]
-        sequence = table.column("shard").to_numpy().astype(np.int64) * (1 << 32) + bin_of
-        return table.drop_columns(["rid", "shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        sequence = (table.column("shard").to_numpy().astype(np.int64) << 24) + bin_of + (number << 59)
+        made = {"sequence_id": pa.array(sequence), "offset": pa.array(offset), "left": pa.array(left)}
+        return pa.table({**{c: table.column(c) for c in table.column_names if c not in made}, **made})
 
     return run
 
 
-def pack_pieces(found: DataFrame, capacity: int = CAPACITY, per_shard: int = PIECES_PER_SHARD) -> DataFrame:
+def pack_pieces(found: DataFrame, capacity: int = CAPACITY, per_shard: int = PIECES_PER_SHARD, leftover: int = LEFTOVER_BINS, joined: int = JOINED) -> DataFrame:
     """``found`` (columns of ``pieces``) plus sequence_id and offset."""
     kept = materialize(found.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     shards = max(1, round(kept.count() / per_shard))
     kind = kept.schema["id"].dataType.simpleString()
-    dealt = kept.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(pack_shard(capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = f"id {kind}, piece int, start long, length long, ids_crc32 long"
+    left, done, number = kept.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")), None, 0
+    while True:
+        last = shards == 1
+        packed = left.groupBy("shard").applyInArrow(pack_shard(capacity, number, 0 if last else leftover), f"{columns}, rid long, shard int, sequence_id long, offset long, left boolean")
+        packed = packed if last else materialize(packed, "packed")
+        own = (packed if last else packed.where(~F.col("left"))).drop("rid", "shard", "left")
+        done = own if done is None else done.unionByName(own)
+        if last:
+            return done
+        shards, number = -(-shards // joined), number + 1
+        left = packed.where("left").select(*kept.columns, F.floor(F.col("shard") / joined).cast("int").alias("shard"))
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
