@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, only, quantile_ranges, range_of, table
-from millrace.llm.jaccardjoin import components
+from millrace.llm.jaccardjoin import components, few_of_each
 
 QUERY = "op8_edit_embedding"
 
@@ -311,8 +311,14 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, most: float = 0.2) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long, edits long")
 
 
-def band_forest(key: tuple, rows: pa.Table, refused: pa.Table) -> pa.Table:
-    """A spanning forest of a band's pairs whose components differ and that have LEAST_EQUAL of their lanes in common, without refused ones: (band, a, b) from (band, doc_id, component, fingerprint)."""
+def band_forest(per: int):
+    """For applyInArrow: ``forest_of`` with ``per`` edges."""
+    return lambda key, rows, refused: forest_of(rows, refused, per)
+
+
+def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
+    """A spanning forest of a band's pairs whose components differ and that have LEAST_EQUAL of their lanes in common, without refused ones: (band, a, b) from (band, doc_id, component, fingerprint).
+    Where two trees meet, ``per`` edges of a node are proposed instead of one."""
     schema = pa.schema([("band", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
     if rows.num_rows < 2:
         return schema.empty_table()
@@ -334,10 +340,10 @@ def band_forest(key: tuple, rows: pa.Table, refused: pa.Table) -> pa.Table:
             other = other[((both == prints[i]) & (both != 0)).sum(axis=1) >= LEAST_EQUAL * used]
             other = np.setdiff1d(other, barred.get(i, []))
         if len(other):
-            trees, first = np.unique(label[other], return_index=True)
-            a += [int(node[i])] * len(first)
-            b += node[other[first]].tolist()
-            label[np.isin(label, trees)] = label[i]
+            chosen = few_of_each(label[other], per)
+            a += [int(node[i])] * len(chosen)
+            b += node[other[chosen]].tolist()
+            label[np.isin(label, label[other])] = label[i]
     band = rows.column("band")[0].as_py()
     return pa.table([pa.array([band] * len(a), pa.string()), pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], schema=schema)
 
@@ -352,18 +358,20 @@ def linked_pairs(docs: DataFrame, prints: DataFrame, bands: int = BANDS, most: f
     links = materialize(verified_pairs(docs, banded_pairs(prints, bands), most), "sketch-links")
     each = materialize(band_rows(prints, bands), "sketch-bands")
     refused = docs.sparkSession.createDataFrame([], "band string, a long, b long")
-    while True:  # a round merges components or refuses pairs, of which there are finitely many
+    per = 1
+    while True:  # a round merges components or refuses pairs, of which there are finitely many; refusals make the next one ask for twice as many
         labels = components(links.select("a", "b"))
         named = each.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "salt", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         part = named.groupBy("band", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         mixed = part.groupBy("band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi")).select("band")
         left = named.join(part.select("band", "salt").join(mixed, "band"), ["band", "salt"]).join(prints, "doc_id").select("band", "doc_id", "component", "fingerprint")
-        asked = materialize(left.groupBy("band").cogroup(refused.groupBy("band")).applyInArrow(band_forest, "band string, a long, b long"), "sketch-asked")
+        asked = materialize(left.groupBy("band").cogroup(refused.groupBy("band")).applyInArrow(band_forest(per), "band string, a long, b long"), "sketch-asked")
         if asked.limit(1).count() == 0:
             return links.distinct()
         more = materialize(verified_pairs(docs, asked.select("a", "b").distinct(), most), "sketch-links")
         refused = materialize(refused.unionByName(asked.join(more.select("a", "b"), ["a", "b"], "left_anti")), "sketch-refused")
         links = links.unionByName(more)
+        per *= 2
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -369,8 +369,22 @@ def verify(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
 
-def cross_pairs(key: tuple, rows: pa.Table, refused: pa.Table) -> pa.Table:
-    """A spanning forest of a bucket's pairs whose components differ and whose sketches pass, without refused ones: (sig, a, b) from rows of (sig, node, component, n, odd)."""
+def few_of_each(labels: np.ndarray, per: int) -> np.ndarray:
+    """The places of the first ``per`` of each label."""
+    order = np.argsort(labels, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], labels[order][1:] != labels[order][:-1]]))
+    rank = np.arange(len(labels)) - np.repeat(first, np.diff(np.append(first, len(labels))))
+    return order[rank < per]
+
+
+def cross_pairs(per: int):
+    """For applyInArrow: ``forest_of`` with ``per`` edges."""
+    return lambda key, rows, refused: forest_of(rows, refused, per)
+
+
+def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
+    """A spanning forest of a bucket's pairs whose components differ and whose sketches pass, without refused ones: (sig, a, b) from rows of
+    (sig, node, component, n, odd). Where two trees meet, ``per`` edges of a node are proposed instead of one."""
     schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     if rows.num_rows < 2:
         return schema.empty_table()
@@ -408,10 +422,10 @@ def cross_pairs(key: tuple, rows: pa.Table, refused: pa.Table) -> pa.Table:
             good[barred.get(i + p, [])] = False
             q = np.flatnonzero(good & (label != label[i + p]))
             if len(q):  # one edge to each tree that it touches, and all are one tree then
-                trees, first = np.unique(label[q], return_index=True)
-                a += [int(node[i + p])] * len(first)
-                b += node[q[first]].tolist()
-                label[np.isin(label, trees)] = label[i + p]
+                chosen = few_of_each(label[q], per)
+                a += [int(node[i + p])] * len(chosen)
+                b += node[q[chosen]].tolist()
+                label[np.isin(label, label[q])] = label[i + p]
     sig = rows.column("sig")[0].as_py()
     return pa.table([pa.array([sig] * len(a), pa.int64()), pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], schema=schema)
 
@@ -502,8 +516,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     twins = keys.where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = found.union(materialize(copies.union(twins).distinct(), "join-copies"))
     named_by = components(found)
-    refused = None
-    while True:  # a round merges components or refuses pairs, of which there are finitely many
+    refused, per = None, 1
+    while True:  # a round merges components or refuses pairs, of which there are finitely many; refusals make the next one ask for twice as many
         left = big.join(named_by, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         # Whether a bucket is still of several components is summed and sent back by (sig, salt), so a bucket of very many sets stays spread.
         left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int"))
@@ -512,7 +526,7 @@ def join_components(docs: DataFrame) -> DataFrame:
         open_rows = left.join(part.select("sig", "salt").join(mixed, "sig"), ["sig", "salt"]).select("sig", "node", "component").distinct()
         open_rows = open_rows.join(odd, F.col("node") == F.col("id")).select("sig", "node", "component", "n", "odd")
         known = refused if refused is not None else docs.sparkSession.createDataFrame([], "sig long, a long, b long")
-        asked = materialize(open_rows.groupBy("sig").cogroup(known.groupBy("sig")).applyInArrow(cross_pairs, "sig long, a long, b long"), "join-asked")
+        asked = materialize(open_rows.groupBy("sig").cogroup(known.groupBy("sig")).applyInArrow(cross_pairs(per), "sig long, a long, b long"), "join-asked")
         if asked.limit(1).count() == 0:
             break
         more = materialize(exact_links(named, asked.select("a", "b").distinct()), "join-links")
@@ -520,6 +534,7 @@ def join_components(docs: DataFrame) -> DataFrame:
         refused = materialize(no if refused is None else refused.unionByName(no), "join-refused")
         found = found.union(more)
         named_by = components(found)
+        per *= 2
     out = keys.join(named_by.withColumnRenamed("id", "_id"), F.col("node") == F.col("_id"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

@@ -388,9 +388,9 @@ def test_a_bucket_spans_rounds():
     odd = [jaccardjoin.odd_sketch(np.arange(k % 2, 200, dtype=np.uint64)) for k in range(40)]
     rows = pa.table({"sig": [5] * 40, "node": list(range(40)), "component": list(range(40)), "n": [200 - k % 2 for k in range(40)], "odd": odd})
     none = pa.table({"sig": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    first = jaccardjoin.cross_pairs((5,), rows, none)
+    first = jaccardjoin.forest_of(rows, none)
     assert first.num_rows == 39
-    second = jaccardjoin.cross_pairs((5,), rows, first)  # the hub of the first round has no pairs left, the others are one tree
+    second = jaccardjoin.forest_of(rows, first)  # the hub of the first round has no pairs left, the others are one tree
     assert second.num_rows == 38 and not {tuple(r.values()) for r in first.to_pylist()} & {tuple(r.values()) for r in second.to_pylist()}
 
 
