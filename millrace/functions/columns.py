@@ -73,17 +73,23 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"^\s+|\s+$", "")
 
 
+def canonical_json(text: Column | str) -> Column:
+    """A JSON object with its keys sorted at every level, as one text for all of its spellings; other texts as they are. A variant holds an object's fields by name."""
+    c = col(text)
+    v = F.when(F.ltrim(c).startswith("{"), F.try_parse_json(c))
+    return F.coalesce(F.to_json(v), c)
+
+
 def content_hash(content: Column | str, kind: Column | str | None = None) -> Column:
-    """SHA-256 of a text; objects are hashed in a canonical form with sorted keys, so key order doesn't matter."""
+    """SHA-256 of a text; of values of kind ``object`` in their canonical form, so that key order doesn't matter."""
     c = col(content)
-    if kind is None:
-        return F.sha2(c, 256)
-    canonical = F.to_json(F.try_parse_json(c))
-    return F.sha2(F.when(col(kind) == "object", F.coalesce(canonical, c)).otherwise(c), 256)
+    return F.sha2(c if kind is None else F.when(col(kind) == "object", canonical_json(c)).otherwise(c), 256)
 
 
 def dedup_value(content: Column | str, metadata: Column | str, field: str) -> Column:
-    """metadata[field], or the content where that key is missing."""
+    """metadata[field], or the content where that key is missing. The field ``content`` is the whole content, whatever the metadata hold."""
+    if field == "content":
+        return col(content)
     return F.when(F.map_contains_key(col(metadata), F.lit(field)), F.coalesce(col(metadata)[field], F.lit(""))).otherwise(col(content))
 
 

@@ -10,6 +10,7 @@ import hashlib
 import json
 import math
 import re
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -50,7 +51,7 @@ class OfflineChat:
             levels = [3 + int(seed[k % 64], 16) % 3 for k in range(int(wanted[1]))]
             samples = [{"sample_index": k, "justification": "offline", "quality_level": x} for k, x in enumerate(levels)]
             return json.dumps({"reasoning": "offline", "aggregate_quality_level": sum(levels) / max(1, len(levels)), "samples": samples})
-        if wanted := re.search(r"Generate (\d+) distinct samples", prompt):
+        if wanted := re.search(r"Write (\d+) samples for it", prompt):
             return json.dumps({"samples": [{"content": f"sample {seed[:8]}-{k}"} for k in range(int(wanted[1]))]})
         return f"offline answer {seed[:12]}"
 
@@ -87,6 +88,22 @@ class OfflineEmbedding:
         return out.tolist()
 
 
+#: Texts and characters that one request to a hosted model holds at most; a longer text is a request of its own.
+MOST_TEXTS, MOST_CHARACTERS = 96, 100_000
+
+
+def in_requests(texts: list[str], ask: Callable[[list[str]], list]) -> list:
+    """The answers for all texts, in order, by as many requests as the bounds make necessary."""
+    out, part, size = [], [], 0
+    for t in texts:
+        if part and (len(part) == MOST_TEXTS or size + len(t) > MOST_CHARACTERS):
+            out += ask(part)
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    return out + (ask(part) if part else [])
+
+
 class HostedEmbedding:
     def __init__(self, model: str):
         import openai
@@ -94,7 +111,7 @@ class HostedEmbedding:
         self.client, self.model = openai.OpenAI(), model
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return [d.embedding for d in self.client.embeddings.create(model=self.model, input=texts).data]
+        return in_requests(texts, lambda part: [d.embedding for d in self.client.embeddings.create(model=self.model, input=part).data])
 
 
 class CohereEmbedding:
@@ -104,7 +121,7 @@ class CohereEmbedding:
         self.client, self.model = cohere.Client(), model
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        return self.client.embed(texts=texts, model=self.model, input_type="search_document").embeddings
+        return in_requests(texts, lambda part: self.client.embed(texts=part, model=self.model, input_type="search_document").embeddings)
 
 
 def embedding_provider(name: str) -> EmbeddingProvider:

@@ -8,21 +8,34 @@ from pyspark.sql import functions as F
 from millrace.functions.columns import content_hash
 
 
-def flag_repeats(samples: DataFrame, value: Column, order: str | list[str], *batch: str, seen: DataFrame | None = None) -> DataFrame:
+SALTS = 32
+
+
+def flag_repeats(samples: DataFrame, value: Column, order: str | list[str], *batch: str, seen: DataFrame | None = None, kind: Column | str | None = None) -> DataFrame:
     """Adds content_hash, duplicate, dedup_score (1.0 or 0.0) and dedup_passed.
 
-    A sample repeats if any earlier one of its batch has the hash, even one that other validators reject, or if ``seen`` has it. Seen hashes
-    come in by a join that Catalyst sizes itself; nothing here broadcasts a side that grows.
+    A sample repeats if any earlier one of its batch has the hash, even one that other validators reject, or if ``seen`` has it; ``order`` tells
+    samples apart. The first of each hash is a minimum, summed before it is shuffled, of which only hashes that repeat go back to the rows, by
+    a salted key: a content that a third of all samples share is in no one task. Seen hashes come in by a join that Catalyst sizes itself;
+    nothing here broadcasts a side that grows.
     """
-    w = Window.partitionBy(*batch, "content_hash").orderBy(*([order] if isinstance(order, str) else order))
-    out = samples.withColumn("content_hash", content_hash(value)).withColumn("_rank", F.row_number().over(w))
-    repeats = F.col("_rank") > 1
+    place = F.struct(*([order] if isinstance(order, str) else order))
+    out = samples.withColumn("content_hash", content_hash(value, kind))
+    keys = ["content_hash", *batch]
+    first = out.select(*keys, place.alias("_place")).groupBy(*keys).agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    first = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    out = out.withColumn("_salt", F.pmod(F.xxhash64(place), F.lit(SALTS)).cast("int"))
+    on = F.col("_salt") == F.col("_s")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = out.join(first, on, "left").withColumn("_later", place > F.col("_first")).drop("_salt", "_s", "_first", *[f"_k{i}" for i in range(len(keys))])
+    repeats = F.coalesce("_later", F.lit(False))
     if seen is not None:
         known = seen.select("content_hash").distinct().withColumn("_seen", F.lit(True))
         out = out.join(known, "content_hash", "left")
         repeats = repeats | F.coalesce("_seen", F.lit(False))
     out = out.withColumn("duplicate", repeats).withColumn("dedup_score", F.when(F.col("duplicate"), 0.0).otherwise(1.0)).withColumn("dedup_passed", ~F.col("duplicate"))
-    return out.drop("_rank", "_seen")
+    return out.drop("_later", "_seen")
 
 
 def first_of_each(samples: DataFrame, value: Column, order: str) -> DataFrame:

@@ -69,10 +69,12 @@ class Orchestrator:
             self.committed += [r["content_hash"] for r in commit(assessed.where("accepted")).collect()]  # one batch: a few hashes
 
     def reference_from(self, lines: DataFrame, field: str) -> None:
-        """Seen hashes from a reference of JSON lines: the top-level ``field`` of each; lines that don't parse are skipped."""
-        v = F.try_parse_json("value")
-        found = lines.select(F.try_variant_get(v, f'$["{field}"]', "string").alias("content")).where(F.col("content").isNotNull())
-        hashed = found.select(content_hash("content").alias("content_hash")).distinct()
+        """Seen hashes from a reference of JSON lines: the top-level ``field`` of each, a text or an object; lines that don't parse and empty fields are skipped."""
+        held = F.try_variant_get(F.try_parse_json("value"), f'$["{field}"]', "variant")
+        is_object = F.schema_of_variant(held).startswith("OBJECT<")
+        found = lines.select(F.when(is_object, F.to_json(held)).otherwise(F.try_variant_get(held, "$", "string")).alias("content"), F.when(is_object, "object").otherwise("text").alias("kind"))
+        found = found.where(F.col("content").isNotNull() & ~F.col("content").isin("", "{}"))
+        hashed = found.select(content_hash("content", "kind").alias("content_hash")).distinct()
         self.reference = hashed if self.reference is None else self.reference.select("content_hash").unionByName(hashed)
 
 

@@ -58,7 +58,8 @@ class Validator:
 
 
 class Deduplication(Validator):
-    """By the content, or by ``check_field`` of the metadata where a sample has it. The threshold is kept and not used."""
+    """By the whole content, or by a ``check_field`` other than ``content`` of the metadata where a sample has it; objects whatever the order of
+    their keys. The threshold is kept and not used."""
 
     def __init__(self, name: str, config: dict, seen: DataFrame | None = None):
         super().__init__(name, config)
@@ -66,7 +67,7 @@ class Deduplication(Validator):
 
     def score(self, samples: DataFrame, recipe: Recipe) -> DataFrame:
         value = dedup_value("content", "metadata", self.config.get("check_field", "content"))
-        out = flag_repeats(samples, value, "pos", seen=self.seen)
+        out = flag_repeats(samples, value, "pos", seen=self.seen, kind="content_kind" if "content_kind" in samples.columns else None)
         return out.drop("duplicate").withColumnsRenamed({"dedup_score": "deduplication_score", "dedup_passed": "deduplication_passed"})
 
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import columns as C
 from millrace.functions import jsonschema
-from millrace.operators import bandit, dedup, diversity, metrics
+from millrace.operators import bandit, dedup, diversity, metrics, validators
+from millrace.operators.orchestrate import Orchestrator
 from millrace.plans import grammar as G
 from millrace.sources.tables import metadata_record, ordered_index
+from millrace.spec import Recipe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,21 +82,22 @@ def benchmark_overlap(spark, sf):
     width = 3
     d, b = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
     words = lambda c: F.split(c, " ")
-    head = lambda ws: F.xxhash64(F.array_join(F.slice(ws, 2, width), " "))
-    # The first word of an item may begin inside a document's word, so the key is taken from its second word on.
-    keyed = b.select("item_id", "item", F.size(words("item")).alias("n"), head(words("item")).alias("key"))
-    long = keyed.where(F.col("n") > width + 1)
+    head = lambda ws, n: F.xxhash64(F.array_join(F.slice(ws, 2, n), " "))
+    # The first word of an item may begin inside a document's word, so the key is taken from its second word on: three words of it, or one.
+    n = F.size(words("item"))
+    run = F.when(n > width + 1, F.lit(width)).when(n > 2, F.lit(1))
+    keyed = b.select("item_id", run.alias("run"), head(words("item"), run).alias("key")).where(F.col("run").isNotNull())
     w = F.col("w")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " ")))
-    at = d.withColumn("w", words("text")).where(F.size("w") >= width).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("key"))
-    hits = at.join(long, "key").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    # Shorter items meet on their second word, and those of one or two words, which have no whole word for sure, on every document.
-    short = keyed.where((F.col("n") > 2) & (F.col("n") <= width + 1)).withColumn("key", F.xxhash64(F.element_at(words("item"), 2)))
-    each = d.select("doc_id", "text", F.explode(F.array_distinct(words("text"))).alias("word")).select("doc_id", "text", F.xxhash64("word").alias("key"))
-    more = each.join(short, "key").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    few = d.join(keyed.where("n <= 2"), F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    more = more.unionByName(few)
-    found = hits.unionByName(more).distinct().groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    runs = F.when(F.size("w") >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.struct(F.lit(width).alias("run"), F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " ")).alias("key"))))
+    singles = F.transform(w, lambda x: F.struct(F.lit(1).alias("run"), F.xxhash64(x).alias("key")))
+    found = F.array_distinct(F.concat(F.coalesce(runs, F.array().cast("array<struct<run:int,key:bigint>>")), singles))
+    # Only ids and keys meet; the texts of what met are fetched afterwards.
+    at = d.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(found).alias("k")).select("doc_id", "k.run", "k.key")
+    met = at.join(keyed, ["run", "key"]).select("item_id", "doc_id").distinct()
+    hits = met.join(d, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    # Items of one or two words have no whole word for sure: each is a query against all documents.
+    few = d.join(b.where(n <= 2), F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    found = hits.unionByName(few).distinct().groupBy("item_id").agg(F.count("*").alias("n_docs"))
     return b.join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
@@ -109,6 +112,19 @@ def dedup_commit(spark, sf):
     return dedup.commit(flagged.where(F.col("dedup_passed") & F.coalesce(F.col("toxic") == 0, F.lit(False))))
 
 
+@query(
+    "SELECT event_id, row_number() OVER (PARTITION BY json_extract_string(props, '$.k'), event_type, user_id % 20 ORDER BY event_id) = 1 AS passed FROM events"
+)
+def dedup_objects(spark, sf):
+    """The deduplication validator on objects whose keys come in two orders; a ``content`` field in the metadata says nothing."""
+    k = F.get_json_object("props", "$.k")
+    e = read(spark, sf, "events").withColumn("m", F.to_json(F.struct(F.col("event_type").alias("type"), (F.col("user_id") % 20).alias("user"))))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"k": '), k, F.lit(', "more": '), "m", F.lit("}"))).otherwise(F.concat(F.lit('{"more": '), "m", F.lit(',"k":'), k, F.lit("}")))
+    samples = e.select(F.col("event_id").alias("pos"), text.alias("content"), F.lit("object").alias("content_kind"), F.create_map(F.lit("content"), F.lit("same")).alias("metadata"))
+    scored = validators.Deduplication("deduplication", {}).score(samples, None)
+    return scored.select(F.col("pos").alias("event_id"), F.col("deduplication_passed").alias("passed"))
+
+
 # JSON Schema
 
 PROPS_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 50}}}
@@ -133,6 +149,23 @@ def json_required_fields(spark, sf):
     return read(spark, sf, "events").select("event_id", error.alias("e")).select("event_id", F.col("e.path").alias("error_path"), F.col("e.keyword").alias("keyword"))
 
 
+@query(
+    "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events) SELECT event_id, "
+    "(k % 2 = 0 OR k > 90) AND NOT (k % 3 = 0) AND (event_type <> 'click' OR k >= 10) AS passed FROM e"
+)
+def json_schema_composed(spark, sf):
+    """Composed schemas: anyOf, not, if/then, references and patternProperties."""
+    schema = {
+        "$defs": {"even": {"multipleOf": 2}},
+        "patternProperties": {"^k$": {"anyOf": [{"$ref": "#/$defs/even"}, {"exclusiveMinimum": 90}], "not": {"multipleOf": 3}}},
+        "if": {"properties": {"type": {"const": "click"}}},
+        "then": {"properties": {"k": {"minimum": 10}}},
+    }
+    content = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "type": "'), "event_type", F.lit('"}'))
+    ok, _ = jsonschema.validate(content, schema)
+    return read(spark, sf, "events").select("event_id", ok.alias("passed"))
+
+
 # Similarity, diversity, entailment
 
 
@@ -219,6 +252,32 @@ def two_phase_filter(spark, sf):
     return s.join(b, "source", "left").select("doc_id", "sample_ok", (F.col("sample_ok") & F.coalesce("batch_ok", F.lit(True))).alias("accepted"))
 
 
+@query(
+    "WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, user_id % 20 AS u FROM events), "
+    "f AS (SELECT event_id, k, row_number() OVER (PARTITION BY k, event_type, u ORDER BY event_id) = 1 AS is_new FROM e) "
+    "SELECT event_id, is_new AND k >= 50 AS accepted, CASE WHEN is_new THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS deduplication, CASE WHEN k >= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS json_schema FROM f"
+)
+def orchestrated_batch(spark, sf):
+    """The orchestrator with two sample validators on one batch of objects: verdicts and scores."""
+    content = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type", (F.col("user_id") % 20).alias("u")))
+    samples = read(spark, sf, "events").select(F.col("event_id").alias("pos"), content.alias("content"), F.lit("object").alias("content_kind"), F.create_map().cast("map<string,string>").alias("metadata"))
+    recipe = Recipe("events", "Collect events.", 1, {"schema": PROPS_SCHEMA})
+    out, _ = Orchestrator(spark, {"deduplication": {"enabled": True}, "json_schema": {"enabled": True}}).assess(samples, recipe)
+    return out.select(F.col("pos").alias("event_id"), "accepted", *[F.col("quality_scores")[n].alias(n) for n in ("deduplication", "json_schema")])
+
+
+@query(
+    "SELECT doc_id, round(CASE doc_id % 4 WHEN 0 THEN 0.6 WHEN 1 THEN 0.6 ELSE (quality * 4 + 1 + toxic * 3) / 5.0 END::DOUBLE, 6) AS aggregate FROM labels"
+)
+def judge_answers(spark, sf):
+    """Batch levels read from a judge's answers: unreadable, without a level, in a code fence, and in chatter; not clamped."""
+    level = (F.col("quality") * 4 + 1 + F.col("toxic") * 3).cast("string")
+    made = F.concat(F.lit('{"reasoning": "so", "aggregate_quality_level": '), level, F.lit(', "samples": []}'))
+    k = F.col("doc_id") % 4
+    answer = F.when(k == 0, "nothing").when(k == 1, '{"samples": []}').when(k == 2, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).otherwise(F.concat(F.lit("Sure: "), made, F.lit(" ok?")))
+    return read(spark, sf, "labels").select("doc_id", r6(C.judge_aggregate(F.to_json(C.coerce_json(answer)))).alias("aggregate"))
+
+
 # Metrics and rewards
 
 _METRICS = (
@@ -364,6 +423,17 @@ def parse_llm_output(spark, sf):
     return read(spark, sf, "conversations").where(F.size(items) > 0).select("conv_id", "turn", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, "\n"), 256).alias("items_sha256"))
 
 
+@query(
+    "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 3 END AS n_items, CASE turn % 3 WHEN 0 THEN '\"' || role || '\"' WHEN 1 THEN '{\"turn\":' || turn || '}' ELSE '1' END AS first_item FROM conversations"
+)
+def parsed_answers(spark, sf):
+    """Answers that are JSON: a list, one object in a fence, and the list under ``samples``."""
+    turn, k = F.col("turn").cast("string"), F.col("turn") % 3
+    answer = F.when(k == 0, F.concat(F.lit('["'), "role", F.lit('", 2]'))).when(k == 1, F.concat(F.lit('```json\n{"turn": '), turn, F.lit("}\n```"))).otherwise('{"samples": [1, {"a": 2}, "x"]}')
+    c = read(spark, sf, "conversations").select("conv_id", "turn", C.parsed_answer(answer).alias("items"))
+    return c.select("conv_id", "turn", F.size("items").alias("n_items"), F.get("items", F.lit(0)).alias("first_item"))
+
+
 @query("SELECT event_id, CAST(CASE WHEN event_type IN ('min_length', 'grammar_path') THEN 0 ELSE 1 END + 1 AS BIGINT) AS n_kept FROM events")
 def constraint_filter(spark, sf):
     """Constraints without the keys that only configure checks."""
@@ -402,10 +472,10 @@ def schema_merge_required(spark, sf):
     return spark.createDataFrame([(f,) for f in schema["required"]], "field string")
 
 
-# Without SQL
-
-
-@query()
+@query(
+    "SELECT doc_id, '{' || coalesce('\"original_input\":\"' || source || '\",', '') || coalesce('\"expected_output\":\"' || lang || '\",', '') || '\"lineage\":{\"generator\":\"naive\",\"generator_parameters\":\"{}\",\"num_of_evolutions\":1},"
+    "\"quality_scores\":{' || coalesce('\"llm_judge\":' || quality || '.0', '') || '},\"timestamp\":\"2000-01-01T00:00:00\"}' AS record FROM documents LEFT JOIN labels USING (doc_id)"
+)
 def export_rows(spark, sf):
     """Documents as exported records: JSON text with lineage and scores."""
     d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id", "left")
@@ -421,6 +491,17 @@ def export_rows(spark, sf):
     return metadata_record(s).select("doc_id", F.to_json("record").alias("record"))
 
 
+@query("SELECT unnest(['text', 'label', 'rating']) AS field, unnest([true, true, true]) AS required, unnest(['string', 'string', 'integer']) AS type, unnest([0, 2, 3]) AS n_values")
+def derived_schema(spark, sf):
+    """The schema that a grammar's templates imply: fields, types and the values that rules of plain texts can take."""
+    schema = G.derive_schema(G.Grammar(SAMPLE_GRAMMAR))
+    rows = [(k, k in schema["required"], v["type"], len(v.get("enum", []))) for k, v in schema["properties"].items()]
+    return spark.createDataFrame(rows, "field string, required boolean, type string, n_values int")
+
+
+# Without SQL
+
+
 SAMPLE_GRAMMAR = {
     "start": "review",
     "rules": {
@@ -443,7 +524,6 @@ def grammar_sample(spark, sf):
 def bandit_loop(spark, sf):
     """The adaptive loop on the offline provider: its log of rewards."""
     from millrace.loop import Pipeline
-    from millrace.spec import Recipe
 
     recipe = Recipe("text_generation", "Describe a plant.", 12, {}, {"deduplication": {"enabled": True}, "llm_judge": {"enabled": True, "threshold": 0.4}})
     return Pipeline(spark, recipe.validators, bandit.Router(5, seed=3)).run(recipe, max_iterations=6).rewards()

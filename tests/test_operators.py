@@ -22,6 +22,25 @@ def test_dedup_has_two_scopes(spark):
     assert [r["dedup_score"] for r in got.collect()] == [0.0, 0.0, 1.0, 0.0]
 
 
+def test_objects_repeat_whatever_the_order_of_their_keys(spark):
+    """The whole content counts for the default field, not a field of that name in the metadata."""
+    rows = [
+        (0, '{"a": 1, "b": {"x": 1, "y": [2]}}', "object", {}), (1, '{"b": {"y": [2], "x": 1}, "a": 1}', "object", {}), (2, '{"a": 1, "b": 3}', "object", {}),
+        (3, '{"content": "x", "label": 1}', "object", {"content": "x"}), (4, '{"content": "x", "label": 2}', "object", {"content": "x"}), (5, '{"b": 3, "a": 1}', "text", {}),
+    ]
+    df = spark.createDataFrame(rows, "pos int, content string, content_kind string, metadata map<string,string>")
+    got = Deduplication("deduplication", {}).score(df, None).orderBy("pos").collect()
+    assert [r["deduplication_passed"] for r in got] == [True, False, True, True, True, True]
+    by_field = Deduplication("deduplication", {"check_field": "content_id"}).score(df.withColumn("metadata", F.create_map(F.lit("content_id"), F.lit('{"q": 1}'))), None)
+    assert by_field.where("deduplication_passed").count() == 2  # of kind object, and of kind text
+
+
+def test_a_content_of_most_samples_is_spread(spark):
+    df = spark.range(2000).select(F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("content"))
+    got = dedup.flag_repeats(df, F.col("content"), "pos")
+    assert got.where("duplicate").count() == 666 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_is_idempotent(spark):
     once = dedup.first_of_each(samples(spark, list("abacab")), F.col("content"), "pos")
     assert once.count() == 3
@@ -216,8 +235,12 @@ def test_naive_generator(spark):
         generators.NaiveGenerator(spark, context(), plan, chat=lambda **k: Says("{}", "[1, 2, 3]")).generate()
     a = generators.NaiveGenerator(spark, context(), plan)
     b = generators.NaiveGenerator(spark, context().at(1, 1, 2), plan)
-    assert a.signature() == b.signature()
-    assert a.capabilities()["name"] == "naive"
+    assert a.same_ask() == b.same_ask() != generators.NaiveGenerator(spark, context(), Plan(4, "naive_balanced", {}, 0)).same_ask()
+    assert a.about()["generator"] == "naive"
+    asked = generators.Ask.planned_by({"prompt": "p", "schema": {}})
+    assert (asked.role, asked.request) == (generators.ROLE, "p") and generators.Ask.planned_by({"user_prompt": "u", "system_prompt": "s"}).role == "s"
+    composed = generators.NaiveGenerator(spark, context(), plan, chat=lambda **k: Says("no JSON", '["a", "b", "c"]'))
+    assert not composed.ask.planned and "3 samples" in composed.ask.request and composed.ask.shape["properties"]["samples"]["minItems"] == 3
     with pytest.raises(ValueError):
         generators.generator_for("rag_llm")
     with pytest.raises(ValueError):

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.cli import main
-from millrace.evaluation import default_config
 from millrace.loop import Pipeline
 from millrace.operators.bandit import Router
 from millrace.sources import tables
 from millrace.sources.recipes import load_grammar, load_recipe
+from millrace.sources.training import write_training_files
 from millrace.spec import Recipe
 from millrace.streaming.dedup import commit_batches, first_seen, reward_windows
 
@@ -125,8 +125,13 @@ def test_stream_plans(spark, tmp_path):
         assert spark.table(name).count() == 1
 
 
-def test_evaluation_config(tmp_path):
-    assert default_config(tmp_path / "x").to_dict() == {"recipe": "chat_sl", "task": "sentiment_classification", "train_file": str(tmp_path / "x"), "eval_file": None, "input_field": "text", "label_field": "label"}
+def test_training_files(spark, tmp_path):
+    rows = [(f"s{k}", json.dumps({"text": f"t{k}", "label": "ab"[k % 2]}), "object", {}) for k in range(60)] + [("p", "plain", "text", {"label": "a"}), ("q", "none", "text", {}), ("r", '{"label": "a"}', "object", {})]
+    about = write_training_files(spark.createDataFrame(rows, "sample_id string, content string, content_kind string, metadata map<string,string>"), str(tmp_path / "out"), evaluated=2500)
+    held = {name: [tuple(r) for r in spark.read.schema("text string, label string").json(about[name]["path"]).collect()] for name in about}
+    assert sorted(held["train"] + held["evaluate"]) == sorted([(f"t{k}", "ab"[k % 2]) for k in range(60)] + [("plain", "a")])
+    assert all(about[n]["rows"] == len(held[n]) > 0 and sum(about[n]["labels"].values()) == len(held[n]) for n in about)
+    assert json.loads(spark.read.text(f"{tmp_path}/out/about").first()[0]) == about
 
 
 def test_ordered_index(spark):

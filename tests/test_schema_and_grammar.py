@@ -35,9 +35,37 @@ def test_no_schema_passes_everything(spark):
     assert verdicts(spark, None, ["hello", "{}"]) == [(True, None), (True, None)]
 
 
-def test_unknown_keyword_in_a_property(spark):
-    with pytest.raises(J.UnsupportedKeyword):
-        J.validate(F.lit("{}"), {"properties": {"a": {"oneOf": []}}})
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ['"x"', "7"], ["3"]),
+        ({"oneOf": [{"multipleOf": 2}, {"multipleOf": 3}]}, ["4", "9"], ["6", "5"]),
+        ({"allOf": [{"required": ["a"]}, {"required": ["b"]}]}, ['{"a": 1, "b": 2}'], ['{"a": 1}']),
+        ({"not": {"type": "null"}}, ["1"], ["null"]),
+        ({"$defs": {"n": {"type": "integer"}}, "properties": {"a": {"$ref": "#/$defs/n"}}}, ['{"a": 1}', "{}"], ['{"a": "1"}']),
+        ({"properties": {"v": {"type": "integer"}, "next": {"$ref": "#"}}}, ['{"v": 1, "next": {"v": 2, "next": {"v": 3}}}'], ['{"v": 1, "next": {"v": 2, "next": {"v": "3"}}}']),
+        ({"uniqueItems": True}, ['[1, 2, "1"]', "[]", '"aa"'], ["[1, 2, 1]", '[{"a": 1, "b": 2}, {"b": 2, "a": 1}]']),
+        ({"multipleOf": 0.1}, ["0.3", "5", '"x"'], ["0.25"]),
+        ({"patternProperties": {"^n_": {"type": "number"}}, "additionalProperties": {"type": "string"}}, ['{"n_a": 1, "b": "x"}'], ['{"n_a": "1"}', '{"b": 1}']),
+        ({"minProperties": 1, "maxProperties": 2}, ['{"a": 1}', "3"], ["{}", '{"a": 1, "b": 2, "c": 3}']),
+        ({"propertyNames": {"maxLength": 2}}, ['{"ab": 1}'], ['{"abc": 1}']),
+        ({"dependentRequired": {"a": ["b"]}}, ['{"b": 1}', '{"a": 1, "b": 2}'], ['{"a": 1}']),
+        ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, ['["a", 1, 2]', "[]"], ["[1]", '["a", "b"]']),
+        ({"contains": {"const": 3}, "maxContains": 1}, ["[1, 3]"], ["[1]", "[3, 3]"]),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"maxProperties": 0}}, ['{"a": 1, "b": 2}', "{}"], ['{"a": 1}', '{"c": 1}']),
+        ({"format": "date", "no_such_keyword": 3}, ["1"], []),
+        ({"items": False}, ["[]"], ["[1]"]),
+    ],
+)
+def test_every_keyword(spark, schema, good, bad):
+    got = verdicts(spark, schema, good + bad)
+    assert [g[0] for g in got] == [True] * len(good) + [False] * len(bad)
+
+
+@pytest.mark.parametrize("schema", [{"type": "text"}, {"properties": {"a": {"oneOf": []}}}, {"minLength": -1}, {"$ref": "#/nowhere"}, {"required": "a"}, {"items": {"multipleOf": 0}}, {"enum": 3}])
+def test_a_bad_schema_fails_everything(spark, schema):
+    got = verdicts(spark, schema, ["{}", "1"])
+    assert [g[0] for g in got] == [False, False] and got[0][1][1].startswith("schema: ")
 
 
 REVIEW = {
