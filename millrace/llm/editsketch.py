@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, only, quantile_ranges, range_of, table
-from millrace.llm.jaccardjoin import components, few_of_each
+from millrace.llm.jaccardjoin import EDGES, components, few_of_each
 
 QUERY = "op8_edit_embedding"
 
@@ -358,8 +358,8 @@ def linked_pairs(docs: DataFrame, prints: DataFrame, bands: int = BANDS, most: f
     links = materialize(verified_pairs(docs, banded_pairs(prints, bands), most), "sketch-links")
     each = materialize(band_rows(prints, bands), "sketch-bands")
     refused = docs.sparkSession.createDataFrame([], "band string, a long, b long")
-    per = 1
-    while True:  # a round merges components or refuses pairs, of which there are finitely many; refusals make the next one ask for twice as many
+    per = EDGES
+    while True:  # a round merges components or refuses pairs, of which there are finitely many
         labels = components(links.select("a", "b"))
         named = each.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "salt", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         part = named.groupBy("band", "salt").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -371,7 +371,7 @@ def linked_pairs(docs: DataFrame, prints: DataFrame, bands: int = BANDS, most: f
         more = materialize(verified_pairs(docs, asked.select("a", "b").distinct(), most), "sketch-links")
         refused = materialize(refused.unionByName(asked.join(more.select("a", "b"), ["a", "b"], "left_anti")), "sketch-refused")
         links = links.unionByName(more)
-        per *= 2
+        per *= EDGES
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

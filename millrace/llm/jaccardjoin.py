@@ -10,9 +10,10 @@ another hash, and in the last tier the empty ones too, so no pair is lost.
 Sharing a signature only proposes a pair. Proposals are filtered by odd sketches (whose Hamming distance never exceeds the sets') and then
 verified on the sets. A bucket of up to SMALL sets proposes all its pairs; a larger one first proposes a star around its least id. The star
 of a bucket that is large within one task is made there, and only its least id is shuffled by the signature, so a signature of a third of all
-rows is never gathered. What the links so far leave in different components is then compared within the bucket on sketches: each round proposes
-a spanning forest of the pairs that pass and were not refused before, until none is left. So every pair of different components is examined,
-and a group of n copies costs n rows, not n * n.
+rows is never gathered. What the links so far leave in different components is then compared within the bucket on sketches, and a spanning forest of the pairs that pass is
+proposed, with up to EDGES edges where two trees meet. Buckets that have more such pairs, and of which a proposal was refused, do so again with
+more edges and without what was refused, until nothing is left. So every pair of different components is examined, and a group of n copies
+costs in proportion to n rows, not n * n.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; 1 to 4 words are one shingle; equal sets are one class from the
 start; rows that share a doc_id share a component, and if their texts differ each text has its own links; a null doc_id is a row of its own;
@@ -50,6 +51,8 @@ BLOCK = 512
 #: Ids that are broadcast at most (16 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
 PIVOT_ROWS = 64
+#: Edges that a node proposes to a tree at first, and how many times as many after a refusal.
+EDGES = 16
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -384,8 +387,8 @@ def cross_pairs(per: int):
 
 def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
     """A spanning forest of a bucket's pairs whose components differ and whose sketches pass, without refused ones: (sig, a, b) from rows of
-    (sig, node, component, n, odd). Where two trees meet, ``per`` edges of a node are proposed instead of one."""
-    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    (sig, node, component, n, odd). Where two trees meet, ``per`` edges of a node are proposed. ``partial``: whether pairs that pass are left out."""
+    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("partial", pa.bool_())])
     if rows.num_rows < 2:
         return schema.empty_table()
     tk.release_sometimes(1024)
@@ -405,7 +408,7 @@ def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
         i, j = place.get(x), place.get(y)
         if i is not None and j is not None:
             barred.setdefault(min(i, j), []).append(max(i, j))
-    a, b = [], []
+    a, b, before, passing = [], [], label.copy(), 0
     for i in range(0, len(node) - int(members.max()), BLOCK):
         x = slice(i, i + BLOCK)
         passes = np.zeros((len(node[x]), len(node)), bool)
@@ -420,6 +423,8 @@ def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
             good = passes[p]
             good[: i + p + 1] = False
             good[barred.get(i + p, [])] = False
+            good &= before != before[i + p]
+            passing += int(good.sum())
             q = np.flatnonzero(good & (label != label[i + p]))
             if len(q):  # one edge to each tree that it touches, and all are one tree then
                 chosen = few_of_each(label[q], per)
@@ -427,7 +432,8 @@ def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
                 b += node[q[chosen]].tolist()
                 label[np.isin(label, label[q])] = label[i + p]
     sig = rows.column("sig")[0].as_py()
-    return pa.table([pa.array([sig] * len(a), pa.int64()), pa.array(np.minimum(a, b) if a else [], pa.int64()), pa.array(np.maximum(a, b) if a else [], pa.int64())], schema=schema)
+    low, high = (pa.array(f(a, b) if a else [], pa.int64()) for f in (np.minimum, np.maximum))
+    return pa.table([pa.array([sig] * len(a), pa.int64()), low, high, pa.array([passing > len(a)] * len(a), pa.bool_())], schema=schema)
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
@@ -436,7 +442,7 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 
 def exact_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar. Each member goes to its pivot in parts of about PIVOT_ROWS, so a pivot of many is spread."""
-    pairs = materialize(pairs, "join-pairs")
+    pairs = materialize(pairs, "join-pairs")  # these two go with the folder: the result reads them
     n = pairs.count()
     per = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / PIVOT_ROWS).cast("int").alias("parts"))
     per = materialize(per, "join-pivots")
@@ -516,8 +522,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     twins = keys.where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = found.union(materialize(copies.union(twins).distinct(), "join-copies"))
     named_by = components(found)
-    refused, per = None, 1
-    while True:  # a round merges components or refuses pairs, of which there are finitely many; refusals make the next one ask for twice as many
+    refused, per = docs.sparkSession.createDataFrame([], "sig long, a long, b long"), EDGES
+    while True:  # a round merges components or refuses pairs, of which there are finitely many
         left = big.join(named_by, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         # Whether a bucket is still of several components is summed and sent back by (sig, salt), so a bucket of very many sets stays spread.
         left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(32)).cast("int"))
@@ -525,16 +531,24 @@ def join_components(docs: DataFrame) -> DataFrame:
         mixed = part.groupBy("sig").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where(F.col("lo") < F.col("hi")).select("sig")
         open_rows = left.join(part.select("sig", "salt").join(mixed, "sig"), ["sig", "salt"]).select("sig", "node", "component").distinct()
         open_rows = open_rows.join(odd, F.col("node") == F.col("id")).select("sig", "node", "component", "n", "odd")
-        known = refused if refused is not None else docs.sparkSession.createDataFrame([], "sig long, a long, b long")
-        asked = materialize(open_rows.groupBy("sig").cogroup(known.groupBy("sig")).applyInArrow(cross_pairs(per), "sig long, a long, b long"), "join-asked")
+        asked = materialize(open_rows.groupBy("sig").cogroup(refused.groupBy("sig")).applyInArrow(cross_pairs(per), "sig long, a long, b long, partial boolean"), "join-asked")
         if asked.limit(1).count() == 0:
+            forget(asked)
             break
         more = materialize(exact_links(named, asked.select("a", "b").distinct()), "join-links")
-        no = asked.join(more, ["a", "b"], "left_anti")
-        refused = materialize(no if refused is None else refused.unionByName(no), "join-refused")
-        found = found.union(more)
-        named_by = components(found)
-        per *= 2
+        if more.limit(1).count():
+            found = found.union(more)
+            named_by = components(found)
+        no = materialize(asked.join(more, ["a", "b"], "left_anti"), "join-refused")
+        # A bucket whose pairs were all proposed is done, and so is one whose forest holds: its trees are one component.
+        again = no.where("partial").select("sig").distinct()
+        if again.limit(1).count() == 0:
+            break
+        big = big.join(again, "sig", "left_semi")
+        refused = refused.unionByName(no.select("sig", "a", "b"))
+        per *= EDGES
+    for done in (raw, nodes, odd):
+        forget(done)
     out = keys.join(named_by.withColumnRenamed("id", "_id"), F.col("node") == F.col("_id"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 

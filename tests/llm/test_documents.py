@@ -390,6 +390,9 @@ def test_a_bucket_spans_rounds():
     none = pa.table({"sig": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     first = jaccardjoin.forest_of(rows, none)
     assert first.num_rows == 39
+    assert all(first.column("partial").to_pylist())
+    every = jaccardjoin.forest_of(rows, none, 100)
+    assert every.num_rows == 39 and jaccardjoin.forest_of(rows.slice(0, 2), none).column("partial").to_pylist() == [False]
     second = jaccardjoin.forest_of(rows, first)  # the hub of the first round has no pairs left, the others are one tree
     assert second.num_rows == 38 and not {tuple(r.values()) for r in first.to_pylist()} & {tuple(r.values()) for r in second.to_pylist()}
 
