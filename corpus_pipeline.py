@@ -9,6 +9,11 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the columns of ``documents``. The method of several stages
 has no SQL form (concentration steps, signatures, hypergeometric draws, tokenising), so there is no ORACLE_SQL; tests/llm holds the pipeline
 against a brute-force version.
+
+Defined cases: a null or empty text, or one of fewer than 20 words, goes in stage 1, so later stages see neither; a null doc_id is a row of
+its own throughout; repeated rows are judged alike, and of those with one doc_id all stay or none does; null lang and source are values of
+their own; texts of any length are read whole, and only the document that ends a source's quota is cut; of equal near-duplicates the least
+doc_id stays; extra columns, whatever their names, are kept by all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
