@@ -87,6 +87,12 @@ def test_stages_keep_the_columns(spark, wide, tmp_path):
         assert docs.columns == wide.columns and docs.count() > 0
 
 
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:3] == ["doc_id", "piece", "start"]
+
+
 def brute_vector(text):
     n, chars, symbols, dup, repeat = brute_counts(text)
     w = words(text)
