@@ -10,9 +10,9 @@ another hash, and in the last tier the empty ones too, so no pair is lost.
 Sharing a signature only proposes a pair. Proposals are filtered by odd sketches (whose Hamming distance never exceeds the sets') and then
 verified on the sets. A bucket of up to SMALL sets proposes all its pairs; a larger one first proposes a star around its least id. The star
 of a bucket that is large within one task is made there, and only its least id is shuffled by the signature, so a signature of a third of all
-rows is never gathered. What the links so far leave in different components is then compared within the bucket on sketches, and a spanning forest of the pairs that pass is
-proposed, with up to EDGES edges where two trees meet. Buckets that have more such pairs, and of which a proposal was refused, do so again with
-more edges and without what was refused, until nothing is left. So every pair of different components is examined, and a group of n copies
+rows is never gathered. What the links so far leave in different components is then compared within the bucket on sketches. The pairs that pass are proposed if they are no more
+than PAIRS_A_ROW a row of the bucket; else a spanning forest of them, with up to EDGES edges where two trees meet. Buckets with a forest of which
+an edge was refused do so again with more edges and without what was refused, until nothing is left. So every pair of different components is examined, and a group of n copies
 costs in proportion to n rows, not n * n.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; 1 to 4 words are one shingle; equal sets are one class from the
@@ -51,6 +51,8 @@ BLOCK = 512
 #: Ids that are broadcast at most (16 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
 PIVOT_ROWS = 64
+#: Pairs that a bucket proposes at once, for each of its rows.
+PAIRS_A_ROW = 64
 #: Edges that a node proposes to a tree at first, and how many times as many after a refusal.
 EDGES = 16
 
@@ -386,8 +388,8 @@ def cross_pairs(per: int):
 
 
 def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
-    """A spanning forest of a bucket's pairs whose components differ and whose sketches pass, without refused ones: (sig, a, b) from rows of
-    (sig, node, component, n, odd). Where two trees meet, ``per`` edges of a node are proposed. ``partial``: whether pairs that pass are left out."""
+    """A bucket's pairs whose components differ and whose sketches pass, without refused ones: (sig, a, b) from rows of (sig, node, component, n,
+    odd); or, where they are very many, a spanning forest of them, with ``per`` edges of a node where two trees meet. ``partial``: whether it is one."""
     schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("partial", pa.bool_())])
     if rows.num_rows < 2:
         return schema.empty_table()
@@ -408,7 +410,7 @@ def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
         i, j = place.get(x), place.get(y)
         if i is not None and j is not None:
             barred.setdefault(min(i, j), []).append(max(i, j))
-    a, b, before, passing = [], [], label.copy(), 0
+    a, b, before, passing, every = [], [], label.copy(), 0, []
     for i in range(0, len(node) - int(members.max()), BLOCK):
         x = slice(i, i + BLOCK)
         passes = np.zeros((len(node[x]), len(node)), bool)
@@ -425,6 +427,8 @@ def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
             good[barred.get(i + p, [])] = False
             good &= before != before[i + p]
             passing += int(good.sum())
+            if passing <= PAIRS_A_ROW * len(node):
+                every += [(i + p, x) for x in np.flatnonzero(good).tolist()]
             q = np.flatnonzero(good & (label != label[i + p]))
             if len(q):  # one edge to each tree that it touches, and all are one tree then
                 chosen = few_of_each(label[q], per)
@@ -432,6 +436,8 @@ def forest_of(rows: pa.Table, refused: pa.Table, per: int = 1) -> pa.Table:
                 b += node[q[chosen]].tolist()
                 label[np.isin(label, label[q])] = label[i + p]
     sig = rows.column("sig")[0].as_py()
+    if passing == len(every):
+        a, b = [int(node[x]) for x, _ in every], [int(node[y]) for _, y in every]
     low, high = (pa.array(f(a, b) if a else [], pa.int64()) for f in (np.minimum, np.maximum))
     return pa.table([pa.array([sig] * len(a), pa.int64()), low, high, pa.array([passing > len(a)] * len(a), pa.bool_())], schema=schema)
 

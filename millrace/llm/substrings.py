@@ -278,6 +278,12 @@ class WindowIndex:
         self.state = self.state | changes | {"version": self.state["version"] + 1}
         write_small(self.spark, f"{self.at}/manifests", f"{self.state['version']:09d}.json", json.dumps(self.state))
 
+    def drop(self) -> None:
+        """The index and its folder go; results of earlier ingests don't read them."""
+        for kind in ("texts", *self.state["runs"]):
+            self.spark.sql(f"DROP TABLE {self.table(kind)}")
+        delete(self.spark, self.at)
+
     def texts(self) -> DataFrame:
         return self.spark.table(self.table("texts"))
 
@@ -356,6 +362,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             own = own & (F.col("doc_id") < starts[k + 1])
         part = index.ingest(docs.where(own | F.col("doc_id").isNull() if k == 0 else own))
         out = part if out is None else out.unionByName(part)
+    index.drop()
     return out
 
 

@@ -381,20 +381,21 @@ def test_large_signatures_are_split_where_they_arise():
     assert set(group.values()) == {0} and all(big[x] == {r["node"] for r in rows if r["sig"] == x} for x in large)  # whole buckets are known for the rounds after the stars
 
 
-def test_a_bucket_spans_rounds():
-    """The forest of a bucket leaves out what was refused, and reaches every tree otherwise."""
+def test_a_bucket_spans_rounds(monkeypatch):
+    """Few pairs are all proposed; of very many a forest, which leaves out what was refused and reaches every tree otherwise."""
     import pyarrow as pa
 
     odd = [jaccardjoin.odd_sketch(np.arange(k % 2, 200, dtype=np.uint64)) for k in range(40)]
-    rows = pa.table({"sig": [5] * 40, "node": list(range(40)), "component": list(range(40)), "n": [200 - k % 2 for k in range(40)], "odd": odd})
+    rows = pa.table({"sig": [5] * 40, "node": list(range(40)), "component": [max(k, 2) for k in range(40)], "n": [200 - k % 2 for k in range(40)], "odd": odd})
     none = pa.table({"sig": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    pairs = lambda t: {(r["a"], r["b"]) for r in t.to_pylist()}
+    every = jaccardjoin.forest_of(rows, none)
+    assert pairs(every) == {(a, b) for a in range(40) for b in range(max(a + 1, 3), 40)} and not any(every.column("partial").to_pylist())
+    monkeypatch.setattr(jaccardjoin, "PAIRS_A_ROW", 4)
     first = jaccardjoin.forest_of(rows, none)
-    assert first.num_rows == 39
-    assert all(first.column("partial").to_pylist())
-    every = jaccardjoin.forest_of(rows, none, 100)
-    assert every.num_rows == 39 and jaccardjoin.forest_of(rows.slice(0, 2), none).column("partial").to_pylist() == [False]
-    second = jaccardjoin.forest_of(rows, first)  # the hub of the first round has no pairs left, the others are one tree
-    assert second.num_rows == 38 and not {tuple(r.values()) for r in first.to_pylist()} & {tuple(r.values()) for r in second.to_pylist()}
+    assert first.num_rows == 37 and all(first.column("partial").to_pylist())
+    second = jaccardjoin.forest_of(rows, first, 3)
+    assert second.num_rows > 37 and not pairs(first) & pairs(second)
 
 
 def test_every_similar_pair_shares_a_signature():
