@@ -52,9 +52,9 @@ BLOCK = 512
 MOST_BROADCAST = 1_000_000
 PIVOT_ROWS = 64
 #: Pairs that a bucket proposes at once, for each of its rows.
-PAIRS_A_ROW = 64
+PAIRS_A_ROW = 4
 #: Edges that a node proposes to a tree at first, and how many times as many after a refusal.
-EDGES = 16
+EDGES = 64
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -482,7 +482,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def with_nodes(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` (id, text; no null ids) and ``keys`` with ``node`` for ``id``: the id, but where texts of one id differ in their sets, ids of their own, above all others, for all but one."""
-    differ = F.min(F.struct("n", "ka", "kb")) != F.max(F.struct("n", "ka", "kb"))
+    differ = F.min("ka") != F.max("ka")
     shared = materialize(keys.where(F.col("id").isNotNull()).groupBy("id").agg(differ.alias("differ")).where("differ").select("id"), "join-shared-ids")
     n = shared.count()
     if not n:
