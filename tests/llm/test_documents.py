@@ -389,6 +389,7 @@ def test_a_bucket_spans_rounds(monkeypatch):
     rows = pa.table({"sig": [5] * 40, "node": list(range(40)), "component": [max(k, 2) for k in range(40)], "n": [200 - k % 2 for k in range(40)], "odd": odd})
     none = pa.table({"sig": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     pairs = lambda t: {(r["a"], r["b"]) for r in t.to_pylist()}
+    monkeypatch.setattr(jaccardjoin, "PAIRS_A_ROW", 20)
     every = jaccardjoin.forest_of(rows, none)
     assert pairs(every) == {(a, b) for a in range(40) for b in range(max(a + 1, 3), 40)} and not any(every.column("partial").to_pylist())
     monkeypatch.setattr(jaccardjoin, "PAIRS_A_ROW", 4)
