@@ -9,8 +9,8 @@ another hash, and in the last tier the empty ones too, so no pair is lost.
 
 Sharing a signature only proposes a pair. Proposals are filtered by odd sketches (whose Hamming distance never exceeds the sets') and then
 verified on the sets. A bucket of up to SMALL sets proposes all its pairs; a larger one first proposes a star around its least id. The star
-of a bucket that is large within one task is made there, and only its least id is shuffled by the signature, so a signature of a third of all
-rows is never gathered. What the links so far leave in different components is then compared within the bucket on sketches. The pairs that pass are proposed if they are no more
+of a bucket that is hot within one task is made there, and only its least id is shuffled by the signature, so a signature of a third of all
+rows is never gathered whole. What the links so far leave in different components is then compared within the bucket on sketches. The pairs that pass are proposed if they are no more
 than PAIRS_A_ROW a row of the bucket; else a spanning forest of them, with up to EDGES edges where two trees meet. Buckets with a forest of which
 an edge was refused do so again with more edges and without what was refused, until nothing is left. So every pair of different components is examined, and a group of n copies
 costs in proportion to n rows, not n * n.
@@ -44,8 +44,8 @@ SMALL = 8
 TIERS = 4
 #: Sets of at most this size use groups of 3 partitions of which 2 must agree; larger ones single partitions, whose contents are selective enough.
 GROUPED_BELOW = 48
-#: Signature rows that a task sorts at once.
-FLUSH = 500_000
+#: Signature rows that a task sorts at once, and how many of them make a signature hot: those of about a fifth of the documents.
+FLUSH, HOT = 500_000, 1000
 #: Within a bucket, sets of different components are compared in blocks of so many.
 BLOCK = 512
 #: Ids that are broadcast at most (16 bytes each); more are joined by shuffling.
@@ -218,7 +218,7 @@ def set_keys_and_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (id, text) as (sig, node, least); of a task's equal sets only the first signs.
 
-    ``least`` is null for most rows. Of a signature with more than SMALL nodes among a batch of rows, the least node has itself there, which
+    ``least`` is null for most rows. Of a signature with more than HOT nodes among FLUSH rows, the least node has itself there, which
     says that the bucket is large, and the others have that node.
     """
     seen: dict[int, int] = {}
@@ -233,7 +233,7 @@ def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         sig, node = sig[order], node[order]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(sig)))
-        large = np.repeat(count > SMALL, count)
+        large = np.repeat(count > HOT, count)
         return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(np.repeat(node[start], count), mask=~large)], names=["sig", "node", "least"])
 
     for batch in batches:

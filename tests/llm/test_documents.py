@@ -348,7 +348,7 @@ def test_texts_of_one_id_have_their_own_links(spark):
         assert keyed(jaccardjoin.join_components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
-def test_large_signatures_are_split_where_they_arise():
+def test_hot_signatures_are_split_where_they_arise(monkeypatch):
     """Two tasks with many near copies each: a signature goes on with one row a task, and the pairs still connect all its nodes."""
     import random
 
@@ -356,6 +356,7 @@ def test_large_signatures_are_split_where_they_arise():
 
     from textmaker import prose
 
+    monkeypatch.setattr(jaccardjoin, "HOT", 8)
     base = prose(random.Random(8), 300).split()
 
     def near(k):
