@@ -1,4 +1,4 @@
-"""Exact deduplication in two scopes: earlier samples of the batch, and samples accepted in earlier batches."""
+"""Exact deduplication in two scopes: earlier samples of the batch, and samples accepted in earlier batches; and samples that contain reference texts."""
 
 from __future__ import annotations
 
@@ -53,3 +53,56 @@ def against_reference(samples: DataFrame, reference: DataFrame, value: str, keep
     """Samples whose value the reference lacks (left_anti) or has (left_semi)."""
     known = reference.select(content_hash(F.col(value)).alias("content_hash")).distinct()
     return samples.withColumn("content_hash", content_hash(F.col(value))).join(known, "content_hash", keep)
+
+
+#: The words of an item's key, and the items (and their bytes) up to which they are broadcast.
+RUN = 3
+BROADCAST_ITEMS, BROADCAST_BYTES = 200_000, 32_000_000
+
+
+def _run_keys(text: Column, run: int) -> Column:
+    """A hash for each place of a text's words where a run begins. The words are the value of a lambda variable: an alias would be split again at every place."""
+    return F.transform(F.array(F.split(text, " ")), lambda w: F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, run)])))[0]
+
+
+def _keyed(texts: DataFrame, run: int) -> DataFrame:
+    """(item, key): of the runs of whole words within each item the one that fewest items have, so a common opening is no key."""
+    inner = F.slice(_run_keys(F.col("item"), run), F.lit(2), F.col("n") - run - 1)
+    each = texts.select("item", F.explode(F.array_distinct(inner)).alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("items"))
+    return each.join(shared, "key").groupBy("item").agg(F.min(F.struct("items", "key"))["key"].alias("key"))
+
+
+def containing(samples: DataFrame, order: str, value: str, items: DataFrame, item: str, most: int = BROADCAST_ITEMS) -> DataFrame:
+    """(item, n): how many samples contain each different text of ``items``, of those that any does. Samples without ``order`` don't count.
+
+    The first and the last word of an item may be parts of a sample's words, the others are whole: a run of those is its key, sought at every
+    place of every sample, and what meets by key is compared by its text. So the work grows with the words of both sides, not with samples
+    times items. Few items are broadcast, and a sample's text then stays where it is read; else ids and keys meet first. An item of one or two
+    words has no whole word for sure and is compared with every sample.
+    """
+    d = samples.select(F.col(order).alias("id"), F.col(value).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    texts = items.select(F.col(item).alias("item")).where(F.col("item").isNotNull()).distinct().withColumn("n", F.size(F.split("item", " ")))
+    within = F.col("text").contains(F.col("item"))
+    kinds = {0: F.col("n") <= 2, 1: F.col("n").between(3, RUN + 1), RUN: F.col("n") > RUN + 1}
+    found = texts.agg(F.count("*"), F.sum(F.octet_length("item")), *[F.count_if(c) for c in kinds.values()]).first()
+    small = found[0] <= most and (found[1] or 0) <= BROADCAST_BYTES
+    near = F.broadcast if small else lambda side: side
+    hits = texts.limit(0).select("item")
+    for (run, kind), n in zip(kinds.items(), found[2:], strict=True):
+        if not n:
+            continue
+        some = texts.where(kind)
+        if run == 0:
+            hits = hits.unionByName(d.join(near(some), within).select("item"))
+            continue
+        keyed = near(_keyed(some, run))
+        # The outer form: for the other one the optimiser adds a filter that makes the keys once more.
+        places = F.array_distinct(_run_keys(F.col("text"), run)).alias("keys")
+        if small:
+            met = d.select("text", places).select("text", F.explode_outer("keys").alias("key")).join(keyed, "key")
+        else:
+            met = d.select("id", places).select("id", F.explode_outer("keys").alias("key")).join(keyed.select("key").distinct(), "key").distinct()
+            met = met.join(keyed, "key").join(d, "id")
+        hits = hits.unionByName(met.where(within).select("item"))
+    return hits.groupBy("item").agg(F.count("*").alias("n"))

@@ -77,28 +77,10 @@ def dedup_reference_anti(spark, sf):
 
 @query("SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def benchmark_overlap(spark, sf):
-    """How many documents contain each item. Both sides meet on a hash of the item's first words, found at every place of a document; the items'
-    text is then compared. The work grows with the words of the documents, not with documents times items."""
-    width = 3
-    d, b = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    words = lambda c: F.split(c, " ")
-    head = lambda ws, n: F.xxhash64(F.array_join(F.slice(ws, 2, n), " "))
-    # The first word of an item may begin inside a document's word, so the key is taken from its second word on: three words of it, or one.
-    n = F.size(words("item"))
-    run = F.when(n > width + 1, F.lit(width)).when(n > 2, F.lit(1))
-    keyed = b.select("item_id", run.alias("run"), head(words("item"), run).alias("key")).where(F.col("run").isNotNull())
-    w = F.col("w")
-    runs = F.when(F.size("w") >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.struct(F.lit(width).alias("run"), F.xxhash64(F.array_join(F.slice(w, i, F.lit(width)), " ")).alias("key"))))
-    singles = F.transform(w, lambda x: F.struct(F.lit(1).alias("run"), F.xxhash64(x).alias("key")))
-    found = F.array_distinct(F.concat(F.coalesce(runs, F.array().cast("array<struct<run:int,key:bigint>>")), singles))
-    # Only ids and keys meet; the texts of what met are fetched afterwards.
-    at = d.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(found).alias("k")).select("doc_id", "k.run", "k.key")
-    met = at.join(keyed, ["run", "key"]).select("item_id", "doc_id").distinct()
-    hits = met.join(d, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    # Items of one or two words have no whole word for sure: each is a query against all documents.
-    few = d.join(b.where(n <= 2), F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
-    found = hits.unionByName(few).distinct().groupBy("item_id").agg(F.count("*").alias("n_docs"))
-    return b.join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    """How many documents contain each item; the rows of one item_id are summed."""
+    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    found = dedup.containing(read(spark, sf, "documents"), "doc_id", "text", b, "item")
+    return b.join(found, "item", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
 
 
 @query(
