@@ -5,14 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import as_double, cosine, norm, passes
+from millrace.functions.columns import as_double, norm, passes
+
+
+def _sum_squares(vectors: DataFrame, *group: str) -> DataFrame:
+    """|sum of unit vectors|^2 of each group, as ``sq``: one row per component, summed before the shuffle."""
+    each = vectors.select(*group, "_n", F.posexplode("_v").alias("_k", "_x"))
+    sums = each.groupBy(*group, "_k").agg(F.sum(F.try_divide("_x", "_n")).alias("_s"))
+    return sums.groupBy(*group).agg(F.sum(F.col("_s") * F.col("_s")).alias("sq"))
 
 
 def pairwise(vectors: DataFrame, batch: str, order: str, vector: str) -> DataFrame:
-    """By definition, over the pairs of each batch. For checking: its rows grow with the square of a batch."""
-    a, b = vectors.select(batch, F.col(order).alias("i"), F.col(vector).alias("u")), vectors.select(batch, F.col(order).alias("j"), F.col(vector).alias("v"))
-    mean = a.join(b, batch).where("i < j").groupBy(batch).agg(F.avg(cosine("u", "v")).alias("mean_cosine"))
-    return vectors.select(batch).distinct().join(mean, batch, "left").select(batch, F.coalesce(1 - F.col("mean_cosine"), F.lit(1.0)).alias("diversity"))
+    """1 - mean cosine over all pairs of a batch whose ``order`` differs, as a join by i < j has them, without listing the pairs.
+
+    The cosines of all pairs sum to (|S|^2 - sum |S_i|^2) / 2, with S the sum of a batch's unit vectors and S_i that of its rows of one order i
+    (a unit vector, where i is alone). So every pair counts, at a cost that grows with the rows. Rows without order or vector are in no pair, a
+    null batch has no pairs, and a batch without pairs is 1.0; one with pairs is NaN if a vector has no direction or another size.
+    """
+    all_rows = vectors.select(F.col(batch).alias("_b"), F.col(order).alias("_i"), as_double(vector).alias("_v"), norm(vector).alias("_n"))
+    paired = all_rows.where(F.col("_b").isNotNull() & F.col("_i").isNotNull() & (F.size("_v") > 0))
+    sound = F.coalesce((F.col("_n") > 0) & (F.col("_n") < float("inf")), F.lit(False))
+    shape = paired.groupBy("_b").agg(F.count("*").alias("n"), F.every(sound).alias("sound"), F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi"))
+    # What pairs of one order would add: nothing but 1 a row, unless orders repeat, which ids alone tell.
+    twice = vectors.select(F.col(batch).alias("_b"), F.col(order).alias("_i")).dropna().groupBy("_b", "_i").agg(F.count("*").alias("c")).where("c > 1").select("_b", "_i")
+    if twice.isEmpty():
+        shape = shape.select("*", *[F.lit(0.0).alias(c) for c in ("rows", "squares", "sq_own")])
+    else:
+        repeated = paired.join(twice, ["_b", "_i"])
+        counts = repeated.groupBy("_b", "_i").agg(F.count("*").cast("double").alias("c")).groupBy("_b").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+        sums = _sum_squares(repeated, "_b", "_i").groupBy("_b").agg(F.sum("sq").alias("sq_own"))
+        shape = shape.join(counts, "_b", "left").join(sums, "_b", "left").fillna(0.0, ["rows", "squares", "sq_own"])
+    alone, n = F.col("n") - F.col("rows"), F.col("n").cast("double")
+    shape = shape.select("_b", "sound", "lo", "hi", (alone + F.col("sq_own")).alias("own"), (n * n - alone - F.col("squares")).alias("pairs2"))
+    found = shape.join(_sum_squares(paired, "_b"), "_b").where("pairs2 > 0")
+    mean = F.when(F.col("sound") & (F.col("lo") == F.col("hi")), (F.col("sq") - F.col("own")) / F.col("pairs2")).otherwise(float("nan"))
+    batches = all_rows.select("_b").distinct()
+    return batches.join(found.select("_b", (1 - mean).alias("d")), "_b", "left").select(F.col("_b").alias(batch), F.coalesce("d", F.lit(1.0)).alias("diversity"))
 
 
 def closed_form(vectors: DataFrame, batch: str, vector: str) -> DataFrame:

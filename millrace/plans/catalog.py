@@ -182,7 +182,7 @@ _DIVERSITY = (
 
 @query(_DIVERSITY)
 def pairwise_diversity(spark, sf):
-    """By definition, over all pairs of a batch; ``diversity_closed_form`` is the one that scales."""
+    """Over all pairs of a batch with different ids, without listing them; ``diversity_closed_form`` takes all its rows for different."""
     return diversity.pairwise(read(spark, sf, "embeddings"), "label", "vec_id", "embedding").select("label", r6("diversity").alias("diversity"))
 
 

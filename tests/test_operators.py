@@ -81,6 +81,24 @@ def test_diversity(spark):
     assert by_pairs["one"] == 1.0
 
 
+def test_pairwise_diversity_counts_pairs_of_different_order_without_listing_them(spark):
+    rng = random.Random(3)
+    rows = [(b, rng.randrange(n) if b != "alone" else k, [rng.gauss(0.5, 1) for _ in range(3)]) for b, n in (("repeats", 5), ("alone", 40), ("one order", 1), (None, 9)) for k in range(25)]
+    rows += [("repeats", 2, None), ("repeats", None, [1.0, 0.0, 0.0]), ("alone", 90, []), ("nothing", 1, None), ("zero", 1, [0.0, 0.0, 0.0]), ("zero", 2, [1.0, 0.0, 0.0]), ("zeros", 1, [0.0, 0.0, 0.0]), ("zeros", 1, [1.0, 0.0, 0.0])]
+    cosine = lambda u, v: sum(x * y for x, y in zip(u, v, strict=True)) / (math.hypot(*u) * math.hypot(*v))
+    want = dict.fromkeys({r[0] for r in rows}, 1.0)
+    for b in ("repeats", "alone"):
+        found = [cosine(u, v) for x, i, u in rows for y, j, v in rows if x == y == b and u and v and None not in (i, j) and i < j]
+        want[b] = 1 - sum(found) / len(found)
+    got = {r["b"]: r["diversity"] for r in diversity.pairwise(spark.createDataFrame(rows, "b string, i int, v array<double>"), "b", "i", "v").collect()}
+    assert math.isnan(got.pop("zero")) and want.pop("zero")
+    assert got == pytest.approx(want, abs=1e-12)
+    many = spark.range(100_000).select(F.lit("b").alias("b"), F.col("id").alias("i"), F.array(F.cos("id"), F.sin("id")).alias("v"))
+    d = diversity.pairwise(many, "b", "i", "v")
+    assert " < j" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert d.first()["diversity"] == pytest.approx(1.0, abs=1e-4)
+
+
 def test_reward(spark):
     rows = [("judged", k < 8, 0.8) for k in range(10)] + [("unjudged", k < 8, None) for k in range(10)] + [("none", False, 0.9)] * 5
     got = {r["b"]: r for r in metrics.batch_metrics(spark.createDataFrame(rows, "b string, accepted boolean, quality double"), "b").collect()}
