@@ -50,6 +50,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows. ``createDataFrame`` of a list goes through Python workers of its own, which executors then keep beside the others."""
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))])
+
+
 def _file_system(spark: SparkSession, at: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, only, quantile_ranges, range_of, table
+from millrace.llm import textkernel as tk
+from millrace.llm.common import empty, materialize, only, quantile_ranges, range_of, table
 from millrace.llm.jaccardjoin import EDGES, components, few_of_each
 
 QUERY = "op8_edit_embedding"
@@ -79,6 +80,10 @@ class Order:
         return np.concatenate(out)
 
 
+#: Code points there are.
+POINTS = 0x110000
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -86,16 +91,20 @@ def code_points(text: str) -> np.ndarray:
 def walk(texts: list[str], lanes: int = LANES) -> np.ndarray:
     """The fingerprints (rows x lanes, 8 bits each; 0: the text ends before the lane) of texts, all walked in step until each has reached its end."""
     n = len(texts)
-    points = [code_points(t) for t in texts]
-    size = np.array([len(p) for p in points], np.int64)
-    characters, place = np.unique(np.concatenate([*points, np.zeros(0, np.uint32)]), return_inverse=True)
+    size = np.array([len(t) for t in texts], np.int64)
+    known = np.zeros(POINTS, bool)
+    for t in texts:
+        known[code_points(t)] = True
+    characters = np.flatnonzero(known).astype(np.uint32)
     end = len(characters)
     kind = np.uint16 if end < 65535 else np.uint32
+    place = np.zeros(POINTS, kind)
+    place[characters] = np.arange(end, dtype=kind)
+    # A text at a time: beside what is kept (a small number for each character) only one text is ever held as code points.
     joined = np.full(int(size.sum()) + n, end, kind)
     starts = np.cumsum(size + 1) - size - 1
-    own = np.ones(len(joined), bool)
-    own[starts + size] = False
-    joined[own] = place
+    for t, begin in zip(texts, starts.tolist(), strict=True):
+        joined[begin : begin + len(t)] = place[code_points(t)]
     order = np.argsort(-size, kind="stable")
     at = starts[order]
     kept = np.zeros((lanes, n), np.uint8)
@@ -199,7 +208,7 @@ def compare(lanes: int):
             names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    return run
+    return tk.released(run)
 
 
 def with_next(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
@@ -238,6 +247,7 @@ def compare_with_next(docs: DataFrame, lanes: int = LANES, rows_per_cell: int =
     )
 
 
+@tk.released
 def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 2048):
@@ -357,7 +367,7 @@ def linked_pairs(docs: DataFrame, prints: DataFrame, bands: int = BANDS, most: f
     prints = materialize(prints.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]), "sketch-prints")
     links = materialize(verified_pairs(docs, banded_pairs(prints, bands), most), "sketch-links")
     each = materialize(band_rows(prints, bands), "sketch-bands")
-    refused = docs.sparkSession.createDataFrame([], "band string, a long, b long")
+    refused = empty(docs.sparkSession, "band string, a long, b long")
     per = EDGES
     while True:  # a round merges components or refuses pairs, of which there are finitely many
         labels = components(links.select("a", "b"))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -574,6 +575,17 @@ def test_walk_equals_brute_force(rows):
     assert editsketch.likeness(a, b).tolist() == [1.0] and editsketch.likeness(got, got).tolist() == [1.0] * len(texts)
 
 
+def test_walk_holds_little_beside_its_texts():
+    texts = ["añb😀 " * 400 + str(k) for k in range(1000)]
+    tracemalloc.start()
+    try:
+        editsketch.walk(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * sum(map(len, texts))
+
+
 def test_likeness_follows_the_share_that_is_equal():
     import random
 
