@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import forget, materialize, only, partitions, table, unwrapped, whole_rows
+from millrace.llm.common import empty, forget, materialize, only, partitions, table, unwrapped, whole_rows
 
 QUERY = "op6_partenum_join"
 
@@ -528,7 +528,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     twins = keys.where(F.col("node") != F.col("id")).select(F.col("id").alias("a"), F.col("node").alias("b"))
     found = found.union(materialize(copies.union(twins).distinct(), "join-copies"))
     named_by = components(found)
-    refused, per = docs.sparkSession.createDataFrame([], "sig long, a long, b long"), EDGES
+    refused, per = empty(docs.sparkSession, "sig long, a long, b long"), EDGES
     while True:  # a round merges components or refuses pairs, of which there are finitely many
         left = big.join(named_by, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
         # Whether a bucket is still of several components is summed and sent back by (sig, salt), so a bucket of very many sets stays spread.

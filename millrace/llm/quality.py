@@ -120,9 +120,14 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
 @F.arrow_udf(T.StructType([T.StructField(k, T.LongType()) for k in COUNTS]))
 def count_udf(texts: pa.Array) -> pa.Array:
     got = counts(texts)
+    tk.release_sometimes(4)
     return pa.StructArray.from_arrays([pa.array(got[k]) for k in COUNTS], names=list(COUNTS))
 
 
+# Else a filter on the counts makes them a second time, below the join, by two more Python workers an executor.
+count_udf = count_udf.asNondeterministic()
+
+
 def vector(c: str) -> list[Column]:
     """STATS from the struct of COUNTS named ``c``; the added constants draw short texts towards the middle."""
     n = lambda k: F.col(f"{c}.{k}").cast("double")

@@ -1,6 +1,7 @@
 """Operators over documents against brute force, with nulls, empties, long texts, repeated rows and clashing columns."""
 
 import hashlib
+import inspect
 import itertools
 import re
 import tracemalloc
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import editsketch, jaccardjoin, mixing, packing, quality, secrets, substrings
+from millrace.llm import common, editsketch, jaccardjoin, mixing, packing, quality, secrets, substrings
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -383,6 +384,13 @@ def test_hot_signatures_are_split_where_they_arise(monkeypatch):
     assert set(group.values()) == {0} and all(big[x] == {r["node"] for r in rows if r["sig"] == x} for x in large)  # whole buckets are known for the rounds after the stars
 
 
+def test_empty_frames_need_no_python_workers(spark):
+    df = common.empty(spark, "sig long, a long, b string")
+    assert df.dtypes == [("sig", "bigint"), ("a", "bigint"), ("b", "string")] and df.count() == 0
+    assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+    assert "createDataFrame([]" not in inspect.getsource(jaccardjoin) + inspect.getsource(editsketch)
+
+
 def test_a_bucket_spans_rounds(monkeypatch):
     """Few pairs are all proposed; of very many a forest, which leaves out what was refused and reaches every tree otherwise."""
     import pyarrow as pa
@@ -799,6 +807,11 @@ def test_quality_counts(wide, rows, none):
     assert quality.keep_good(none).count() == 0
 
 
+def test_counts_are_made_once(docs):
+    kept = quality.keep_good(docs)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_outliers_are_rejected_and_clean_texts_kept(spark):
     import random
 
